@@ -37,8 +37,12 @@ _DIGIT_RANGES = _ranges(str.isdigit)
 
 #: every character Python's ``str.strip()`` removes
 WHITESPACE = "".join(chr(c) for lo, hi in _WS_RANGES for c in range(lo, hi + 1))
-#: regex class equal to Python's ``\s`` on str patterns
+#: regex class equal to Python's ``\s`` on str patterns, spelled out (RE2)
 WS_CLASS = _char_class(_WS_RANGES)
+#: the same set for Java regex under the (?U) flag: Unicode White_Space plus
+#: U+001C..U+001F (tests check equality over every code point). Java matches
+#: this form several times faster than the spelled-out class.
+JAVA_WS = "[\\s\\x{1C}-\\x{1F}]"
 #: regex class equal to Python's ``str.isdigit`` per character
 DIGIT_CLASS = _char_class(_DIGIT_RANGES)
 #: regex class of non-whitespace
@@ -46,7 +50,7 @@ NON_WS_CLASS = "[^" + WS_CLASS[1:]
 
 #: the sentence splitter of the repetition check: after ., ! or ? a run of
 #: whitespace, or a run of newlines
-SENTENCE_SPLIT = f"(?<=[.!?]){WS_CLASS}+|\\n+"
+SENTENCE_SPLIT = f"(?U)(?<=[.!?]){JAVA_WS}+|\\n+"
 
 
 def bind(value: Column, body) -> Column:
@@ -81,8 +85,10 @@ def sentences(col: Column, min_len: int) -> Column:
 
 
 def word_count(col: Column) -> Column:
-    """Number of maximal non-whitespace runs (the default token proxy)."""
-    return F.coalesce(F.regexp_count(col, F.lit(NON_WS_CLASS + "+")), F.lit(0)).cast("bigint")
+    """Number of maximal non-whitespace runs (the default token proxy);
+    null → 0. Splits the stripped text on whitespace runs."""
+    return bind(py_strip(F.coalesce(col, F.lit(""))), lambda s: F.when(s == "", F.lit(0)).otherwise(
+        F.size(F.split(s, f"(?U){JAVA_WS}+", -1))).cast("bigint"))
 
 
 def token_len(col: Column, tokenizer_file: str | None = None) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import token_len
+from ..functions.text import bind, token_len
 from ..functions.thinking import no_answer, no_thinking, over_context, thinking_parts
 
 QUANTILES = [0.5, 0.9, 0.95, 0.99]
@@ -64,17 +64,19 @@ def length_bucket(len_col: Column) -> Column:
 
 def length_buckets(df: DataFrame, len_col: str = "len", correct_col: str = "correct") -> DataFrame:
     """Per non-empty length range: rows, share of all rows, accuracy."""
-    lo_expr = None
-    for lo, _ in reversed(LENGTH_RANGES):
-        lo_expr = F.when(F.col(len_col) >= lo, lo) if lo_expr is None else lo_expr.when(F.col(len_col) >= lo, lo)
+    def bucket(v: Column) -> Column:
+        low = None
+        for lo, _ in reversed(LENGTH_RANGES):
+            low = F.when(v >= lo, lo) if low is None else low.when(v >= lo, lo)
+        return F.struct(length_bucket(v).alias("bucket"), low.cast("bigint").alias("low"))
+
+    # the length is read once per row, into one struct key
     g = (df.where(F.col(len_col) >= 0)
-           .groupBy(length_bucket(F.col(len_col)).alias("bucket"))
-           .agg(F.min(lo_expr).cast("bigint").alias("low"),
-                F.count(F.lit(1)).alias("n"),
-                F.count_if(F.col(correct_col)).alias("n_correct")))
+           .groupBy(bind(F.col(len_col), bucket).alias("b"))
+           .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(correct_col)).alias("n_correct")))
     # the grouped frame has at most seven rows, so a whole-frame window is free
     total = F.sum("n").over(Window.partitionBy())
-    return g.select("bucket", "low", "n",
+    return g.select(F.col("b.bucket").alias("bucket"), F.col("b.low").alias("low"), "n",
                     ratio(F.col("n"), total).alias("share"),
                     ratio(F.col("n_correct"), F.col("n")).alias("accuracy"))
 
