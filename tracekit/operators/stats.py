@@ -135,9 +135,11 @@ def thinking_rows(df: DataFrame, resp_col: str = "resp", prompt_col: str = "prom
     return out.withColumn("over_budget", F.coalesce(F.col("thinking_tokens") > limit, F.lit(False)))
 
 
-def thinking_stats(rows: DataFrame, digits: int = 1) -> DataFrame:
-    """Global summary of ``thinking_rows``; step tokens average over all steps."""
-    r = lambda c: F.round(c, digits)
+def thinking_stats(rows: DataFrame, digits: int | None = 1) -> DataFrame:
+    """Global summary of ``thinking_rows``; step tokens average over all
+    steps. Averages are rounded to ``digits`` places (None: not rounded)."""
+    def r(c: Column) -> Column:
+        return c if digits is None else F.round(c, digits)
     n = F.count(F.lit(1))
     return rows.agg(
         n.alias("samples"),

@@ -293,3 +293,256 @@ def q_next_round(spark, sf):
     nr = B.next_round(_budget(spark, sf, "budget", 5, 4096))
     return nr.select("sample_id", "next_step", F.length("prompt").cast("bigint").alias("prompt_len"),
                      F.md5("prompt").alias("prompt_md5"))
+
+
+# --------------------------------------------------------------------------- thinking traces
+
+_TAG_ANS = "<|im_start|>answer"
+
+
+def _thinking_cte(token_limit: int = 200) -> str:
+    """Per-sample thinking measures of ``samples`` in DuckDB."""
+    wc = O.word_count
+    return f"""th as (
+  select doc_id, exact_match, prompt, resp,
+         head, lines, think_lines, array_to_string(think_lines, chr(10)) as thinking,
+         (length(head) - length(replace(head, chr(10), ''))) - 1 as n_steps,
+         case when not contains(resp, {O.sq(_TAG_ANS)}) then ''
+              when contains(after, chr(10)) then substr(after, strpos(after, chr(10)) + 1)
+              else after end as answer
+  from (select *, case when len(lines) > 2 then lines[2:len(lines) - 1] else [] end as think_lines
+        from (select *, string_split(head, chr(10)) as lines
+              from (select *, split_part(resp, {O.sq(_TAG_ANS)}, 1) as head,
+                           string_split(resp, {O.sq(_TAG_ANS)})[-1] as after from samples)))),
+tr as (
+  select doc_id, exact_match, cast(n_steps as bigint) as n_steps, cast(len(think_lines) as bigint) as n_lines,
+         cast(coalesce(list_sum(list_transform(think_lines, lambda l: {wc('l')})), 0) as bigint) as sum_step_tokens,
+         {wc('thinking')} as thinking_tokens, {wc('answer')} as answer_tokens, {wc('resp')} as total_tokens,
+         not contains(resp, 'Answer:') and not contains(resp, chr(92) || 'boxed') as no_answer,
+         not contains(resp, '<|im_start|>think') as no_thinking,
+         {wc('prompt || resp')} > 32760 as over_context,
+         coalesce({wc('thinking')} > {token_limit}, false) as over_budget,
+         cast(length(thinking) as bigint) as thinking_len, cast(length(answer) as bigint) as answer_len
+  from th)"""
+
+
+def _thinking_rows(spark, sf, token_limit: int = 200):
+    return ST.thinking_rows(X.samples(spark, sf), token_limit=token_limit)
+
+
+@register("thinking_parts", X.with_views(
+    "select doc_id, n_steps, n_lines, thinking_len, answer_len from tr", "samples",
+    extra=(_thinking_cte(),)))
+def q_thinking_parts(spark, sf):
+    from ..functions.thinking import thinking_parts
+    s = X.samples(spark, sf)
+    p = thinking_parts(F.col("resp"))
+    return s.select("doc_id", p["n_steps"].cast("bigint").alias("n_steps"),
+                    F.size(p["lines"]).cast("bigint").alias("n_lines"),
+                    F.length(p["thinking"]).cast("bigint").alias("thinking_len"),
+                    F.length(p["answer"]).cast("bigint").alias("answer_len"))
+
+
+@register("thinking_stats", X.with_views(
+    """select count(*) as samples, sum(n_steps) / count(*) as avg_steps,
+              sum(sum_step_tokens) / sum(n_lines) as avg_step_tokens,
+              min(thinking_tokens) as min_thinking_tokens, max(thinking_tokens) as max_thinking_tokens,
+              avg(thinking_tokens) as avg_thinking_tokens, avg(answer_tokens) as avg_answer_tokens,
+              avg(total_tokens) as avg_total_tokens,
+              count(*) filter (where over_budget) as n_over_budget,
+              count(*) filter (where over_context) as n_over_context,
+              count(*) filter (where no_answer) as n_no_answer,
+              count(*) filter (where no_thinking) as n_no_thinking from tr""", "samples",
+    extra=(_thinking_cte(),)))
+def q_thinking_stats(spark, sf):
+    return ST.thinking_stats(_thinking_rows(spark, sf), digits=None)
+
+
+@register("by_thinking_length", X.with_views(
+    "select doc_id, thinking_tokens, exact_match from tr order by thinking_tokens, doc_id", "samples",
+    extra=(_thinking_cte(),)))
+def q_by_thinking_length(spark, sf):
+    return ST.by_thinking_length(_thinking_rows(spark, sf))
+
+
+@register("flag_counts", X.with_views(
+    """select count(*) as n, count(*) filter (where no_answer) as n_no_answer,
+              count(*) filter (where no_thinking) as n_no_thinking,
+              count(*) filter (where over_context) as n_over_context,
+              count(*) filter (where over_budget) as n_over_budget from tr""", "samples",
+    extra=(_thinking_cte(),)))
+def q_flag_counts(spark, sf):
+    r = _thinking_rows(spark, sf)
+    return r.agg(F.count(F.lit(1)).alias("n"), F.count_if("no_answer").alias("n_no_answer"),
+                 F.count_if("no_thinking").alias("n_no_thinking"),
+                 F.count_if("over_context").alias("n_over_context"),
+                 F.count_if("over_budget").alias("n_over_budget"))
+
+
+@register("step_parts", X.with_views(
+    f"""select doc_id,
+               cast((length(resp) - length(replace(resp, ' steps left' || chr(10), ''))) / 12 as bigint) as n_markers,
+               cast(len(steps) as bigint) as n_steps,
+               cast(coalesce(list_sum(list_transform(steps, lambda p: length(p))), 0) as bigint) as step_chars,
+               cast(case when contains(resp, {O.sq(_TAG_ANS)}) then length(split_part(resp, {O.sq(_TAG_ANS)}, 2))
+                    else 0 end as bigint) as answer_len
+        from (select doc_id, resp,
+                     list_transform(case when len(pieces) > 2 then pieces[2:len(pieces) - 1] else [] end,
+                                    lambda p: case when contains(p, chr(10)) then substr(p, strpos(p, chr(10)) + 1)
+                                                   else '' end) as steps
+              from (select *, string_split(resp, '<|im_start|>') as pieces from step_samples))""",
+    "step_samples"))
+def q_step_parts(spark, sf):
+    from ..functions.thinking import step_parts
+    p = step_parts(F.col("resp"))
+    return X.step_samples(spark, sf).select(
+        "doc_id", p["n_markers"].alias("n_markers"), F.size(p["steps"]).cast("bigint").alias("n_steps"),
+        F.aggregate(p["steps"], F.lit(0).cast("bigint"), lambda a, x: a + F.length(x)).alias("step_chars"),
+        F.length(p["answer"]).cast("bigint").alias("answer_len"))
+
+
+# --------------------------------------------------------------------------- chat rendering
+
+
+@register("training_rows", X.with_views(
+    f"""select doc_id, cast(length(t) as bigint) as text_len, md5(t) as text_md5
+        from (select doc_id, {O.render([('user', O.question_prompt('prompt')),
+                                        ('assistant', O.assistant_segment('resp'))])} as t from samples)""",
+    "samples"))
+def q_training_rows(spark, sf):
+    s = X.samples(spark, sf).withColumn("t", C.training_text(F.col("prompt"), F.col("resp")))
+    return s.select("doc_id", F.length("t").cast("bigint").alias("text_len"), F.md5("t").alias("text_md5"))
+
+
+@register("render_conversations",
+          f"""select conv_id, count(*) as n_turns, cast(length(t) as bigint) as text_len, md5(t) as text_md5
+              from (select conv_id, count(*) over (partition by conv_id) as c,
+                           string_agg({O.nl(C.IM_START)} || role || chr(10) || text || {O.nl(C.IM_END)} || chr(10), ''
+                                      order by turn) over (partition by conv_id) as t
+                    from conversations) group by conv_id, t""")
+def q_render_conversations(spark, sf):
+    c = X.table(spark, sf, "conversations")
+    g = c.groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("n_turns"),
+        F.array_sort(F.collect_list(F.struct("turn", C.message(F.col("role"), F.col("text")).alias("m"))))
+        .alias("ms"))
+    t = C.render_chat(F.transform("ms", lambda x: x["m"]))
+    return g.select("conv_id", "n_turns", F.length(t).cast("bigint").alias("text_len"), F.md5(t).alias("text_md5"))
+
+
+@register("assistant_segment", X.with_views(
+    f"""select index, cast(length(seg) as bigint) as seg_len, md5(seg) as seg_md5
+        from (select index, {O.assistant_segment('full_text')} as seg
+              from (select index, {O.start_prompt('problem', C.GENERATION_SYSTEM_PROMPT)} || model_response
+                                  || {O.nl(C.IM_END + chr(10))} as full_text from traces))""", "traces"))
+def q_assistant_segment(spark, sf):
+    t = X.traces(spark, sf)
+    full = F.concat(C.start_prompt(F.col("problem")), F.col("model_response"), F.lit(C.IM_END + "\n"))
+    seg = C.assistant_segment(full)
+    return t.select("index", F.length(seg).cast("bigint").alias("seg_len"), F.md5(seg).alias("seg_md5"))
+
+
+# --------------------------------------------------------------------------- records and paths
+
+_JSON_CASE = {
+    0: ("'{\"math_verify\": ' || cast(exact_match as varchar) || ', \"exact_match\": 0}'",
+        lambda em: F.concat(F.lit('{"math_verify": '), em.cast("string"), F.lit(', "exact_match": 0}'))),
+    1: ("'{\"exact_match\": ' || case when exact_match = 1 then 'true' else 'false' end || '}'",
+        lambda em: F.concat(F.lit('{"exact_match": '), F.when(em == 1, "true").otherwise("false"), F.lit("}"))),
+    2: ("'{\"exact_match\": \"' || case when exact_match = 1 then 'Yes' else 'no' end || '\"}'",
+        lambda em: F.concat(F.lit('{"exact_match": "'), F.when(em == 1, "Yes").otherwise("no"), F.lit('"}'))),
+    3: ("'{\"exact_match\": [' || cast(exact_match as varchar) || ']}'",
+        lambda em: F.concat(F.lit('{"exact_match": ['), em.cast("string"), F.lit("]}"))),
+    4: ("'{\"math_verify\": null, \"exact_match\": ' || cast(exact_match as varchar) || '.0}'",
+        lambda em: F.concat(F.lit('{"math_verify": null, "exact_match": '), em.cast("string"), F.lit(".0}"))),
+    5: ("'{\"other\": 1}'", lambda em: F.lit('{"other": 1}')),
+}
+
+
+def _json_results(spark, sf):
+    s = X.samples(spark, sf)
+    k = s.doc_id % 6
+    line = None
+    for i, (_, build) in _JSON_CASE.items():
+        line = F.when(k == i, build(F.col("exact_match"))) if line is None else line.when(
+            k == i, build(F.col("exact_match")))
+    return s.select("doc_id", line.alias("line"))
+
+
+_JSON_SQL = ("case doc_id % 6 " + " ".join(f"when {i} then {sql}" for i, (sql, _) in _JSON_CASE.items())
+             + " end")
+
+
+@register("as_correct", X.with_views(
+    f"""select doc_id, coalesce(case json_type(f)
+              when 'BOOLEAN' then json_extract_string(f, '$') = 'true'
+              when 'BIGINT' then cast(json_extract_string(f, '$') as double) > 0
+              when 'UBIGINT' then cast(json_extract_string(f, '$') as double) > 0
+              when 'DOUBLE' then cast(json_extract_string(f, '$') as double) > 0
+              when 'VARCHAR' then lower(json_extract_string(f, '$')) in ('true', '1', 'yes', 'correct')
+              else false end, false) as correct
+        from (select doc_id, case when json_type(v) = 'ARRAY' then json_extract(v, '$[0]') else v end as f
+              from (select doc_id, case when coalesce(json_type(line, '$.math_verify'), 'NULL') <> 'NULL'
+                                        then json_extract(line, '$.math_verify')
+                                        else json_extract(line, '$.exact_match') end as v
+                    from (select doc_id, {_JSON_SQL} as line from samples)))""", "samples"))
+def q_as_correct(spark, sf):
+    from ..functions.records import as_correct_json
+    return _json_results(spark, sf).select(
+        "doc_id", as_correct_json(F.col("line"), ["math_verify", "exact_match"]).alias("correct"))
+
+
+@register("budget_from_path", X.with_views(
+    """select doc_id, steps, case when steps is null then tokens end as tokens
+       from (select doc_id,
+               try_cast(split_part(split_part(string_split(path, 'step')[-1], '/', 1), 'forcing', 1) as integer) as steps,
+               try_cast(string_split(string_split(split_part(path, 'tokens', 1), '-')[-1], '_')[-1] as integer) as tokens
+             from run_paths)""", "run_paths"))
+def q_budget_from_path(spark, sf):
+    from ..functions.records import budget_from_path
+    b = budget_from_path(F.col("path"))
+    return X.run_paths(spark, sf).select("doc_id", b["steps"].alias("steps"), b["tokens"].alias("tokens"))
+
+
+@register("path_values", X.with_views(
+    """select doc_id, md5(coalesce(json_extract_string(j, '$.doc.problem'), '')) as problem_md5,
+              md5(coalesce(json_extract_string(j, '$.filtered_resps[0][0]'),
+                           json_extract_string(j, '$.filtered_resps[0]'), '')) as resp_md5,
+              coalesce(json_extract_string(j, '$.arguments.gen_args_0.arg_0'), '') = prompt as has_prompt
+       from (select doc_id, prompt, '{"doc": ' || json_object('problem', prompt)::varchar
+                    || ', "arguments": {"gen_args_0": {"arg_0": ' || to_json(prompt)::varchar || '}}'
+                    || ', "filtered_resps": ' || case when doc_id % 2 = 0 then to_json([[resp]])::varchar
+                                                      else to_json([resp])::varchar end || '}' as j
+             from samples)""", "samples"))
+def q_path_values(spark, sf):
+    from ..functions.records import path_value
+    s = X.samples(spark, sf)
+    resps = F.when(s.doc_id % 2 == 0, F.to_json(F.array(F.array("resp")))).otherwise(F.to_json(F.array("resp")))
+    j = F.concat(F.lit('{"doc": '), F.to_json(F.struct(F.col("prompt").alias("problem"))),
+                 F.lit(', "arguments": {"gen_args_0": '), F.to_json(F.struct(F.col("prompt").alias("arg_0"))),
+                 F.lit('}, "filtered_resps": '), resps, F.lit("}"))
+    s = s.select("doc_id", "prompt", j.alias("j"))
+    return s.select("doc_id", F.md5(path_value(F.col("j"), "doc.problem")).alias("problem_md5"),
+                    F.md5(path_value(F.col("j"), "filtered_resps[0]")).alias("resp_md5"),
+                    (path_value(F.col("j"), "arguments.gen_args_0.arg_0") == F.col("prompt")).alias("has_prompt"))
+
+
+@register("parse_trace_lines", X.with_views(
+    """select case when json_valid(line) then cast(json_extract(line, '$.index') as bigint) end as index,
+              case when json_valid(line) then cast(json_extract(line, '$.steps') as integer) end as steps,
+              case when json_valid(line) then json_extract(line, '$.is_correct')::boolean end as is_correct,
+              case when json_valid(line) then md5(json_extract_string(line, '$.model_response')) end as response_md5,
+              not json_valid(line) as corrupt
+       from (select case when index % 50 = 0 then '{"index": ' || cast(index as varchar) || ', "steps": '
+                         else to_json(traces)::varchar end as line from traces)""", "traces"))
+def q_parse_trace_lines(spark, sf):
+    from ..sources.jsonl import TRACE_SCHEMA, parse_lines
+    t = X.traces(spark, sf)
+    line = F.when(t["index"] % 50 == 0, F.concat(F.lit('{"index": '), t["index"].cast("string"),
+                                                 F.lit(', "steps": '))
+                  ).otherwise(F.to_json(F.struct(*t.columns)))
+    p = parse_lines(t.select(line.alias("value")), TRACE_SCHEMA)
+    ok = F.col("_corrupt_record").isNull()
+    return p.select(F.when(ok, F.col("index")).alias("index"), F.when(ok, F.col("steps")).alias("steps"),
+                    F.when(ok, F.col("is_correct")).alias("is_correct"),
+                    F.when(ok, F.md5("model_response")).alias("response_md5"), (~ok).alias("corrupt"))

@@ -89,7 +89,38 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.unionByName(tuned)
 
 
-# The same four views as SQL text (FIXTURES B1–B4) for the DuckDB oracle.
+def step_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples in the step-limited format: every assistant turn becomes a
+    ``<|im_start|>N steps left`` step, followed by an answer section."""
+    c = table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    steps = c.select("conv_id", "turn", "text", F.row_number().over(w).alias("rn"),
+                     F.count(F.lit(1)).over(Window.partitionBy("conv_id")).alias("cnt"))
+    piece = F.concat(F.lit("<|im_start|>"), (F.col("cnt") - F.col("rn")).cast("string"),
+                     F.lit(" steps left\n"), F.col("text"))
+    g = steps.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", piece.alias("p")))).alias("ps"))
+    return g.select(F.col("conv_id").alias("doc_id"), F.concat(
+        F.array_join(F.transform("ps", lambda x: x["p"]), ""),
+        F.lit("<|im_start|>answer\nAnswer: "), F.col("conv_id").cast("string")).alias("resp"))
+
+
+def run_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result-file paths in the naming styles runs are stored under."""
+    d = table(spark, sf_dir, "documents")
+    k = d.doc_id % 5
+    path = (F.when(k == 0, F.concat(F.lit("results/bf-step"), (d.doc_id % 64).cast("string"),
+                                    F.lit("forcing/samples.jsonl")))
+            .when(k == 1, F.concat(F.lit("runs/m-"), (d.doc_id % 50).cast("string"),
+                                   F.lit("steps_32kctxt/"), d.source, F.lit(".jsonl")))
+            .when(k == 2, F.concat(F.lit("out/"), d.lang, F.lit("-"), (d.doc_id % 4096).cast("string"),
+                                   F.lit("tokens/s.jsonl")))
+            .when(k == 3, F.concat(F.lit("a/stepX_"), d.doc_id.cast("string"), F.lit("tokens/c")))
+            .otherwise(F.concat(F.lit("plain/"), d.source, F.lit("/"), d.doc_id.cast("string"),
+                                F.lit(".jsonl"))))
+    return d.select("doc_id", path.alias("path"))
+
+
+# The same views as SQL text (FIXTURES B1–B4) for the DuckDB oracle.
 VIEW_SQL = {
     "traces": """
 select d.doc_id as index, concat('Q', cast(d.doc_id as string)) as problem,
@@ -118,6 +149,22 @@ from conversations group by conv_id""",
     "runs": """
 select 'base' as run, doc_id, quality as exact_match from labels
 union all select 'tuned' as run, doc_id, greatest(quality, 1 - toxic) as exact_match from labels""",
+    "step_samples": """
+select conv_id as doc_id,
+  string_agg('<|im_start|>' || cast(cnt - rn as varchar) || ' steps left' || chr(10) || text, '' order by turn)
+    || '<|im_start|>answer' || chr(10) || 'Answer: ' || cast(conv_id as varchar) as resp
+from (select *, row_number() over (partition by conv_id order by turn) as rn,
+             count(*) over (partition by conv_id) as cnt
+      from conversations where role = 'assistant')
+group by conv_id""",
+    "run_paths": """
+select doc_id, case doc_id % 5
+  when 0 then 'results/bf-step' || cast(doc_id % 64 as varchar) || 'forcing/samples.jsonl'
+  when 1 then 'runs/m-' || cast(doc_id % 50 as varchar) || 'steps_32kctxt/' || source || '.jsonl'
+  when 2 then 'out/' || lang || '-' || cast(doc_id % 4096 as varchar) || 'tokens/s.jsonl'
+  when 3 then 'a/stepX_' || cast(doc_id as varchar) || 'tokens/c'
+  else 'plain/' || source || '/' || cast(doc_id as varchar) || '.jsonl' end as path
+from documents""",
 }
 
 
