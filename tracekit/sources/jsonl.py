@@ -24,7 +24,7 @@ TRACE_SCHEMA = T.StructType([
 CORRUPT = "_corrupt_record"
 
 
-def parse_lines(lines: DataFrame, schema: T.StructType, line_col: str = "value",
+def parse_lines(lines: DataFrame, schema: T.StructType | str, line_col: str = "value",
                 keep_line_col: bool = False) -> DataFrame:
     """Parse a text column of JSON objects with ``schema``.
 
@@ -32,6 +32,8 @@ def parse_lines(lines: DataFrame, schema: T.StructType, line_col: str = "value",
     schema) and ``_blank`` (line is empty or whitespace). Missing fields are
     null.
     """
+    if isinstance(schema, str):
+        schema = T.DataType.fromDDL(schema)
     with_corrupt = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType())])
     parsed = F.from_json(F.col(line_col), with_corrupt,
                          {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
@@ -48,7 +50,7 @@ def read_traces(spark: SparkSession, path: str, schema: T.StructType = TRACE_SCH
     return parse_lines(lines, schema)
 
 
-def read_samples(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_samples(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Evaluation samples from JSONL: blank lines skipped, malformed lines
     dropped (S2)."""
     lines = spark.read.text(path).where(F.length(F.trim(F.col("value"))) > 0)
