@@ -90,3 +90,17 @@ def test_seeded_sample_independent_of_partitioning(spark):
     b = [r["index"] for r in S.seeded_sample(t.repartition(13), 50, 7, "index").collect()]
     c = [r["index"] for r in S.seeded_sample(t, 50, 8, "index").collect()]
     assert a == b and len(a) == 50 and a != c
+
+
+def test_large_cap_path_matches_topk(spark, monkeypatch):
+    t = _traces(spark)
+    keep = ~R.is_repeating(F.col("model_response"), 3, 20)
+    small = {n: (S.first_n_report(t, keep, "index", n).first(),
+                 sorted(r["index"] for r in S.first_n_kept(t, keep, "index", n).collect()),
+                 sorted(r["index"] for r in S.seeded_sample(t, n, 3, "index").collect()))
+             for n in [1, 5, 77, 100000]}
+    monkeypatch.setattr(S, "TOPK_MAX", 0)
+    for n, (rep, rows, sample) in small.items():
+        assert S.first_n_report(t, keep, "index", n).first() == rep
+        assert sorted(r["index"] for r in S.first_n_kept(t, keep, "index", n).collect()) == rows
+        assert sorted(r["index"] for r in S.seeded_sample(t, n, 3, "index").collect()) == sample

@@ -31,7 +31,9 @@ def step_decisions(steps: DataFrame, mode: str = "budget", num_waits: int = 5,
     appended after it. Steps after the first stopping one are dropped."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    df = steps
+    # steps past the last allowed one can never be kept; dropping them first
+    # bounds every window group to num_waits + 1 rows
+    df = steps.where(F.col("step") <= num_waits)
     base = F.lit(0)
     if prompt_tokens is not None:
         df = df.join(prompt_tokens, "sample_id", "left")
@@ -49,7 +51,7 @@ def step_decisions(steps: DataFrame, mode: str = "budget", num_waits: int = 5,
     token = F.when(F.lit(mode == "alternating") & (F.col("step") % 2 == 1), F.lit(ALTERNATIVELY)
                    ).otherwise(F.lit(WAIT))
     return (df.withColumn("_earlier", F.coalesce(earlier, F.lit(0)))
-              .where((F.col("_earlier") == 0) & (F.col("step") <= num_waits))
+              .where(F.col("_earlier") == 0)
               .withColumn("marker", F.when(F.col("stop"), F.lit(""))
                           .otherwise(F.concat(F.lit("\n"), token, F.lit("\n"))))
               .drop("_earlier"))

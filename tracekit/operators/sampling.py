@@ -1,10 +1,23 @@
-"""Seeded sampling and capped filtering."""
+"""Seeded sampling and capped filtering.
+
+A cap ``n`` up to ``TOPK_MAX`` is a top-k: each task keeps its best ``n``
+rows and one task merges them. Past that, the n-th key is found without
+ever holding ``n`` rows together: the keys are range-partitioned, each
+partition reports (count, min, max) — one small row per partition — and the
+partition that holds the n-th key is searched for it; the cap then becomes
+an ordinary ``key <= cutoff`` filter.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: largest cap served as a per-task top-k
+TOPK_MAX = 100_000
+
 
 def correct_untruncated(df: DataFrame) -> DataFrame:
     """Rows that go to the "correct" file: correct and not truncated."""
@@ -17,19 +30,64 @@ def seed_order(seed: int, key: str) -> list[Column]:
     return [F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.col(key)]
 
 
+def _lex_le(cols: list[Column], values: tuple) -> Column:
+    """(cols) <= (values) in lexicographic order, as a plain predicate."""
+    cond = None
+    for c, v in reversed(list(zip(cols, values))):
+        cond = (c <= F.lit(v)) if cond is None else (c < F.lit(v)) | ((c == F.lit(v)) & cond)
+    return cond
+
+
+def nth_order_values(df: DataFrame, order: list[Column], n: int, parts: int | None = None) -> tuple | None:
+    """Values of ``order`` at the n-th smallest row (None if fewer rows),
+    found with one range-partitioned counting pass and one bounded top-k
+    inside the partition that holds it."""
+    names = [f"_o{i}" for i in range(len(order))]
+    keyed = df.select(*[c.alias(nm) for c, nm in zip(order, names)])
+    spark = df.sparkSession
+    parts = parts or max(spark.sparkContext.defaultParallelism,
+                         int(spark.conf.get("spark.sql.shuffle.partitions")))
+    summary = (keyed.repartitionByRange(parts, *names)
+               .groupBy(F.spark_partition_id().alias("p"))
+               .agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*names)).alias("lo"),
+                    F.max(F.struct(*names)).alias("hi"))
+               .orderBy("lo").collect())  # one row per partition
+    seen = 0
+    for row in summary:
+        if seen + row.c >= n:
+            lo, hi, rank = tuple(row.lo), tuple(row.hi), n - seen
+            cols = [F.col(nm) for nm in names]
+            inside = keyed.where(~_lex_le(cols, lo) | reduce(lambda a, b: a & b,
+                                                             [c == F.lit(v) for c, v in zip(cols, lo)]))
+            inside = inside.where(_lex_le(cols, hi))
+            top = inside.orderBy(*names).limit(rank).agg(F.max(F.struct(*names)).alias("m")).first()
+            return tuple(top.m)
+        seen += row.c
+    return None
+
+
 def seeded_sample(df: DataFrame, n: int | None, seed: int, key: str) -> DataFrame:
     """``n`` rows chosen by the seed (all rows, in seed order, for n None/0).
 
-    A bounded ``n`` plans as TakeOrderedAndProject: each partition keeps its
-    best ``n`` and only those meet in the final merge.
+    Up to ``TOPK_MAX`` this plans as TakeOrderedAndProject; larger samples
+    keep the rows at or below the n-th seed-order key.
     """
-    ordered = df.orderBy(*seed_order(seed, key))
-    return ordered.limit(n) if n else ordered
+    order = seed_order(seed, key)
+    if not n:
+        return df.orderBy(*order)
+    if n <= TOPK_MAX:
+        return df.orderBy(*order).limit(n)
+    cut = nth_order_values(df, order, n)
+    return df if cut is None else df.where(_lex_le(order, cut))
 
 
 def _nth_kept_order(kept: DataFrame, order_col: str, n: int) -> Column:
-    """Scalar subquery: ``order_col`` of the n-th kept row, or null when
-    fewer than n rows are kept."""
+    """``order_col`` of the n-th kept row, or null when fewer than n rows
+    are kept: a scalar subquery over a top-k, or a literal found by
+    ``nth_order_values`` for large n."""
+    if n > TOPK_MAX:
+        cut = nth_order_values(kept, [F.col(order_col)], n)
+        return F.lit(None) if cut is None else F.lit(cut[0])
     top = kept.select(order_col).orderBy(order_col).limit(n)
     return top.agg(F.when(F.count(F.lit(1)) >= n, F.max(order_col))).scalar()
 
@@ -39,7 +97,10 @@ def first_n_kept(df: DataFrame, keep: Column, order_col: str, n: int | None) ->
     kept = df.where(keep)
     if n is None:
         return kept
-    return kept.orderBy(order_col).limit(n)
+    if n <= TOPK_MAX:
+        return kept.orderBy(order_col).limit(n)
+    cut = nth_order_values(kept, [F.col(order_col)], n)
+    return kept if cut is None else kept.where(F.col(order_col) <= F.lit(cut[0]))
 
 
 def first_n_report(df: DataFrame, keep: Column, order_col: str, n: int | None) -> DataFrame:
@@ -50,7 +111,8 @@ def first_n_report(df: DataFrame, keep: Column, order_col: str, n: int | None) -
         flagged = flagged.limit(0)
     elif n is not None:
         cutoff = _nth_kept_order(flagged.where(~F.col("_dropped")), order_col, n)
-        flagged = flagged.where(cutoff.isNull() | (F.col(order_col) <= cutoff))
+        # one reference to the scalar subquery, so it runs once
+        flagged = flagged.where(F.coalesce(F.col(order_col) <= cutoff, F.lit(True)))
     return flagged.agg(F.count(F.lit(1)).alias("processed"),
                        F.count_if("_dropped").alias("filtered"),
                        F.count_if(~F.col("_dropped")).alias("saved"))
