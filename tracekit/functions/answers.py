@@ -158,7 +158,7 @@ def final_answer(col: Column) -> Column:
 def gold_answer(solution: Column) -> Column:
     """Gold answer of a worked solution: its last box, unboxed, normalized.
     A solution whose box cannot be unboxed gives "" (reported, not raised)."""
-    return normalize_answer(unbox(last_boxed(solution)))
+    return normalize_answer(bind(last_boxed(solution), unbox))
 
 
 _INT = r"^-?[0-9]+$"
@@ -190,8 +190,11 @@ def answers_equal(a: Column, b: Column) -> Column:
     with equal value. This is NOT symbolic equivalence: ``\\sqrt{4}`` and
     ``2`` compare unequal here.
     """
-    same = (a == b) & (a != "") & (a != INVALID_ANSWER)
-    na, da = _rational(a)
-    nb, db = _rational(b)
-    cross = (F.try_multiply(na, db) == F.try_multiply(nb, da)) & (da != 0) & (db != 0)
-    return F.coalesce(same, F.lit(False)) | F.coalesce(cross, F.lit(False))
+    def equal(x: Column, y: Column) -> Column:
+        same = (x == y) & (x != "") & (x != INVALID_ANSWER)
+        nx, dx = _rational(x)
+        ny, dy = _rational(y)
+        cross = (F.try_multiply(nx, dy) == F.try_multiply(ny, dx)) & (dx != 0) & (dy != 0)
+        return F.coalesce(same, F.lit(False)) | F.coalesce(cross, F.lit(False))
+
+    return bind(a, lambda x: bind(b, lambda y: equal(x, y)))

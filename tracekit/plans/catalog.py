@@ -546,3 +546,67 @@ def q_parse_trace_lines(spark, sf):
     return p.select(F.when(ok, F.col("index")).alias("index"), F.when(ok, F.col("steps")).alias("steps"),
                     F.when(ok, F.col("is_correct")).alias("is_correct"),
                     F.when(ok, F.md5("model_response")).alias("response_md5"), (~ok).alias("corrupt"))
+
+
+# --------------------------------------------------------------------------- more reports
+
+
+@register("accuracy", X.with_views(
+    """select count(*) as n, count(*) filter (where is_correct) as n_correct,
+              count(*) filter (where is_correct) / count(*) as accuracy from traces""", "traces"))
+def q_accuracy(spark, sf):
+    return ST.accuracy(X.traces(spark, sf), "is_correct")
+
+
+@register("repeated_sentences_top", X.with_views(
+    f"""select index, sentence, count(*) as n from (
+          select index, unnest({O.sentence_list('model_response', 20)}) as sentence from traces)
+        group by index, sentence having count(*) >= 2
+        order by n desc, index, sentence limit 20""", "traces"))
+def q_repeated_sentences_top(spark, sf):
+    r = R.repeated_sentences(X.traces(spark, sf), "index", "model_response", 2, 20)
+    return r.orderBy(F.col("n").desc(), "index", "sentence").limit(20)
+
+
+@register("render_chat", X.with_views(
+    f"""select index, cast(length(t) as bigint) as text_len, md5(t) as text_md5
+        from (select index, {O.render([('system', O.nl(C.STATS_SYSTEM_PROMPT)),
+                                       ('user', O.question_prompt('problem')),
+                                       ('assistant', O.assistant_segment(
+                                           f"({O.start_prompt('problem', C.GENERATION_SYSTEM_PROMPT)} || model_response)"))])}
+                     as t from traces)""", "traces"))
+def q_render_chat(spark, sf):
+    t = X.traces(spark, sf)
+    resp = F.concat(C.start_prompt(F.col("problem")), F.col("model_response"))
+    text = C.training_text(F.col("problem"), resp, C.STATS_SYSTEM_PROMPT)
+    return t.select("index", F.length(text).cast("bigint").alias("text_len"), F.md5(text).alias("text_md5"))
+
+
+@register("gold_answers", X.with_views(
+    f"select index, {O.normalize(O.bind(O.last_boxed('model_response'), O.unbox))} as answer from traces",
+    "traces"))
+def q_gold_answers(spark, sf):
+    from .. operators.scoring import gold_answers
+    t = X.traces(spark, sf).select("index", F.col("model_response").alias("solution"))
+    return gold_answers(t).select("index", "answer")
+
+
+def _questions(spark, sf):
+    c = X.table(spark, sf, "conversations").where(F.col("turn") == 0)
+    return c.select(F.col("conv_id").alias("sample_id"), F.col("text").alias("problem"),
+                    (F.col("conv_id") % 97).cast("string").alias("answer"))
+
+
+@register("generated_records", _budget_sql("alternating", 3, 2500, f"""
+select r.sample_id as index, r.steps, r.truncated, r.stopped is not null as has_steps,
+       cast(({O.normalize(O.raw_answer('a.generation'))} = {O.normalize("cast(r.sample_id % 97 as varchar)")})
+            and {O.normalize(O.raw_answer('a.generation'))} not in ('', '[invalidanswer]') as boolean) as is_correct,
+       {O.word_count('r.response')} as tokens, md5(r.response) as response_md5
+from r join a on r.sample_id = a.sample_id
+join conversations q on q.conv_id = r.sample_id and q.turn = 0"""))
+def q_generated_records(spark, sf):
+    from .pipelines import generate_records
+    steps = X.gen_steps(spark, sf)
+    recs = generate_records(steps, _questions(spark, sf), mode="alternating", num_waits=3, max_model_len=2500)
+    return recs.select("index", "steps", "truncated", F.lit(True).alias("has_steps"), "is_correct",
+                       "tokens", F.md5("model_response").alias("response_md5"))
