@@ -52,6 +52,11 @@ FINAL_ANSWER_PATTERN = r"Final Answer: The final answer is(.*?). I hope it is co
 FINAL_ANSWER_END = "I hope it is correct."
 # ---------------------------------------------------------------------------
 
+# A literal every match of each rewrite above must contain (same order): the
+# regex only runs on strings that contain it, which keeps the lazy ``.*?``
+# patterns from scanning texts they cannot match.
+REWRITE_GUARDS = ["$", "\\text{", "\\textbf{", "\\overline{", "\\boxed{", "frac", "sqrt"]
+
 
 def java_replacement(py_repl: str) -> str:
     """Python ``\\N`` group references → Java ``$N``; literal ``$`` escaped."""
@@ -132,6 +137,13 @@ def raw_answer(col: Column) -> Column:
     return F.coalesce(boxed, sentence, F.lit(INVALID_ANSWER))
 
 
+def _guarded_rewrite(pattern: str, repl: str, needle: str):
+    def rewrite(v: Column) -> Column:
+        return F.when(v.contains(needle), F.regexp_replace(v, "(?d)" + pattern, java_replacement(repl))
+                      ).otherwise(v)
+    return rewrite
+
+
 def normalize_answer(col: Column) -> Column:
     """The fixed normalization chain; null → ""."""
     x = bind(col, lambda v: F.substring_index(F.coalesce(v, F.lit("")), "=", -1))
@@ -139,8 +151,8 @@ def normalize_answer(col: Column) -> Column:
         x = F.replace(x, F.lit(before), F.lit(after))
     for expr in REMOVED_EXPRESSIONS:
         x = F.replace(x, F.lit(expr), F.lit(""))
-    for pattern, repl in REGEX_REWRITES:
-        x = F.regexp_replace(x, "(?d)" + pattern, java_replacement(repl))
+    for (pattern, repl), needle in zip(REGEX_REWRITES, REWRITE_GUARDS):
+        x = bind(x, _guarded_rewrite(pattern, repl, needle))
     x = F.replace(x, F.lit("$"), F.lit(""))
 
     def digits_without_commas(v: Column) -> Column:

@@ -56,35 +56,43 @@ def drop_repeating(df: DataFrame, text_col: str, threshold: int = 2, min_len: in
     return df.where(~is_repeating(F.col(text_col), threshold, min_len))
 
 
-def sentence_counts(text: Column, min_len: int) -> Column:
-    """array<struct<sentence:string, n:bigint>>: every distinct qualifying
-    sentence of the text with its number of occurrences, from one sort of the
-    row's sentences (run lengths read off the sorted array)."""
+_COUNTS_TYPE = "array<struct<sentence:string,n:bigint>>"
+
 
-    def runs(so: Column) -> Column:
-        n = F.size(so)
-        ends = F.filter(F.sequence(F.lit(1), n),
-                        lambda i: (i == n) | (F.element_at(so, i) != F.element_at(so, i + 1)))
+def _run_lengths(so: Column) -> Column:
+    """(value, occurrences) of each distinct value of a sorted array, read
+    off the positions where the value changes."""
+    n = F.size(so)
+    ends = F.filter(F.sequence(F.lit(1), n),
+                    lambda i: (i == n) | (F.element_at(so, i) != F.element_at(so, i + 1)))
 
-        def counted(ends_arr: Column) -> Column:
-            return F.transform(ends_arr, lambda e, j: F.struct(
-                F.element_at(so, e).alias("sentence"),
-                (e - F.when(j == 0, F.lit(0)).otherwise(F.element_at(ends_arr, j))).cast("bigint").alias("n")))
+    def counted(ends_arr: Column) -> Column:
+        return F.transform(ends_arr, lambda e, j: F.struct(
+            F.element_at(so, e).alias("sentence"),
+            (e - F.when(j == 0, F.lit(0)).otherwise(F.element_at(ends_arr, j))).cast("bigint").alias("n")))
 
-        return F.when(n == 0, F.array().cast("array<struct<sentence:string,n:bigint>>")
-                      ).otherwise(_bind(ends, counted))
+    return F.when(n == 0, F.array().cast(_COUNTS_TYPE)).otherwise(_bind(ends, counted))
 
-    return _bind(F.array_sort(sentences(text, min_len)), runs)
+
+def sentence_counts(text: Column, min_len: int) -> Column:
+    """array<struct<sentence:string, n:bigint>>: every distinct qualifying
+    sentence of the text with its number of occurrences, from one sort of the
+    row's sentences."""
+    return _bind(F.array_sort(sentences(text, min_len)), _run_lengths)
 
 
 def repeated_sentences(df: DataFrame, id_col: str, text_col: str, threshold: int = 2,
                        min_len: int = 20) -> DataFrame:
     """(id, sentence, n) for every sentence occurring ``threshold``+ times in
-    its text (A8). Texts without any duplicate skip the sort entirely."""
-    counts = sentence_counts(F.col(text_col), min_len)
-    if threshold >= 2:
-        df = df.where(is_repeating(F.col(text_col), 2, min_len))
-    return (df.select(F.col(id_col), F.inline(F.filter(counts, lambda r: r["n"] >= threshold))))
+    its text (A8). Each text is split once; texts without any duplicate skip
+    the sort."""
+    def repeated(s: Column) -> Column:
+        runs = F.filter(_bind(F.array_sort(s), _run_lengths), lambda r: r["n"] >= threshold)
+        if threshold < 2:
+            return runs
+        return F.when(F.size(s) > F.size(F.array_distinct(s)), runs).otherwise(F.array().cast(_COUNTS_TYPE))
+
+    return df.select(F.col(id_col), F.inline(_bind(sentences(F.col(text_col), min_len), repeated)))
 
 
 def repetition_flags(df: DataFrame, text_col: str, threshold: int, min_len: int,

@@ -14,6 +14,19 @@ def gold_answers(questions: DataFrame, solution_col: str = "solution",
     return questions.withColumn(answer_col, gold_answer(F.col(solution_col)))
 
 
+def score_columns(df: DataFrame, response_col: str, gold_col: str, normalize_gold: bool = True,
+                  verifier_col: str | None = None) -> DataFrame:
+    """Add ``pred``, ``gold``, ``exact_match`` (int) and ``is_correct`` to a
+    frame that already carries the response and its gold answer."""
+    scored = (df.withColumn("pred", final_answer(F.col(response_col)))
+                .withColumn("gold", normalize_answer(F.col(gold_col)) if normalize_gold else F.col(gold_col))
+                .withColumn("exact_match", answers_equal(F.col("pred"), F.col("gold")).cast("int")))
+    correct = F.col("exact_match") == 1
+    if verifier_col:
+        correct = correct | (F.coalesce(F.col(verifier_col), F.lit(0)) == 1)
+    return scored.withColumn("is_correct", correct)
+
+
 def score(outputs: DataFrame, gold: DataFrame, key: str, response_col: str = "model_response",
           gold_col: str = "answer", normalize_gold: bool = True,
           verifier_col: str | None = None) -> DataFrame:
@@ -23,16 +36,9 @@ def score(outputs: DataFrame, gold: DataFrame, key: str, response_col: str = "mo
     ``key``. No broadcast hint: Spark broadcasts the gold side only when its
     estimated size is under ``spark.sql.autoBroadcastJoinThreshold`` (and AQE
     re-checks with runtime sizes); past that it shuffles both sides on the key.
-    Adds ``pred``, ``gold`` and ``exact_match`` (int); an optional verifier
-    column is OR-ed into ``is_correct``.
+    Adds ``pred``, ``gold``, ``exact_match`` (int) and ``is_correct``; an
+    optional verifier column is OR-ed into ``is_correct``.
     """
     g = gold.select(F.col(key), F.col(gold_col).alias("_gold"))
-    scored = (outputs.join(g, key, "inner")
-              .withColumn("pred", final_answer(F.col(response_col)))
-              .withColumn("gold", normalize_answer(F.col("_gold")) if normalize_gold else F.col("_gold"))
-              .withColumn("exact_match", answers_equal(F.col("pred"), F.col("gold")).cast("int"))
-              .drop("_gold"))
-    correct = F.col("exact_match") == 1
-    if verifier_col:
-        correct = correct | (F.coalesce(F.col(verifier_col), F.lit(0)) == 1)
-    return scored.withColumn("is_correct", correct)
+    joined = outputs.join(g, key, "inner")
+    return score_columns(joined, response_col, "_gold", normalize_gold, verifier_col).drop("_gold")

@@ -70,9 +70,10 @@ def length_buckets(df: DataFrame, len_col: str = "len", correct_col: str = "corr
             low = F.when(v >= lo, lo) if low is None else low.when(v >= lo, lo)
         return F.struct(length_bucket(v).alias("bucket"), low.cast("bigint").alias("low"))
 
-    # the length is read once per row, into one struct key
-    g = (df.where(F.col(len_col) >= 0)
-           .groupBy(bind(F.col(len_col), bucket).alias("b"))
+    # The length is read once per row, into one struct key. (No filter on it:
+    # a filter on a derived column is pushed below its projection and would
+    # compute the length twice.)
+    g = (df.groupBy(bind(F.col(len_col), bucket).alias("b"))
            .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(correct_col)).alias("n_correct")))
     # the grouped frame has at most seven rows, so a whole-frame window is free
     total = F.sum("n").over(Window.partitionBy())

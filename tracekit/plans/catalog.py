@@ -161,7 +161,7 @@ def q_length_stats(spark, sf):
                        case when len < 512 then 0 when len < 1024 then 512 when len < 2048 then 1024
                             when len < 4096 then 2048 when len < 8192 then 4096
                             when len < 16384 then 8192 else 16384 end as low
-             from rows where len >= 0) group by bucket"""))
+             from rows) group by bucket"""))
 def q_length_buckets(spark, sf):
     return ST.length_buckets(stats_rows(X.traces(spark, sf)))
 

@@ -18,7 +18,7 @@ from ..operators import budget as B
 from ..operators import repeat as R
 from ..operators import sampling as S
 from ..operators import stats as ST
-from ..operators.scoring import score
+from ..operators.scoring import score_columns
 
 
 def stats_rows(traces: DataFrame, prompt_col: str = "problem", response_col: str = "model_response",
@@ -58,22 +58,23 @@ def generate_records(steps: DataFrame, questions: DataFrame, mode: str = "budget
                      tokenizer_file: str | None = None) -> DataFrame:
     """Trace records from recorded generation steps and the question set.
 
-    ``questions`` has (sample_id, problem, answer). The prompt is rendered,
-    the steps are assembled under the budget rules, the generated text is
-    scored against the gold answer, and the record gets the trace schema.
+    ``questions`` has (sample_id, problem, answer). The steps are assembled
+    under the budget rules (one shuffle on sample_id), joined once to their
+    question, prefixed with the rendered prompt, and the generated text is
+    scored against the gold answer.
     """
-    prompts = questions.select("sample_id", C.start_prompt(F.col(question_col)).alias("prompt"))
-    assembled = B.assemble_budget(steps, mode, num_waits, max_model_len, prompts=prompts)
-    scored = score(assembled, questions.select("sample_id", F.col(answer_col).alias("answer")),
-                   "sample_id", response_col="generation")
-    q = questions.select("sample_id", question_col, py_strip(F.col(answer_col).cast("string")).alias("_gt"))
-    return (scored.join(q, "sample_id")
-                  .select(F.col("sample_id").alias("index"),
-                          F.col(question_col).alias("problem"),
-                          F.col("_gt").alias("ground_truth"),
-                          F.col("response").alias("model_response"),
-                          "is_correct", "truncated", "steps",
-                          token_len(F.col("response"), tokenizer_file).alias("tokens")))
+    assembled = B.assemble_budget(steps, mode, num_waits, max_model_len)
+    q = questions.select("sample_id", F.col(question_col).alias("_problem"),
+                         F.col(answer_col).cast("string").alias("_answer"))
+    joined = (assembled.join(q, "sample_id")
+                       .withColumn("response", F.concat(C.start_prompt(F.col("_problem")), F.col("generation"))))
+    scored = score_columns(joined, "generation", "_answer")
+    return scored.select(F.col("sample_id").alias("index"),
+                         F.col("_problem").alias("problem"),
+                         py_strip(F.col("_answer")).alias("ground_truth"),
+                         F.col("response").alias("model_response"),
+                         "is_correct", "truncated", "steps",
+                         token_len(F.col("response"), tokenizer_file).alias("tokens"))
 
 
 def training_rows(records: DataFrame, n: int | None, seed: int, key: str,
