@@ -86,3 +86,16 @@ def test_is_repeating_null_and_empty(spark):
 def test_java_replacement():
     assert A.java_replacement("$\\3$") == "\\$$3\\$"
     assert A.java_replacement("frac{\\2}{\\3}") == "frac{$2}{$3}"
+
+
+def test_typed_records_on_empty_and_nested(spark):
+    from tracekit.functions.records import as_correct_typed, first_response
+    df = spark.createDataFrame(
+        [(1, [], [[]], [1], ["Yes"], True), (2, ["a"], [["b", "c"]], [0], [], None)],
+        "id int, r array<string>, rr array<array<string>>, n array<int>, s array<string>, b boolean")
+    got = df.orderBy("id").select(
+        first_response(F.col("r"), df.schema["r"].dataType).alias("r"),
+        first_response(F.col("rr"), df.schema["rr"].dataType).alias("rr"),
+        as_correct_typed(df, "n").alias("n"), as_correct_typed(df, "s").alias("s"),
+        as_correct_typed(df, "b").alias("b")).collect()
+    assert [tuple(r) for r in got] == [(None, None, True, True, True), ("a", "b", False, False, False)]

@@ -42,8 +42,8 @@ def first_response(col: Column, dtype: T.DataType | None = None) -> Column:
     if dtype is None:
         return F.coalesce(F.get_json_object(col, "$[0][0]"), F.get_json_object(col, "$[0]"))
     if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.ArrayType):
-        return F.element_at(F.element_at(col, 1), 1)
-    return F.element_at(col, 1)
+        return F.try_element_at(F.try_element_at(col, F.lit(1)), F.lit(1))
+    return F.try_element_at(col, F.lit(1))
 
 
 _TRUE_WORDS = ["true", "1", "yes", "correct"]
@@ -66,7 +66,7 @@ def _correct_of(col: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.StringType):
         return F.lower(col).isin(_TRUE_WORDS)
     if isinstance(dtype, T.ArrayType):
-        return _correct_of(F.element_at(col, 1), dtype.elementType)
+        return _correct_of(F.try_element_at(col, F.lit(1)), dtype.elementType)
     return F.lit(False)
 
 

@@ -15,12 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import sentences
+from ..functions.text import bind, sentences
 
 
-def _bind(value: Column, body) -> Column:
-    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+_bind = bind
 
 
 def _has_run(sorted_arr: Column, threshold: int) -> Column:
@@ -64,7 +62,7 @@ def _run_lengths(so: Column) -> Column:
     off the positions where the value changes."""
     n = F.size(so)
     ends = F.filter(F.sequence(F.lit(1), n),
-                    lambda i: (i == n) | (F.element_at(so, i) != F.element_at(so, i + 1)))
+                    lambda i: (i == n) | (F.element_at(so, i) != F.try_element_at(so, i + 1)))
 
     def counted(ends_arr: Column) -> Column:
         return F.transform(ends_arr, lambda e, j: F.struct(
