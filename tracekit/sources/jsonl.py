@@ -57,10 +57,11 @@ def read_samples(spark: SparkSession, path: str, schema: T.StructType | str) ->
     return parse_lines(lines, schema).where(F.col(CORRUPT).isNull()).drop(CORRUPT, "_blank")
 
 
-def read_dataset(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_dataset(spark: SparkSession, path: str, schema: T.StructType | None = None,
+                 fmt: str | None = None) -> DataFrame:
     """A dataset by file suffix: ``.json``/``.jsonl`` as JSON lines, else
-    Parquet (S3)."""
-    if path.endswith(".json") or path.endswith(".jsonl"):
+    Parquet (S3); ``fmt`` ("json" / "parquet") overrides the suffix."""
+    if fmt == "json" or (fmt is None and (path.endswith(".json") or path.endswith(".jsonl"))):
         reader = spark.read.schema(schema) if schema is not None else spark.read
         return reader.json(path)
     return spark.read.parquet(path)
