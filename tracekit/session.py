@@ -48,8 +48,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         import tempfile
         root = os.path.join(tempfile.gettempdir(), "tracekit-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
     return root
 
