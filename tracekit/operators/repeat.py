@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bind, sentences
+from ..session import filter_here
 
 
 _bind = bind
@@ -51,7 +52,7 @@ def is_repeating(text: Column, threshold: int = 2, min_len: int = 100) -> Column
 
 def drop_repeating(df: DataFrame, text_col: str, threshold: int = 2, min_len: int = 100) -> DataFrame:
     """Rows whose text is not repeating (F2)."""
-    return df.where(~is_repeating(F.col(text_col), threshold, min_len))
+    return filter_here(df, ~is_repeating(F.col(text_col), threshold, min_len))
 
 
 _COUNTS_TYPE = "array<struct<sentence:string,n:bigint>>"

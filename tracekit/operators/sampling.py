@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import filter_here
+
 #: largest cap served as a per-task top-k
 TOPK_MAX = 100_000
 
@@ -94,7 +96,7 @@ def _nth_kept_order(kept: DataFrame, order_col: str, n: int) -> Column:
 
 def first_n_kept(df: DataFrame, keep: Column, order_col: str, n: int | None) -> DataFrame:
     """The first ``n`` kept rows in ``order_col`` order (all kept rows for None)."""
-    kept = df.where(keep)
+    kept = filter_here(df, keep)
     if n is None:
         return kept
     if n <= TOPK_MAX:
@@ -110,7 +112,7 @@ def first_n_report(df: DataFrame, keep: Column, order_col: str, n: int | None) -
     if n == 0:
         flagged = flagged.limit(0)
     elif n is not None:
-        cutoff = _nth_kept_order(flagged.where(~F.col("_dropped")), order_col, n)
+        cutoff = _nth_kept_order(filter_here(flagged, ~F.col("_dropped")), order_col, n)
         # one reference to the scalar subquery, so it runs once
         flagged = flagged.where(F.coalesce(F.col(order_col) <= cutoff, F.lit(True)))
     return flagged.agg(F.count(F.lit(1)).alias("processed"),

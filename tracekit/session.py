@@ -10,7 +10,8 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
@@ -58,6 +59,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def filter_here(df: DataFrame, cond: Column) -> DataFrame:
+    """Rows where an expensive row-local ``cond`` holds, evaluated at this
+    point of the plan.
+
+    Catalyst moves deterministic filters below repartitions, which is right
+    for cheap predicates but would run a heavy text predicate inside the
+    scan task of a table that ``spread`` re-partitioned. Computing the
+    condition as a generated column keeps it where it is written; cheap
+    predicates on stored columns are still pushed to the scan.
+    """
+    flag = "__keep"
+    flagged = df.select("*", F.inline(F.array(F.struct(cond.alias(flag)))))
+    return flagged.where(F.col(flag)).drop(flag)
+
+
 def spread(df: DataFrame, key: str | None = None, factor: int = 4) -> DataFrame:
     """Give a freshly scanned table enough partitions for CPU-heavy row work.
 
