@@ -95,7 +95,8 @@ def cmd_train_rows(spark, a) -> None:
     data = J.read_dataset(spark, a.input, fmt=a.format)
     key = a.key if a.key in data.columns else None
     if key is None:
-        data = data.withColumn("_row", F.monotonically_increasing_id())
+        # a content key: the same rows are drawn however the files are split
+        data = data.withColumn("_row", F.md5(F.to_json(F.struct(*data.columns))))
         key = "_row"
     rows = P.training_rows(data, a.max_train_samples, a.shuffle_seed, key, a.prompt_column,
                            a.response_column, a.system_prompt or None, a.text_column)
