@@ -610,3 +610,29 @@ def q_generated_records(spark, sf):
     recs = generate_records(steps, _questions(spark, sf), mode="alternating", num_waits=3, max_model_len=2500)
     return recs.select("index", "steps", "truncated", F.lit(True).alias("has_steps"), "is_correct",
                        "tokens", F.md5("model_response").alias("response_md5"))
+
+
+# --------------------------------------------------------------------------- streaming
+
+
+@register("stream_curation_report", X.with_views(
+    f"""select count(*) as processed,
+              count(*) filter (where index in (select index from f)) as filtered,
+              count(*) filter (where is_correct and not truncated
+                                     and index not in (select index from f)) as saved,
+              cast(0 as bigint) as corrupt
+       from traces""", "traces", extra=(f"f as {_flagged_sql('traces', 'model_response', 2, 100)}",)))
+def q_stream_curation_report(spark, sf):
+    """The running curation report, computed by a Structured Streaming query
+    over the trace records written as JSON-lines files."""
+    import uuid
+
+    from ..session import scratch_path
+    from ..sources.jsonl import write_jsonl
+    from ..streaming.curate import start_report
+    src = scratch_path(spark, "stream-src")
+    write_jsonl(X.traces(spark, sf), src)
+    name = f"curation_report_{uuid.uuid4().hex[:8]}"
+    q = start_report(spark, src, 2, 100, checkpoint=scratch_path(spark, "stream-ck"), query_name=name)
+    q.awaitTermination()
+    return spark.table(name)
