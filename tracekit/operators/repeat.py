@@ -19,9 +19,6 @@ from ..functions.text import bind, sentences
 from ..session import filter_here
 
 
-_bind = bind
-
-
 def _has_run(sorted_arr: Column, threshold: int) -> Column:
     """A sorted array holds a value ``threshold`` times iff some element
     equals the one ``threshold - 1`` places after it."""
@@ -45,9 +42,9 @@ def is_repeating(text: Column, threshold: int = 2, min_len: int = 100) -> Column
         if threshold == 2:
             return dup
         return F.when(~dup, F.lit(False)).otherwise(
-            _bind(F.array_sort(s), lambda so: _has_run(so, threshold)))
+            bind(F.array_sort(s), lambda so: _has_run(so, threshold)))
 
-    return _bind(segs, check)
+    return bind(segs, check)
 
 
 def drop_repeating(df: DataFrame, text_col: str, threshold: int = 2, min_len: int = 100) -> DataFrame:
@@ -70,14 +67,14 @@ def _run_lengths(so: Column) -> Column:
             F.element_at(so, e).alias("sentence"),
             (e - F.when(j == 0, F.lit(0)).otherwise(F.element_at(ends_arr, j))).cast("bigint").alias("n")))
 
-    return F.when(n == 0, F.array().cast(_COUNTS_TYPE)).otherwise(_bind(ends, counted))
+    return F.when(n == 0, F.array().cast(_COUNTS_TYPE)).otherwise(bind(ends, counted))
 
 
 def sentence_counts(text: Column, min_len: int) -> Column:
     """array<struct<sentence:string, n:bigint>>: every distinct qualifying
     sentence of the text with its number of occurrences, from one sort of the
     row's sentences."""
-    return _bind(F.array_sort(sentences(text, min_len)), _run_lengths)
+    return bind(F.array_sort(sentences(text, min_len)), _run_lengths)
 
 
 def repeated_sentences(df: DataFrame, id_col: str, text_col: str, threshold: int = 2,
@@ -86,12 +83,12 @@ def repeated_sentences(df: DataFrame, id_col: str, text_col: str, threshold: int
     its text (A8). Each text is split once; texts without any duplicate skip
     the sort."""
     def repeated(s: Column) -> Column:
-        runs = F.filter(_bind(F.array_sort(s), _run_lengths), lambda r: r["n"] >= threshold)
+        runs = F.filter(bind(F.array_sort(s), _run_lengths), lambda r: r["n"] >= threshold)
         if threshold < 2:
             return runs
         return F.when(F.size(s) > F.size(F.array_distinct(s)), runs).otherwise(F.array().cast(_COUNTS_TYPE))
 
-    return df.select(F.col(id_col), F.inline(_bind(sentences(F.col(text_col), min_len), repeated)))
+    return df.select(F.col(id_col), F.inline(bind(sentences(F.col(text_col), min_len), repeated)))
 
 
 def repetition_flags(df: DataFrame, text_col: str, threshold: int, min_len: int,

@@ -586,7 +586,7 @@ def q_render_chat(spark, sf):
     f"select index, {O.normalize(O.bind(O.last_boxed('model_response'), O.unbox))} as answer from traces",
     "traces"))
 def q_gold_answers(spark, sf):
-    from .. operators.scoring import gold_answers
+    from ..operators.scoring import gold_answers
     t = X.traces(spark, sf).select("index", F.col("model_response").alias("solution"))
     return gold_answers(t).select("index", "answer")
 
