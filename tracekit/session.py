@@ -77,15 +77,16 @@ def filter_here(df: DataFrame, cond: Column) -> DataFrame:
 def spread(df: DataFrame, key: str | None = None, factor: int = 4) -> DataFrame:
     """Give a freshly scanned table enough partitions for CPU-heavy row work.
 
-    A large table already arrives in thousands of file splits and is left
-    alone. A small table stored as one row group arrives as a single
-    partition, which would run every regex in one task; it is hash
-    partitioned on ``key`` (deterministic, so a lost task recomputes the same
-    rows). Call this on a plain scan only: asking an adaptive plan for its
-    partition count would run it.
+    Only a scan with fewer partitions than the cluster has cores is touched
+    (a small table stored as one row group arrives as a single task, which
+    would run every regex alone); it is hash partitioned on ``key`` into
+    ``factor`` x cores partitions (deterministic, so a lost task recomputes
+    the same rows). Any table that already fills the cores is left alone, so
+    large inputs are never reshuffled. Call this on a plain scan only:
+    asking an adaptive plan for its partition count would run it.
     """
-    spark = df.sparkSession
-    target = spark.sparkContext.defaultParallelism * factor
-    if df.rdd.getNumPartitions() >= target:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
         return df
+    target = cores * factor
     return df.repartition(target, key) if key else df.repartition(target)
