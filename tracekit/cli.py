@@ -83,11 +83,12 @@ def cmd_thinking(spark, a) -> None:
         first_response(F.get_json_object(line, "$.filtered_resps")).alias("resp"),
         F.coalesce(F.get_json_object(line, "$.arguments.gen_args_0.arg_0"), F.lit("")).alias("prompt"),
         F.get_json_object(line, "$.exact_match").alias("exact_match"),
-        budget["tokens"].alias("token_limit"))
+        budget["steps"].alias("step_limit"), budget["tokens"].alias("token_limit"))
+    # the run's path decides the format: a step limit means step-limited responses
     rows = ST.thinking_rows(samples.withColumn("resp", F.coalesce("resp", F.lit(""))),
-                            tokenizer_file=a.tokenizer_file)
-    rows = rows.withColumn("over_budget", F.coalesce(F.col("thinking_tokens") > F.col("token_limit"),
-                                                     F.lit(False)))
+                            tokenizer_file=a.tokenizer_file, step_limit=F.col("step_limit"))
+    rows = rows.withColumn("over_budget", F.when(F.col("step_limit").isNull(), F.coalesce(
+        F.col("thinking_tokens") > F.col("token_limit"), F.lit(False))).otherwise(F.col("over_budget")))
     _show("thinking", ST.thinking_stats(rows))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bind, token_len
-from ..functions.thinking import no_answer, no_thinking, over_context, thinking_parts
+from ..functions.thinking import no_answer, no_thinking, over_context, step_parts, thinking_parts
 
 QUANTILES = [0.5, 0.9, 0.95, 0.99]
 
@@ -114,26 +114,46 @@ def compare_runs(df: DataFrame, baseline: str, run_col: str = "run",
 
 
 def thinking_rows(df: DataFrame, resp_col: str = "resp", prompt_col: str = "prompt",
-                  tokenizer_file: str | None = None, token_limit: int | None = None) -> DataFrame:
-    """Per-sample thinking measures of free-form responses."""
+                  tokenizer_file: str | None = None, token_limit: int | None = None,
+                  step_limit: Column | None = None) -> DataFrame:
+    """Per-sample thinking measures.
+
+    Rows with a step limit (``step_limit`` not null) are read in the
+    step-limited format: steps are the sections between ``<|im_start|>``
+    tags, their count is the number of "N steps left" markers, the thinking
+    length is the sum of the step lengths, and over-budget means more
+    markers than the limit. Other rows are read in the free format (thinking
+    lines before the answer tag), over budget when the thinking is longer
+    than ``token_limit`` tokens.
+    """
     resp = F.col(resp_col)
-    parts = thinking_parts(resp)
     tl = lambda c: token_len(c, tokenizer_file)
+    free = thinking_parts(resp)
+    stepf = step_parts(resp)
+    step_tokens = F.transform(stepf["steps"], tl)
+    is_step = F.lit(False) if step_limit is None else step_limit.isNotNull()
+    zero = F.lit(0).cast("bigint")
+
+    def pick(step_value: Column, free_value: Column) -> Column:
+        return F.when(is_step, step_value).otherwise(free_value)
+
     out = df.select(
         "*",
-        parts["n_steps"].alias("n_steps"),
-        F.size(parts["lines"]).cast("bigint").alias("n_lines"),
-        F.aggregate(F.transform(parts["lines"], tl), F.lit(0).cast("bigint"), lambda a, x: a + x
-                    ).alias("sum_step_tokens"),
-        tl(parts["thinking"]).alias("thinking_tokens"),
-        tl(parts["answer"]).alias("answer_tokens"),
+        pick(stepf["n_markers"], free["n_steps"].cast("bigint")).alias("n_steps"),
+        pick(F.size(stepf["steps"]), F.size(free["lines"])).cast("bigint").alias("n_lines"),
+        pick(F.aggregate(step_tokens, zero, lambda a, x: a + x),
+             F.aggregate(F.transform(free["lines"], tl), zero, lambda a, x: a + x)).alias("sum_step_tokens"),
+        pick(F.aggregate(step_tokens, zero, lambda a, x: a + x), tl(free["thinking"])).alias("thinking_tokens"),
+        pick(tl(stepf["answer"]), tl(free["answer"])).alias("answer_tokens"),
         tl(resp).alias("total_tokens"),
         no_answer(resp).alias("no_answer"),
-        no_thinking(resp).alias("no_thinking"),
+        pick(no_thinking(resp, step_form=True), no_thinking(resp)).alias("no_thinking"),
         over_context(F.col(prompt_col), resp, tokenizer_file=tokenizer_file).alias("over_context"),
     )
     limit = F.lit(token_limit) if token_limit is not None else F.lit(None).cast("bigint")
-    return out.withColumn("over_budget", F.coalesce(F.col("thinking_tokens") > limit, F.lit(False)))
+    over = pick(F.col("n_steps") > step_limit if step_limit is not None else F.lit(False),
+                F.col("thinking_tokens") > limit)
+    return out.withColumn("over_budget", F.coalesce(over, F.lit(False)))
 
 
 def thinking_stats(rows: DataFrame, digits: int | None = 1) -> DataFrame:

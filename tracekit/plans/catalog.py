@@ -401,6 +401,45 @@ def q_step_parts(spark, sf):
         F.length(p["answer"]).cast("bigint").alias("answer_len"))
 
 
+def _step_thinking_cte(step_limit: int) -> str:
+    """Per-sample measures of ``step_samples`` in the step-limited format."""
+    wc = O.word_count
+    return f"""ss as (
+  select doc_id, resp,
+         list_transform(case when len(pieces) > 2 then pieces[2:len(pieces) - 1] else [] end,
+                        lambda p: case when contains(p, chr(10)) then substr(p, strpos(p, chr(10)) + 1)
+                                       else '' end) as steps,
+         case when contains(resp, {O.sq(_TAG_ANS)}) then split_part(resp, {O.sq(_TAG_ANS)}, 2) else '' end as answer,
+         cast((length(resp) - length(replace(resp, ' steps left' || chr(10), ''))) / 12 as bigint) as n_markers
+  from (select *, string_split(resp, '<|im_start|>') as pieces from step_samples)),
+st as (
+  select doc_id, n_markers as n_steps, cast(len(steps) as bigint) as n_lines,
+         cast(coalesce(list_sum(list_transform(steps, lambda l: {wc('l')})), 0) as bigint) as sum_step_tokens,
+         {wc('answer')} as answer_tokens, {wc('resp')} as total_tokens,
+         not contains(resp, 'Answer:') and not contains(resp, chr(92) || 'boxed') as no_answer,
+         not contains(resp, ' steps left' || chr(10)) as no_thinking,
+         {wc('resp')} > 32760 as over_context,
+         n_markers > {step_limit} as over_budget
+  from ss)"""
+
+
+@register("thinking_stats_steps", X.with_views(
+    """select count(*) as samples, sum(n_steps) / count(*) as avg_steps,
+              sum(sum_step_tokens) / sum(n_lines) as avg_step_tokens,
+              min(sum_step_tokens) as min_thinking_tokens, max(sum_step_tokens) as max_thinking_tokens,
+              avg(sum_step_tokens) as avg_thinking_tokens, avg(answer_tokens) as avg_answer_tokens,
+              avg(total_tokens) as avg_total_tokens,
+              count(*) filter (where over_budget) as n_over_budget,
+              count(*) filter (where over_context) as n_over_context,
+              count(*) filter (where no_answer) as n_no_answer,
+              count(*) filter (where no_thinking) as n_no_thinking from st""", "step_samples",
+    extra=(_step_thinking_cte(3),)))
+def q_thinking_stats_steps(spark, sf):
+    s = X.step_samples(spark, sf).withColumn("prompt", F.lit(""))
+    rows = ST.thinking_rows(s, step_limit=F.lit(3))
+    return ST.thinking_stats(rows, digits=None)
+
+
 # --------------------------------------------------------------------------- chat rendering
 
 
