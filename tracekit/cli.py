@@ -64,7 +64,7 @@ def _harness_fields(lines: DataFrame, prompt_path: str, response_path: str) -> D
 def cmd_stats(spark, a) -> None:
     lines = spark.read.text(a.input).where(F.length(F.trim("value")) > 0)
     rows = _harness_fields(lines, a.prompt_column, a.response_column)
-    rows = rows.withColumn("correct", as_correct_json(F.col("value"), [a.correctness_column, "exact_match"]))
+    rows = rows.withColumn("correct", as_correct_json(F.col("value"), [a.correctness_column, "exact_match", "is_correct"]))
     per = P.stats_rows(rows.withColumn("index", F.monotonically_increasing_id()), prompt_col="prompt",
                        response_col="response", correct=F.col("correct"), system=a.system_prompt or None,
                        threshold=a.repetition_threshold, min_len=a.min_sentence_len, with_prompt=False,
@@ -109,7 +109,7 @@ def cmd_assemble(spark, a) -> None:
     steps = J.read_dataset(spark, a.steps, fmt=a.format)
     questions = J.read_dataset(spark, a.questions, fmt=a.format)
     records = P.generate_records(steps, questions, a.mode, a.num_waits, a.max_model_len,
-                                 tokenizer_file=a.tokenizer_file)
+                                 tokenizer_file=a.tokenizer_file, score_full_prompt=a.score_full_prompt)
     summary = J.write_split(records.drop("tokens"), a.output, J.derived_name(a.output, "correct"))
     _show("written", summary)
     written = spark.read.schema(J.TRACE_SCHEMA).json(a.output)
@@ -164,6 +164,7 @@ def build_parser() -> argparse.ArgumentParser:
     g.add_argument("--max_model_len", type=int, default=4096)
     g.add_argument("--tokenizer_file", default=None)
     g.add_argument("--format", default=None, choices=["json", "parquet"])
+    g.add_argument("--score_full_prompt", action="store_true")
     return ap
 
 

@@ -55,20 +55,22 @@ def curate(traces: DataFrame, threshold: int = 2, min_len: int = 100,
 def generate_records(steps: DataFrame, questions: DataFrame, mode: str = "budget",
                      num_waits: int = 5, max_model_len: int = 4096,
                      question_col: str = "problem", answer_col: str = "answer",
-                     tokenizer_file: str | None = None) -> DataFrame:
+                     tokenizer_file: str | None = None, score_full_prompt: bool = False) -> DataFrame:
     """Trace records from recorded generation steps and the question set.
 
     ``questions`` has (sample_id, problem, answer). The steps are assembled
     under the budget rules (one shuffle on sample_id), joined once to their
     question, prefixed with the rendered prompt, and the generated text is
-    scored against the gold answer.
+    scored against the gold answer. ``score_full_prompt`` scores the whole
+    text instead, prompt included — whose system line itself holds an empty
+    box, so a response without a box then scores as the empty answer.
     """
     assembled = B.assemble_budget(steps, mode, num_waits, max_model_len)
     q = questions.select("sample_id", F.col(question_col).alias("_problem"),
                          F.col(answer_col).cast("string").alias("_answer"))
     joined = (assembled.join(q, "sample_id")
                        .withColumn("response", F.concat(C.start_prompt(F.col("_problem")), F.col("generation"))))
-    scored = score_columns(joined, "generation", "_answer")
+    scored = score_columns(joined, "response" if score_full_prompt else "generation", "_answer")
     return scored.select(F.col("sample_id").alias("index"),
                          F.col("_problem").alias("problem"),
                          py_strip(F.col("_answer")).alias("ground_truth"),
