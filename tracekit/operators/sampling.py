@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import filter_here
+from ..session import checkpoint_root, filter_here
 
 #: largest cap served as a per-task top-k
 TOPK_MAX = 100_000
@@ -105,10 +105,21 @@ def first_n_kept(df: DataFrame, keep: Column, order_col: str, n: int | None) ->
     return kept if cut is None else kept.where(F.col(order_col) <= F.lit(cut[0]))
 
 
-def first_n_report(df: DataFrame, keep: Column, order_col: str, n: int | None) -> DataFrame:
+def first_n_report(df: DataFrame, keep: Column, order_col: str, n: int | None,
+                   materialize: bool = True) -> DataFrame:
     """processed / filtered / saved of a filter pass that stops after the
-    n-th saved row: rows after it are neither read nor counted."""
+    n-th saved row: rows after it are neither read nor counted.
+
+    The keep decision is needed twice (to find the n-th kept row, then to
+    count up to it). With ``materialize`` the narrow (order, dropped)
+    projection is computed once and checkpointed to the shared checkpoint
+    folder, so the expensive condition runs once and a lost executor
+    recovers from that file instead of re-running it.
+    """
     flagged = df.select(F.col(order_col), (~keep).alias("_dropped"))
+    if materialize and n:
+        checkpoint_root(df.sparkSession)
+        flagged = flagged.checkpoint()
     if n == 0:
         flagged = flagged.limit(0)
     elif n is not None:
