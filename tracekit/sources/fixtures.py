@@ -51,15 +51,19 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gen_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generation-step records (sample_id, step, gen_text, gen_tokens,
-    finish_reason) from the assistant turns of each conversation."""
-    c = table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
-    w = Window.partitionBy("conv_id").orderBy("turn")
+    finish_reason) from the assistant turns of each conversation.
+
+    The key is renamed before the window, so the window's partitioning is on
+    ``sample_id`` and every later per-sample step reuses it."""
+    c = (table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+         .select(F.col("conv_id").alias("sample_id"), "turn", F.col("text").alias("gen_text")))
+    w = Window.partitionBy("sample_id").orderBy("turn")
     return c.select(
-        c.conv_id.alias("sample_id"),
+        "sample_id",
         (F.row_number().over(w) - 1).cast("int").alias("step"),
-        c.text.alias("gen_text"),
-        F.length(c.text).cast("int").alias("gen_tokens"),
-        F.when(F.length(c.text) > 2000, "length").otherwise("stop").alias("finish_reason"),
+        "gen_text",
+        F.length("gen_text").cast("int").alias("gen_tokens"),
+        F.when(F.length("gen_text") > 2000, "length").otherwise("stop").alias("finish_reason"),
     )
 
 
