@@ -26,10 +26,17 @@ def ratio(num: Column, den: Column) -> Column:
     return F.try_divide(num.cast("double"), den.cast("double"))
 
 
-def length_stats(df: DataFrame, len_col: str = "len") -> DataFrame:
-    """count, mean, min, max and P50/P90/P95/P99 (linear interpolation)."""
+def length_stats(df: DataFrame, len_col: str = "len", digits: int | None = 6) -> DataFrame:
+    """count, mean, min, max and P50/P90/P95/P99 (linear interpolation).
+
+    Percentiles are rounded to ``digits`` places: engines interpolate with
+    different float expressions and differ in the last bit otherwise."""
     c = F.col(len_col)
     pct = F.percentile(c, QUANTILES)
+
+    def r(x: Column) -> Column:
+        return x if digits is None else F.round(x, digits)
+
     return df.agg(
         F.count(c).alias("n"),
         F.avg(c).alias("mean_len"),
@@ -37,7 +44,7 @@ def length_stats(df: DataFrame, len_col: str = "len") -> DataFrame:
         F.max(c).cast("bigint").alias("max_len"),
         pct.alias("_p"),
     ).select("n", "mean_len", "min_len", "max_len",
-             *[F.col("_p")[i].alias(f"p{int(q * 100)}") for i, q in enumerate(QUANTILES)])
+             *[r(F.col("_p")[i]).alias(f"p{int(q * 100)}") for i, q in enumerate(QUANTILES)])
 
 
 def accuracy(df: DataFrame, correct_col: str = "correct") -> DataFrame:

@@ -144,8 +144,9 @@ def _with_rows(sql: str) -> str:
 @register("length_stats", _with_rows(
     """select count(len) as n, avg(len) as mean_len, cast(min(len) as bigint) as min_len,
               cast(max(len) as bigint) as max_len,
-              quantile_cont(len, 0.5) as p50, quantile_cont(len, 0.9) as p90,
-              quantile_cont(len, 0.95) as p95, quantile_cont(len, 0.99) as p99 from rows"""))
+              round(quantile_cont(len, 0.5), 6) as p50, round(quantile_cont(len, 0.9), 6) as p90,
+              round(quantile_cont(len, 0.95), 6) as p95, round(quantile_cont(len, 0.99), 6) as p99
+       from rows"""))
 def q_length_stats(spark, sf):
     return ST.length_stats(stats_rows(X.traces(spark, sf)))
 
