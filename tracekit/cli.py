@@ -61,8 +61,15 @@ def _harness_fields(lines: DataFrame, prompt_path: str, response_path: str) -> D
     return lines.select("value", prompt.alias("prompt"), resp.alias("response"))
 
 
+def _json_lines(spark, path: str) -> DataFrame:
+    """Non-blank lines that parse as JSON; others are skipped, as the line
+    loop skips lines it cannot process."""
+    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    return lines.where(F.try_parse_json("value").isNotNull())
+
+
 def cmd_stats(spark, a) -> None:
-    lines = spark.read.text(a.input).where(F.length(F.trim("value")) > 0)
+    lines = _json_lines(spark, a.input)
     rows = _harness_fields(lines, a.prompt_column, a.response_column)
     rows = rows.withColumn("correct", as_correct_json(F.col("value"), [a.correctness_column, "exact_match", "is_correct"]))
     per = P.stats_rows(rows.withColumn("index", F.monotonically_increasing_id()), prompt_col="prompt",
@@ -76,7 +83,7 @@ def cmd_stats(spark, a) -> None:
 
 
 def cmd_thinking(spark, a) -> None:
-    lines = spark.read.text(a.input).where(F.length(F.trim("value")) > 0)
+    lines = _json_lines(spark, a.input)
     line = F.col("value")
     budget = budget_from_path(F.col("_metadata.file_path"))
     samples = lines.select(
