@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import sys
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -104,8 +105,6 @@ def token_len(col: Column, tokenizer_file: str | None = None) -> Column:
 
 
 def _tokenizer_len_udf(path: str):
-    import pandas as pd
-
     @F.pandas_udf("bigint")
     def _len(texts: pd.Series) -> pd.Series:
         from tokenizers import Tokenizer
