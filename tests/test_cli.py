@@ -48,3 +48,19 @@ def test_thinking_and_assemble(spark, tmp_path, capsys):
     assert spark.read.json(out).count() > 0
     lines = [json.loads(x) for x in text.splitlines() if x.startswith("{")]
     assert any("total" in x for x in lines)
+
+
+def test_compare_runs(spark, tmp_path, capsys):
+    r = X.runs(spark, SF_SMALL)
+    for run in ["base", "tuned"]:
+        r.where(F.col("run") == run).select(F.to_json(F.struct("doc_id", "exact_match")).alias("value")) \
+         .write.text(str(tmp_path / run))
+    cli.main(["compare", f"base={tmp_path / 'base'}", str(tmp_path / "tuned")])
+    out = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+    want = {row.run: row for row in spark.createDataFrame(r.toPandas()).groupBy("run")
+            .agg(F.avg("exact_match").alias("acc")).collect()}
+    got = {x["run"]: x for x in out}
+    assert set(got) == {"base", "tuned"}
+    assert abs(got["tuned"]["accuracy"] - want["tuned"].acc) < 1e-12
+    assert abs(got["tuned"]["delta"] - (want["tuned"].acc - want["base"].acc)) < 1e-12
+    assert got["base"]["delta"] == 0.0

@@ -3,6 +3,7 @@
     python -m tracekit.cli filter   IN OUT [--threshold 2 --min_len 100 --max_samples N]
     python -m tracekit.cli stats    IN [--prompt_column problem --response_column model_response ...]
     python -m tracekit.cli thinking IN
+    python -m tracekit.cli compare base=RUN_DIR tuned=RUN_DIR [--baseline base]
     python -m tracekit.cli train-rows IN OUT [--max_train_samples N --shuffle_seed 42 ...]
     python -m tracekit.cli assemble STEPS QUESTIONS OUT [--mode budget --num_waits 5 ...]
 
@@ -99,6 +100,27 @@ def cmd_thinking(spark, a) -> None:
     _show("thinking", ST.thinking_stats(rows))
 
 
+def _run_spec(spec: str) -> tuple[str, str]:
+    """``name=path`` or ``path`` (named by its last folder)."""
+    if "=" in spec:
+        name, path = spec.split("=", 1)
+        return name, path
+    return spec.rstrip("/").split("/")[-1], spec
+
+
+def cmd_compare(spark, a) -> None:
+    """Accuracy per run (from harness sample files) and delta to the baseline."""
+    specs = [_run_spec(x) for x in a.runs]
+    frames = [_json_lines(spark, path).select(
+        F.lit(name).alias("run"),
+        as_correct_json(F.col("value"), [a.correctness_column]).cast("int").alias("exact_match"))
+        for name, path in specs]
+    runs = frames[0]
+    for f in frames[1:]:
+        runs = runs.unionByName(f)
+    _show("runs", ST.compare_runs(runs, a.baseline or specs[0][0]).orderBy("run"))
+
+
 def cmd_train_rows(spark, a) -> None:
     data = J.read_dataset(spark, a.input, fmt=a.format)
     key = a.key if a.key in data.columns else None
@@ -150,6 +172,11 @@ def build_parser() -> argparse.ArgumentParser:
     t.add_argument("input")
     t.add_argument("--tokenizer_file", default=None)
 
+    c = sub.add_parser("compare")
+    c.add_argument("runs", nargs="+", help="name=path or path (run named by its last folder)")
+    c.add_argument("--baseline", default=None, help="run to compare against (default: the first)")
+    c.add_argument("--correctness_column", default="exact_match")
+
     r = sub.add_parser("train-rows")
     r.add_argument("input")
     r.add_argument("output")
@@ -175,7 +202,7 @@ def build_parser() -> argparse.ArgumentParser:
     return ap
 
 
-COMMANDS = {"filter": cmd_filter, "stats": cmd_stats, "thinking": cmd_thinking,
+COMMANDS = {"filter": cmd_filter, "stats": cmd_stats, "thinking": cmd_thinking, "compare": cmd_compare,
             "train-rows": cmd_train_rows, "assemble": cmd_assemble}
 
 
