@@ -1,0 +1,3 @@
+"""Composed curation pipelines, the registered query catalog and the DuckDB
+oracle SQL fragments.
+"""

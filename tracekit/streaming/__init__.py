@@ -1,0 +1,2 @@
+"""Incremental curation of arriving trace files with Structured Streaming.
+"""
