@@ -14,10 +14,11 @@ from .conftest import SF_SMALL
 def test_filter_stats_train_rows(spark, tmp_path, capsys):
     traces = X.traces(spark, SF_SMALL)
     src = str(tmp_path / "traces.jsonl")
-    J.write_jsonl(traces, src)
+    J.write_jsonl(traces.withColumn("extra_field", F.lit("kept")), src)
     out = str(tmp_path / "traces_filtered.jsonl")
     cli.main(["filter", src, out, "--threshold", "3", "--min_len", "21", "--max_samples", "50"])
-    assert spark.read.json(out).count() == 50
+    filtered = spark.read.json(out)
+    assert filtered.count() == 50 and filtered.where("extra_field = 'kept'").count() == 50
     cli.main(["stats", src])
     cli.main(["train-rows", out, str(tmp_path / "rows.jsonl"), "--max_train_samples", "10"])
     rows = spark.read.json(str(tmp_path / "rows.jsonl"))

@@ -39,11 +39,12 @@ def _show(title: str, df: DataFrame) -> None:
 
 def cmd_filter(spark, a) -> None:
     out = a.output or J.derived_name(a.input, "filtered")
-    records = J.read_traces(spark, a.input)
+    records = J.read_traces(spark, a.input, keep_line=True)
     parsed = records.where(~F.col("_blank") & F.col(J.CORRUPT).isNull())
     keep = ~R.is_repeating(F.coalesce(F.col("model_response"), F.lit("")), a.threshold, a.min_len)
     kept = S.first_n_kept(parsed, keep, "index", a.max_samples)
-    J.write_jsonl(kept.select(*[f.name for f in J.TRACE_SCHEMA.fields]), out)
+    # the kept records are written back as they were read, every field included
+    kept.select("value").write.mode("overwrite").text(out)
     _show("filter report", S.first_n_report(parsed, keep, "index", a.max_samples))
     _show("malformed lines", records.agg(F.count_if(F.col(J.CORRUPT).isNotNull() & ~F.col("_blank"))
                                          .alias("malformed")))

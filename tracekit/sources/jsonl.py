@@ -43,11 +43,14 @@ def parse_lines(lines: DataFrame, schema: T.StructType | str, line_col: str = "v
     return lines.select("*", parsed.alias("_p"), blank.alias("_blank")).select(*others, *cols, "_blank")
 
 
-def read_traces(spark: SparkSession, path: str, schema: T.StructType = TRACE_SCHEMA) -> DataFrame:
+def read_traces(spark: SparkSession, path: str, schema: T.StructType = TRACE_SCHEMA,
+                keep_line: bool = False) -> DataFrame:
     """Trace records from JSONL files, malformed lines kept and marked.
-    ``_file`` carries each line's source path (for budget-from-path)."""
+    ``_file`` carries each line's source path (for budget-from-path); with
+    ``keep_line`` the raw line stays in ``value`` (to write records back
+    with every field they had)."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"))
-    return parse_lines(lines, schema)
+    return parse_lines(lines, schema, keep_line_col=keep_line)
 
 
 def read_samples(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
