@@ -25,12 +25,13 @@ from ..sources.jsonl import CORRUPT, TRACE_SCHEMA, parse_lines
 
 def trace_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: int | None = None,
                  schema: T.StructType = TRACE_SCHEMA) -> DataFrame:
-    """Streaming trace records from JSONL files landing in ``source_dir``."""
+    """Streaming trace records from JSONL files landing in ``source_dir``;
+    the raw line stays in ``value``."""
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     lines = reader.load(source_dir).select("value")
-    return parse_lines(lines, schema).where(~F.col("_blank"))
+    return parse_lines(lines, schema, keep_line_col=True).where(~F.col("_blank"))
 
 
 def flag_stream(records: DataFrame, threshold: int = 2, min_len: int = 100) -> DataFrame:
@@ -50,13 +51,14 @@ def _checkpoint(spark: SparkSession, name: str, location: str | None) -> str:
 def start_curation(spark: SparkSession, source_dir: str, sink_dir: str, threshold: int = 2,
                    min_len: int = 100, checkpoint: str | None = None,
                    available_now: bool = True, name: str = "curation") -> StreamingQuery:
-    """Append kept records to ``sink_dir`` as JSON lines. With
-    ``available_now`` the query processes what has arrived and stops
-    (incremental batch); otherwise it keeps running."""
+    """Append kept records to ``sink_dir`` as JSON lines, each written back
+    as it arrived (every field kept). With ``available_now`` the query
+    processes what has arrived and stops (incremental batch); otherwise it
+    keeps running."""
     flagged = flag_stream(trace_stream(spark, source_dir), threshold, min_len)
-    kept = flagged.where("kept").select(*[f.name for f in TRACE_SCHEMA.fields])
-    writer = (kept.writeStream.format("json").outputMode("append")
-              .option("path", sink_dir).option("ignoreNullFields", "false")
+    kept = flagged.where("kept").select("value")
+    writer = (kept.writeStream.format("text").outputMode("append")
+              .option("path", sink_dir)
               .option("checkpointLocation", _checkpoint(spark, name, checkpoint)))
     writer = writer.trigger(availableNow=True) if available_now else writer
     return writer.start()
