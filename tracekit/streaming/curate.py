@@ -3,7 +3,7 @@
 Trace files keep arriving while generation runs. Every curation step is
 row-local (parse, correctness, truncation, repetition), so the batch plan
 runs unchanged on a file stream: each micro-batch parses only new lines.
-The running report is a streaming aggregation whose state is three
+The running report is a streaming aggregation whose state is four
 counters, kept in the checkpoint, so a restarted query continues counting
 where it stopped. Checkpoints go under the cluster's shared
 ``spark.checkpoint.dir`` unless a location is given.
@@ -65,7 +65,7 @@ def start_curation(spark: SparkSession, source_dir: str, sink_dir: str, threshol
 
 
 def report_stream(flagged: DataFrame) -> DataFrame:
-    """Running processed / filtered / saved / corrupt counts (three counters
+    """Running processed / filtered / saved / corrupt counts (four counters
     of state, whatever the stream's size)."""
     return flagged.agg(F.count(F.lit(1)).alias("processed"),
                        F.count_if("is_repeating").alias("filtered"),
