@@ -99,3 +99,15 @@ def test_typed_records_on_empty_and_nested(spark):
         as_correct_typed(df, "n").alias("n"), as_correct_typed(df, "s").alias("s"),
         as_correct_typed(df, "b").alias("b")).collect()
     assert [tuple(r) for r in got] == [(None, None, True, True, True), ("a", "b", False, False, False)]
+
+
+def test_score_validates_gold_keys(spark):
+    import pytest
+
+    from tracekit.operators.scoring import score
+    out = spark.createDataFrame([(1, "so \\boxed{2}"), (2, "\\boxed{0.5}")], "k int, model_response string")
+    gold = spark.createDataFrame([(1, "2"), (2, "\\frac{1}{2}")], "k int, answer string")
+    got = {r.k: (r.pred, r.exact_match) for r in score(out, gold, "k", validate=True).collect()}
+    assert got == {1: ("2", 1), 2: ("0.5", 1)}
+    with pytest.raises(ValueError, match="not unique"):
+        score(out, gold.unionByName(gold), "k", validate=True)

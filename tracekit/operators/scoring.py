@@ -27,9 +27,17 @@ def score_columns(df: DataFrame, response_col: str, gold_col: str, normalize_gol
     return scored.withColumn("is_correct", correct)
 
 
+def check_unique_key(df: DataFrame, key: str) -> None:
+    """Raise if ``key`` repeats: one grouped count, only a single offending
+    key (if any) reaches the driver."""
+    dup = df.groupBy(key).count().where(F.col("count") > 1).select(key).limit(1).collect()
+    if dup:
+        raise ValueError(f"{key} is not unique in the gold answers, e.g. {dup[0][0]!r}")
+
+
 def score(outputs: DataFrame, gold: DataFrame, key: str, response_col: str = "model_response",
           gold_col: str = "answer", normalize_gold: bool = True,
-          verifier_col: str | None = None) -> DataFrame:
+          verifier_col: str | None = None, validate: bool = False) -> DataFrame:
     """Join each output to the gold answer of the same sample and score it.
 
     The positional lookup of the original loop becomes an inner equi-join on
@@ -37,8 +45,12 @@ def score(outputs: DataFrame, gold: DataFrame, key: str, response_col: str = "mo
     estimated size is under ``spark.sql.autoBroadcastJoinThreshold`` (and AQE
     re-checks with runtime sizes); past that it shuffles both sides on the key.
     Adds ``pred``, ``gold``, ``exact_match`` (int) and ``is_correct``; an
-    optional verifier column is OR-ed into ``is_correct``.
+    optional verifier column is OR-ed into ``is_correct``. ``validate``
+    first checks that each key has one gold answer (the lookup is
+    one-to-one).
     """
+    if validate:
+        check_unique_key(gold, key)
     g = gold.select(F.col(key), F.col(gold_col).alias("_gold"))
     joined = outputs.join(g, key, "inner")
     return score_columns(joined, response_col, "_gold", normalize_gold, verifier_col).drop("_gold")
