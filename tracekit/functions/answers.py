@@ -107,8 +107,16 @@ def last_boxed(col: Column) -> Column:
 
     def braced(key: str) -> Column:
         tail = F.concat(F.lit(key), F.substring_index(col, key, -1))
-        return bind(tail, lambda t: bind(_brace_end(t), lambda end: F.when(
-            end.isNotNull(), F.substring(t, F.lit(1), end))))
+        # Common case: the first brace after the key opens and the next one
+        # closes; the box is then one anchored match and the fold (which
+        # walks every brace to the end of the text) is skipped.
+        simple = "^(" + key.replace("\\", "\\\\") + r"[^{}]*\{[^{}]*\})"
+
+        def boxed(t: Column) -> Column:
+            return F.when(t.rlike(simple), F.regexp_extract(t, simple, 1)).otherwise(
+                bind(_brace_end(t), lambda end: F.when(end.isNotNull(), F.substring(t, F.lit(1), end))))
+
+        return bind(tail, boxed)
 
     return (F.when(col.contains("\\boxed "), space_form)
             .when(col.contains("\\boxed"), braced("\\boxed"))
