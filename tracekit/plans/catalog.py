@@ -279,12 +279,19 @@ _BUDGET_SELECT = ("select sample_id, steps, truncated, stopped, tokens, "
                   "cast(length(response) as bigint) as response_len, md5(response) as response_md5 from r")
 
 
-for _name, _mode, _waits, _max in [("assemble_budget_wait", "budget", 3, 1500),
-                                   ("assemble_budget_alternating", "alternating", 5, 2500),
-                                   ("assemble_budget_none", "none", 3, 1500)]:
-    def _make(mode=_mode, waits=_waits, mx=_max):
-        return lambda spark, sf: _budget_out(_budget(spark, sf, mode, waits, mx))
-    register(_name, _budget_sql(_mode, _waits, _max, _BUDGET_SELECT))(_make())
+@register("assemble_budget_wait", _budget_sql("budget", 3, 1500, _BUDGET_SELECT))
+def q_assemble_budget_wait(spark, sf):
+    return _budget_out(_budget(spark, sf, "budget", 3, 1500))
+
+
+@register("assemble_budget_alternating", _budget_sql("alternating", 5, 2500, _BUDGET_SELECT))
+def q_assemble_budget_alternating(spark, sf):
+    return _budget_out(_budget(spark, sf, "alternating", 5, 2500))
+
+
+@register("assemble_budget_none", _budget_sql("none", 3, 1500, _BUDGET_SELECT))
+def q_assemble_budget_none(spark, sf):
+    return _budget_out(_budget(spark, sf, "none", 3, 1500))
 
 
 @register("next_round", _budget_sql(
