@@ -35,7 +35,7 @@ def test_read_samples_skips_blank_and_bad(spark, tmp_path):
 def test_write_split_round_trip(spark, tmp_path):
     traces = X.traces(spark, SF_SMALL)
     all_path, ok_path = str(tmp_path / "all"), str(tmp_path / "correct")
-    summary = J.write_split(traces, all_path, ok_path).first()
+    summary = J.write_split(traces, all_path, ok_path)
     back = J.read_traces(spark, os.path.join(all_path, "*.json"))
     assert back.where(F.col("_corrupt_record").isNull()).count() == traces.count() == summary.total
     ok = spark.read.json(ok_path)

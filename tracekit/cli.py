@@ -141,7 +141,8 @@ def cmd_assemble(spark, a) -> None:
     records = P.generate_records(steps, questions, a.mode, a.num_waits, a.max_model_len,
                                  tokenizer_file=a.tokenizer_file, score_full_prompt=a.score_full_prompt)
     summary = J.write_split(records.drop("tokens"), a.output, J.derived_name(a.output, "correct"))
-    _show("written", summary)
+    print("== written")
+    print(json.dumps(summary.asDict()))
     written = spark.read.schema(J.TRACE_SCHEMA).json(a.output)
     _show("summary", ST.generation_summary(
         written.withColumn("tokens", token_len(F.col("model_response"), a.tokenizer_file))))

@@ -8,7 +8,7 @@ parse itself stays in the JVM and splits with the files.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,22 +81,21 @@ def derived_name(path: str, suffix: str) -> str:
     return out if out != path else f"{path}.{suffix}"
 
 
-def write_split(df: DataFrame, all_path: str, correct_path: str) -> DataFrame:
+def write_split(df: DataFrame, all_path: str, correct_path: str) -> Row:
     """Write every record to ``all_path`` and the correct, untruncated ones
-    to ``correct_path`` (S6).
+    to ``correct_path`` (S6); returns Row(total, saved).
 
-    The records are written once to ``all_path`` and the correct subset is
-    read back from that output, so expensive upstream work (assembly,
-    scoring) runs once and a lost executor recomputes from files, not from
-    the start of the lineage. Returns a one-row summary read from the files.
+    The counts are observed while the records are written (no extra pass),
+    and the correct subset is read back from the written files, so expensive
+    upstream work (assembly, scoring) runs once and a lost executor
+    recomputes from files, not from the start of the lineage.
     """
-    write_jsonl(df, all_path)
-    spark = df.sparkSession
-    written = spark.read.schema(df.schema).json(all_path)
-    correct = written.where(F.col("is_correct") & ~F.col("truncated"))
-    write_jsonl(correct, correct_path)
-    return written.agg(F.count(F.lit(1)).alias("total"),
-                       F.count_if(F.col("is_correct") & ~F.col("truncated")).alias("saved"))
+    keep = F.col("is_correct") & ~F.col("truncated")
+    obs = Observation("write_split")
+    write_jsonl(df.observe(obs, F.count(F.lit(1)).alias("total"), F.count_if(keep).alias("saved")), all_path)
+    written = df.sparkSession.read.schema(df.schema).json(all_path)
+    write_jsonl(written.where(keep), correct_path)
+    return Row(**obs.get)
 
 
 __all__ = ["TRACE_SCHEMA", "parse_lines", "read_traces", "read_samples", "read_dataset",
