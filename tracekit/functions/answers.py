@@ -137,12 +137,17 @@ def unbox(col: Column) -> Column:
 def raw_answer(col: Column) -> Column:
     """Unnormalized final answer: boxed content, else the "Final Answer: …"
     sentence, else ``[invalidanswer]``."""
-    boxed = bind(last_boxed(col), unbox)
-    text = F.concat(F.coalesce(col, F.lit("")), F.lit(FINAL_ANSWER_END))
     pattern = "(?d)" + FINAL_ANSWER_PATTERN
-    # the regex runs only when no usable box was found (coalesce stops early)
-    sentence = bind(text, lambda t: F.when(t.rlike(pattern), py_strip(F.regexp_extract(t, pattern, 1))))
-    return F.coalesce(boxed, sentence, F.lit(INVALID_ANSWER))
+
+    def answer(c: Column) -> Column:
+        boxed = bind(last_boxed(c), unbox)
+        text = F.concat(F.coalesce(c, F.lit("")), F.lit(FINAL_ANSWER_END))
+        # the regex runs only when no usable box was found (coalesce stops early)
+        sentence = bind(text, lambda t: F.when(t.rlike(pattern), py_strip(F.regexp_extract(t, pattern, 1))))
+        return F.coalesce(boxed, sentence, F.lit(INVALID_ANSWER))
+
+    # the text is computed once even when it is a derived column
+    return bind(col, answer)
 
 
 def _guarded_rewrite(pattern: str, repl: str, needle: str):
