@@ -65,3 +65,20 @@ def test_compare_runs(spark, tmp_path, capsys):
     assert abs(got["tuned"]["accuracy"] - want["tuned"].acc) < 1e-12
     assert abs(got["tuned"]["delta"] - (want["tuned"].acc - want["base"].acc)) < 1e-12
     assert got["base"]["delta"] == 0.0
+
+
+def test_thinking_uses_step_form_from_path(spark, tmp_path, capsys):
+    import __spark_entry__ as E
+    s = X.step_samples(spark, SF_SMALL)
+    args = F.struct(F.struct(F.lit("").alias("arg_0")).alias("gen_args_0")).alias("arguments")
+    harness = s.select(F.to_json(F.struct(args, F.array("resp").alias("filtered_resps"),
+                                          F.lit(1).alias("exact_match"))).alias("value"))
+    d = tmp_path / "bf-step3forcing"
+    harness.write.text(str(d))
+    cli.main(["thinking", str(d)])
+    line = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")][-1]
+    want = E.queries()["thinking_stats_steps"](spark, SF_SMALL).first().asDict()
+    for k in ["samples", "n_over_budget", "n_no_thinking", "n_no_answer", "min_thinking_tokens",
+              "max_thinking_tokens"]:
+        assert line[k] == want[k], k
+    assert abs(line["avg_steps"] - round(want["avg_steps"], 1)) < 1e-9
