@@ -78,3 +78,17 @@ def test_strip_matches_python_on_all_whitespace(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [r[0] for r in df.orderBy("i").select(T.py_strip(F.col("t"))).collect()]
     assert got == [t.strip() for t in texts]
+
+
+@settings(**SETTINGS)
+@given(st.lists(st.tuples(st.integers(-10**6, 10**6), st.integers(1, 999)), min_size=40, max_size=40))
+def test_answers_equal_rules(spark, pairs):
+    from fractions import Fraction
+    rows = []
+    for n, d in pairs:
+        rows += [(f"{n}", f"{n}.0", True), (f"\\frac{{{n * d}}}{{{d}}}", f"{n}", True),
+                 (f"{n}", f"{n + 1}", False), (f"\\frac{{{n}}}{{{d}}}", f"{n}", Fraction(n, d) == n)]
+    rows += [(b, a, want) for a, b, want in rows]  # symmetric
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(rows)], "i int, a string, b string")
+    got = {r.i: r.e for r in df.select("i", A.answers_equal(F.col("a"), F.col("b")).alias("e")).collect()}
+    assert [got[i] for i in range(len(rows))] == [w for _, _, w in rows]
