@@ -82,3 +82,16 @@ def test_thinking_uses_step_form_from_path(spark, tmp_path, capsys):
               "max_thinking_tokens"]:
         assert line[k] == want[k], k
     assert abs(line["avg_steps"] - round(want["avg_steps"], 1)) < 1e-9
+
+
+def test_stream_filter(spark, tmp_path):
+    traces = X.traces(spark, SF_SMALL)
+    src, sink = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+    J.write_jsonl(traces.coalesce(1), str(tmp_path / "w"))
+    part = [f for f in (tmp_path / "w").iterdir() if f.name.endswith(".json")][0]
+    (src / "a.jsonl").write_text(part.read_text())
+    cli.main(["stream-filter", str(src), sink, "--checkpoint", str(tmp_path / "ck")])
+    want = traces.where("is_correct and not truncated").count()
+    got = spark.read.json(sink).count()
+    assert 0 < got <= want

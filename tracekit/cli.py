@@ -1,6 +1,7 @@
 """Command-line front end: the curation workflows as Spark jobs.
 
     python -m tracekit.cli filter   IN OUT [--threshold 2 --min_len 100 --max_samples N]
+    python -m tracekit.cli stream-filter SRC_DIR SINK_DIR [--continuous]
     python -m tracekit.cli stats    IN [--prompt_column problem --response_column model_response ...]
     python -m tracekit.cli thinking IN
     python -m tracekit.cli compare base=RUN_DIR tuned=RUN_DIR [--baseline base]
@@ -51,6 +52,16 @@ def cmd_filter(spark, a) -> None:
     print(f"written to {out}")
 
 
+def cmd_stream_filter(spark, a) -> None:
+    """Incremental filter: process the trace files that arrived since the
+    last run (or keep running with --continuous)."""
+    from .streaming.curate import start_curation
+    q = start_curation(spark, a.source, a.sink, a.threshold, a.min_len, checkpoint=a.checkpoint,
+                       available_now=not a.continuous)
+    q.awaitTermination()
+    print(f"appended to {a.sink}")
+
+
 def _harness_fields(lines: DataFrame, prompt_path: str, response_path: str) -> DataFrame:
     """prompt / response by path, with the harness layout as fallback when
     both come out empty."""
@@ -160,6 +171,14 @@ def build_parser() -> argparse.ArgumentParser:
     f.add_argument("--min_len", type=int, default=100)
     f.add_argument("--max_samples", type=int, default=None)
 
+    sf = sub.add_parser("stream-filter")
+    sf.add_argument("source")
+    sf.add_argument("sink")
+    sf.add_argument("--threshold", type=int, default=2)
+    sf.add_argument("--min_len", type=int, default=100)
+    sf.add_argument("--checkpoint", default=None, help="default: under spark.checkpoint.dir")
+    sf.add_argument("--continuous", action="store_true")
+
     s = sub.add_parser("stats")
     s.add_argument("input")
     s.add_argument("--prompt_column", default="problem")
@@ -204,7 +223,7 @@ def build_parser() -> argparse.ArgumentParser:
     return ap
 
 
-COMMANDS = {"filter": cmd_filter, "stats": cmd_stats, "thinking": cmd_thinking, "compare": cmd_compare,
+COMMANDS = {"filter": cmd_filter, "stream-filter": cmd_stream_filter, "stats": cmd_stats, "thinking": cmd_thinking, "compare": cmd_compare,
             "train-rows": cmd_train_rows, "assemble": cmd_assemble}
 
 
