@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .chat import ANSWER_TAG, IM_START, THINK_TAG
 from .text import token_len
 
-# Fixed value: marker of the step-limited response format.
+# The marker of the step-limited response format, and the
+# prompt+response token count above which a sample counts as over-context.
 STEPS_LEFT = " steps left\n"
 CONTEXT_LIMIT = 32760
 
