@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tracekit.llm import decontaminate, licenses, mixing, sharding, url_filter
+from tracekit.llm import decontaminate, licenses, mixing, quality, sharding, url_filter
 
 QUERIES = {
     "op2_licenses": licenses.op2_licenses,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_sharding": sharding.op7_sharding,
+    "op8_quality": quality.op8_quality,
     "op10_mixing": mixing.op10_mixing,
 }
 
