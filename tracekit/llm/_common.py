@@ -3,8 +3,11 @@ ranks and connected components, all as DataFrame jobs."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -99,3 +102,46 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of a task that is sorted by the long column ``key``, in
+    tables that hold each key's rows together."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if held is not None:
+            table = pa.concat_tables([held, table])
+        if not table.num_rows:
+            continue
+        keys = table.column(key).to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1], "left"))
+        if cut:
+            yield table.slice(0, cut).combine_chunks()
+        held = table.slice(cut)
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
+
+
+def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For nodes 0 to n-1 of one task, the smallest node reachable over the
+    links a-b."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
+def small_table(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """A written table of a few numbers a row, marked for broadcast if it has
+    at most ``max_rows`` rows; beyond, Spark's shuffle joins take it."""
+    return F.broadcast(df) if df.count() <= max_rows else df

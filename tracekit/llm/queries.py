@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracekit.llm import decontaminate, licenses, mixing, quality, sharding, url_filter
+from tracekit.llm import decontaminate, licenses, mixing, near_dup, quality, sharding, url_filter
 
 QUERIES = {
     "op2_licenses": licenses.op2_licenses,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_sharding": sharding.op7_sharding,
     "op8_quality": quality.op8_quality,
+    "op9_near_duplicates": near_dup.op9_near_duplicates,
     "op10_mixing": mixing.op10_mixing,
 }
 
