@@ -1,27 +1,58 @@
-"""Corpus pipeline over ``documents``; each stage calls one operator."""
+"""Corpus pipeline over ``documents``: quality, near-duplicates, benchmark
+passages, the mix of sources, and shards. Each stage calls one operator of
+``tracekit.llm`` and works on all rows that the stage before it kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracekit.llm import sharding
+from tracekit.llm import decontaminate, mixing, near_dup, quality, sharding
 from tracekit.session import scratch_path
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go; it learns from ``labels``."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document stays of each group alike in 80 % of its runs of five words."""
+    return near_dup.drop_near_duplicates(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold passages of ``benchmark`` go."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents come as often as the mix of sources takes them."""
+    return mixing.mixed_documents(docs)
+
+
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row's shard and its place there."""
     return sharding.assign_shards(docs)
 
 
-STAGES = [("sharding", shard)]
+STAGES = [
+    ("quality", keep_good),
+    ("near_duplicates", drop_copies),
+    ("decontamination", drop_leaks),
+    ("mixing", mix_sources),
+    ("sharding", shard),
+]
+
+# learned scores, minwise trees and edits in a passage are no SQL; tests/llm checks run() against brute force
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, each written to the shared scratch folder and reread by the next."""
+    """All stages in order on ``documents``, each result written to the
+    cluster's shared folder and reread."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        kept = stage(spark, docs, sf_dir)
         path = scratch_path(spark, f"pipeline-{name}")
-        kept.write.parquet(path)
+        stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -124,36 +124,60 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
     give their own row; empty tables give none; other columns are not used.
     Runs a job on the benchmark for the number of blocks.
     """
-    spark = docs.sparkSession
-    words = F.size(F.split(F.col("text"), " "))
-    total = benchmark.agg(F.sum(words)).first()[0] or 0
+    texts = docs.select("doc_id", "text")
+    return union_all([_against(texts, seeds, min_words, max_substituted) for seeds in _blocks(benchmark, masks, block_words)])
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, min_words: int = MIN_WORDS,
+                      max_substituted: float = MAX_SUBSTITUTED, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that overlap with no
+    benchmark item; the same rules as ``contaminated``. Maps only."""
+    at = docs.columns.index("text")
+    for seeds in _blocks(benchmark, masks, block_words):
+        sent = docs.sparkSession.sparkContext.broadcast(seeds)
+
+        def rows(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for place, *_ in _overlaps(sent.value, batch.column(at).to_pylist(), min_words, max_substituted):
+                    keep[place] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(rows, docs.schema)
+    return docs
+
+
+def _blocks(benchmark: DataFrame, masks: tuple[str, ...], block_words: int) -> Iterator[Seeds]:
+    """The benchmark's seeds, in blocks of about ``block_words`` words."""
+    total = benchmark.agg(F.sum(F.size(F.split("text", " ")))).first()[0] or 0
     n_blocks = max(1, -(-int(total) // block_words))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
-    texts = docs.select("doc_id", "text")
-    found = []
     for b in range(n_blocks):
-        items = [(r["item_id"], r["text"]) for r in benchmark.where(block == b).select("item_id", "text").collect()]
-        found.append(_against(spark, texts, Seeds(items, masks), min_words, max_substituted))
-    return union_all(found)
+        rows = benchmark.where(block == b).select("item_id", "text").collect()
+        yield Seeds(sorted(((r["item_id"], r["text"]) for r in rows), key=str), masks)
+
+
+def _overlaps(seeds: Seeds, texts: list[str | None], min_words: int, max_substituted: float) -> list[tuple]:
+    """(place of the text, item id, first word, words, equal words, share of the item)."""
+    out = []
+    for start, end in text_groups(texts):
+        hashes, first = batch_hashes(texts[start:end], MARK)
+        best: dict[tuple[int, int], tuple] = {}
+        for t, i, shift in seeds.hits(hashes, first):
+            at, n, same = overlap(hashes[first[t]:first[t + 1]], seeds.words[i], shift, max_substituted)
+            if n >= min(min_words, len(seeds.words[i])):
+                best[t, i] = max(best.get((t, i), (0, 0)), (same, -at, n))
+        out += [(start + t, seeds.ids[i], -at, n, same, same / len(seeds.words[i]))
+                for (t, i), (same, at, n) in sorted(best.items())]
+    return out
 
 
-def _against(spark: SparkSession, texts: DataFrame, seeds: Seeds, min_words: int, max_substituted: float) -> DataFrame:
-    sent = spark.sparkContext.broadcast(seeds)
+def _against(texts: DataFrame, seeds: Seeds, min_words: int, max_substituted: float) -> DataFrame:
+    sent = texts.sparkSession.sparkContext.broadcast(seeds)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
         for batch in batches:
-            out = []
-            texts = batch.column(1).to_pylist()
-            for start, end in text_groups(texts):
-                hashes, first = batch_hashes(texts[start:end], MARK)
-                best: dict[tuple[int, int], tuple] = {}
-                for t, i, shift in own.hits(hashes, first):
-                    at, n, same = overlap(hashes[first[t]:first[t + 1]], own.words[i], shift, max_substituted)
-                    if n >= min(min_words, len(own.words[i])):
-                        best[t, i] = max(best.get((t, i), (0, 0)), (same, -at, n))
-                out += [(start + t, own.ids[i], -at, n, same, same / len(own.words[i]))
-                        for (t, i), (same, at, n) in sorted(best.items())]
+            out = _overlaps(sent.value, batch.column(1).to_pylist(), min_words, max_substituted)
             cols = list(zip(*out)) if out else [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays(

@@ -52,28 +52,18 @@ def water_fill(sources: DataFrame, total: int, max_epochs: int) -> DataFrame:
     return sources.withColumn("target", F.when(cap > 0, share).otherwise(F.lit(0.0)))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS,
-        seed: int = SEED) -> DataFrame:
-    """(doc_id, size, source, source_size, target, taken) for every row.
-
-    Sources in code point order, null last, weigh ``weights`` in turn and
-    share as many words as there are. taken is at most ``max_epochs`` times
-    size. The seeded order of a source is by a hash of (doc_id, text); rows
-    equal in both share the fraction at the cut evenly, each rounded down.
-    Null texts count no words, empty tables give none, other columns are not
-    used. Reruns agree.
-
-    The cut of a source is found by sums over 1024 parts of its order, then of
-    the part that holds the cut, three times, and at last over single hashes:
-    no window sees more than 1024 rows a source and what is left of a billion
-    of its rows after thirty bits, however many rows a source has. Runs jobs.
-    """
+def _measured(docs: DataFrame, seed: int) -> DataFrame:
+    """``docs`` with each row's ``size`` and its ``place`` in the seeded order."""
     spell = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"),
                      F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
     place = F.conv(F.substring(F.md5(F.encode(spell, "UTF-8")), 1, ORDER_BITS // 4), 16, 10).cast("long")
-    rows = written(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"),
-                               place.alias("place")), "mix-rows")
+    return docs.select("*", F.col("source").cast("string").alias("__source"), n_words(F.col("text")).alias("__size"), place.alias("__place"))
+
 
+def _shares(rows: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
+    """What each source takes: ``whole`` times everything, and ``rest`` words
+    more: all of places before ``part``, which have ``before`` words, and the
+    remainder from the ``words`` at that place."""
     sizes = written(rows.groupBy("source").agg(F.sum("size").alias("size")), "mix-sources")
     total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     turn = F.get(F.array(*[F.lit(int(w)) for w in weights]), F.pmod(F.col("rank"), F.lit(len(weights))).cast("int"))
@@ -98,14 +88,39 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
         upto = F.sum("words").over(Window.partitionBy("of").orderBy("found"))
         parts = parts.select("of", "found", "words", (upto - F.col("words")).alias("start"))
         plan = plan.drop("words")
+        reached = F.col("before") + F.col("start")
         cut = (plan.join(parts, plan["source"].eqNullSafe(parts["of"]), "left")
-               .where(F.col("of").isNull() & F.col("found").isNull()
-                      | (F.col("before") + F.col("start") < F.col("rest")) & (F.col("before") + F.col("start") + F.col("words") >= F.col("rest"))))
-        keep = ["source", "source_size", "target", "whole", "rest", F.coalesce("found", F.lit(0)).cast("long").alias("part"),
-                (F.col("before") + F.coalesce("start", F.lit(0))).cast("long").alias("before")]
-        plan = written(cut.select(*keep, F.coalesce("words", F.lit(0)).cast("long").alias("words")), "mix-plan")
+               .where(F.col("found").isNull() | (reached < F.col("rest")) & (reached + F.col("words") >= F.col("rest"))))
+        plan = written(cut.select("source", "source_size", "target", "whole", "rest",
+                                  F.coalesce("found", F.lit(0)).cast("long").alias("part"),
+                                  (F.col("before") + F.coalesce("start", F.lit(0))).cast("long").alias("before"),
+                                  F.coalesce("words", F.lit(0)).cast("long").alias("words")), "mix-plan")
+    return plan.withColumnRenamed("source", "of")
+
+
+def _rows(docs: DataFrame, seed: int) -> DataFrame:
+    return written(_measured(docs, seed).select("doc_id", F.col("__source").alias("source"), F.col("__size").alias("size"),
+                                                F.col("__place").alias("place")), "mix-rows")
 
-    joined = rows.join(plan.withColumnRenamed("source", "of"), rows["source"].eqNullSafe(F.col("of")))
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS,
+        seed: int = SEED) -> DataFrame:
+    """(doc_id, size, source, source_size, target, taken) for every row.
+
+    Sources in code point order, null last, weigh ``weights`` in turn and
+    share as many words as there are. taken is at most ``max_epochs`` times
+    size. The seeded order of a source is by a hash of (doc_id, text); rows
+    equal in both share the fraction at the cut evenly, each rounded down.
+    Null texts count no words, empty tables give none, other columns are not
+    used. Reruns agree.
+
+    The cut of a source is found by sums over 1024 parts of its order, then of
+    the part that holds the cut, three times, and at last over single hashes:
+    no window sees more than 1024 rows a source and what is left of a billion
+    of its rows after thirty bits, however many rows a source has. Runs jobs.
+    """
+    rows = _rows(docs, seed)
+    joined = rows.join(_shares(rows, weights, max_epochs), rows["source"].eqNullSafe(F.col("of")))
     at_cut = F.floor(F.col("size") * (F.col("rest") - F.col("before")) / F.col("words"))
     once_more = (F.when(F.col("rest") <= 0, F.lit(0)).when(F.col("place") < F.col("part"), F.col("size"))
                  .when((F.col("place") == F.col("part")) & (F.col("words") > 0), at_cut).otherwise(F.lit(0)))
@@ -113,6 +128,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
                          (F.col("whole") * F.col("size") + once_more).cast("long").alias("taken"))
 
 
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS,
+                    seed: int = SEED) -> DataFrame:
+    """The rows of ``docs``, with all their columns, as often as the mix
+    takes them. Rows at the cut come once more if the mix takes at least half
+    of them, so that only whole texts are repeated; texts without words
+    follow their place in the order. Texts don't move: a source's share is a
+    row that is joined to them."""
+    shares = _shares(_rows(docs, seed), weights, max_epochs)
+    joined = _measured(docs, seed).join(shares, F.col("__source").eqNullSafe(F.col("of")))
+    once_more = (F.col("rest") > 0) & ((F.col("__place") < F.col("part"))
+                                       | (F.col("__place") == F.col("part")) & (2 * (F.col("rest") - F.col("before")) >= F.col("words")))
+    times = (F.col("whole") + F.when(once_more, F.lit(1)).otherwise(F.lit(0))).cast("int")
+    return (joined.select(*[docs[c] for c in docs.columns], times.alias("__times")).where("__times > 0")
+            .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__times", "__copy"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, mixed by the contract's weights."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))

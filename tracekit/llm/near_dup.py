@@ -59,10 +59,12 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
                 path.append(sketch(found).view(np.int32) if len(found) else None)
             bits = [None if p is None else p.astype(np.uint16).tobytes() for p in path]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()),
-                 pa.array(path, pa.list_(pa.int32())), pa.array(bits, pa.binary())], names=["doc_id", "n", "sig", "path", "bits"])
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(sig, pa.binary()),
+                 pa.array(path, pa.list_(pa.int32())), pa.array(bits, pa.binary())],
+                names=["doc_id", "text_hash", "n", "sig", "path", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n long, sig binary, path array<int>, bits binary")
+    return (docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+            .mapInArrow(rows, "doc_id long, text_hash long, n long, sig binary, path array<int>, bits binary"))
 
 
 def _children(nodes: DataFrame, threshold: float) -> DataFrame:
@@ -210,14 +212,14 @@ def _confirm(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, trees: int = TREES, leaf: int = LEAF,
                     depth: int = DEPTH) -> DataFrame:
-    """(doc_id, n_shingles, sig, component_id, kept), a row per document row.
+    """(doc_id, text_hash, n_shingles, grp, component_id, kept), a row per
+    document row; grp is the component's own id, null where there is no set.
 
     The set of a text is its distinct shingles of ``size`` words, or all its
     words as one; two sets are linked if their intersection is at least
     ``percent`` % of their union. component_id is the smallest doc_id in the
     same linked component, kept whether it is the row's own. Rows with equal
-    sets (sig is the set's digest) are one member of the join, so copies cost
-    no pairs. Null, empty and blank texts have no set and link with nothing:
+    sets are one member of the join, so copies cost no pairs. Null, empty and blank texts have no set and link with nothing:
     component_id is their own doc_id. Null ids are nobody's smallest one; a
     component of nothing else has a null component_id and kept is false.
     Repeated rows, empty tables and other columns do no harm. Texts are read
@@ -235,15 +237,37 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, trees: in
 
     linked = roots.join(classes.select(F.col("cls").alias("id"), "sig", "rep"), "id")
     smallest = linked.groupBy("root").agg(F.min("rep").alias("smallest"))
-    by_sig = (classes.select("sig", "rep").join(linked.join(smallest, "root").select("sig", "smallest", F.lit(True).alias("in")), "sig", "left")
-              .select("sig", F.when(F.col("in"), F.col("smallest")).otherwise(F.col("rep")).alias("found")))
-    rows = first.select("doc_id", "n", "sig").join(by_sig, "sig", "left")
+    by_sig = (classes.select("cls", "sig", "rep").join(linked.join(smallest, "root").select("sig", "smallest", "root"), "sig", "left")
+              .select("sig", F.coalesce("root", "cls").alias("grp"),
+                      F.when(F.col("root").isNotNull(), F.col("smallest")).otherwise(F.col("rep")).alias("found")))
+    rows = first.select("doc_id", "text_hash", "n", "sig").join(by_sig, "sig", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("found"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), "sig", component.alias("component_id"),
+    return rows.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "grp", component.alias("component_id"),
                        F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, **how) -> DataFrame:
+    """The rows of ``docs``, with all their columns, without near-duplicates:
+    of each component the row with the smallest doc_id stays, null last, then
+    with the smallest hash of its text; rows without a set all stay."""
+    rows = written(near_duplicates(docs, size, percent, **how).select("doc_id", "text_hash", "grp"), "dup-rows")
+    members = rows.where("grp is not null").groupBy("grp", "doc_id", "text_hash").agg(F.count("*").alias("times"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    # of equal rows only one may stay, so such rows are dropped and one is added again
+    stays = members.groupBy("grp").agg(F.min_by(F.struct("doc_id", "text_hash", "times"), order).alias("s")).select("grp", "s.*")
+    single = stays.where("times = 1").select("doc_id", "text_hash")
+    same = members["doc_id"].eqNullSafe(single["doc_id"]) & (members["text_hash"] == single["text_hash"])
+    gone = small_table(written(members.join(single, same, "left_anti").select("doc_id", "text_hash"), "dup-gone"))
+    again = small_table(written(stays.where("times > 1").select("doc_id", "text_hash"), "dup-again"))
+
+    hashed = docs.withColumn("__hash", F.xxhash64("text"))
+    rest = hashed.join(gone, hashed["doc_id"].eqNullSafe(gone["doc_id"]) & (hashed["__hash"] == gone["text_hash"]), "left_anti")
+    ones = (hashed.join(again, hashed["doc_id"].eqNullSafe(again["doc_id"]) & (hashed["__hash"] == again["text_hash"]), "left_semi")
+            .dropDuplicates(["doc_id", "__hash"]))
+    return rest.unionByName(ones).drop("__hash")
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents by the contract: three words, 85 %."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return near_duplicates(docs, size=3, percent=85).drop("sig")
+    return near_duplicates(docs, size=3, percent=85).drop("text_hash", "grp")

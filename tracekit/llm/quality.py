@@ -200,24 +200,32 @@ def train(docs: DataFrame, labels: DataFrame, learnable=None, sample: int = SAMP
     return calibrate(model, x[labelled], y[labelled]) if len(set(y[labelled])) == 2 else model
 
 
-def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
+def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD,
+          names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """``docs`` with double ``score`` and int ``predicted`` (score at least
-    ``threshold``); columns of these names are replaced, all others stay.
+    ``threshold``), or these under other ``names``; columns of these names
+    are replaced, all others stay.
     Null texts count as empty ones, and an empty text has a score like any
     other; a missing model gives 0.5. One map, no shuffle."""
-    docs = docs.drop("score", "predicted")
-    schema = pa.schema([("score", pa.float64()), ("predicted", pa.int32())])
+    docs = docs.drop(*names)
     at = docs.columns.index("text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at).to_pylist()
             p = model.score(features(texts)) if model else np.full(len(texts), 0.5)
-            extra = [pa.array(p, schema.field(0).type), pa.array((p >= threshold).astype(np.int32), schema.field(1).type)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *schema.names])
+            extra = [pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *names])
 
     spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(rows, f"{spec}, score double, predicted int")
+    return docs.mapInArrow(rows, f"{spec}, `{names[0]}` double, `{names[1]}` int")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that a classifier
+    learned from all ``labels`` does not reject."""
+    own = ("__quality_score", "__quality")
+    return score(docs, train(docs, labels), threshold, own).where(F.col(own[1]) == 1).drop(*own)
 
 
 def held_out(key: str = "doc_id"):
