@@ -46,7 +46,7 @@ def _table() -> tuple[np.ndarray, np.ndarray]:
     return _powers(CHUNK_BYTES + 4096)
 
 
-def _chunk_hashes(text: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _chunk_hashes(text: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = np.zeros(len(text) + 2, np.int8)
     inside[1:-1] = ~separator[text]
     edges = np.flatnonzero(np.diff(inside))
@@ -54,15 +54,15 @@ def _chunk_hashes(text: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray,
     power, inverse = _table() if len(text) <= CHUNK_BYTES + 4096 else _powers(len(text))
     total = np.zeros(len(text) + 1, np.uint64)
     np.cumsum((text.astype(np.uint64) + np.uint64(1)) * power[:len(text)], out=total[1:])
-    return mixed((total[ends] - total[starts]) * inverse[starts]), starts
+    return mixed((total[ends] - total[starts]) * inverse[starts]), starts, ends
 
 
-def word_places(text: bytes, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of a whole text and the bytes they start
-    at, without making the words: each hash is a difference of two running
+def word_places(text: bytes, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of a whole text, and the bytes they start
+    and end at, without making the words: each hash is a difference of two running
     sums of a polynomial in the bytes. Long texts go through in pieces cut
     between words."""
-    hashes, starts, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+    hashes, starts, ends, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
     view = np.frombuffer(text, np.uint8)
     while at < len(view):
         end = at + CHUNK_BYTES
@@ -70,11 +70,12 @@ def word_places(text: bytes, separator: np.ndarray) -> tuple[np.ndarray, np.ndar
             end += CHUNK_BYTES
         if end < len(view):
             end += int(np.argmax(separator[view[end:end + CHUNK_BYTES]]))
-        found, places = _chunk_hashes(view[at:end], separator)
+        found, first, last = _chunk_hashes(view[at:end], separator)
         hashes.append(found)
-        starts.append(places + at)
+        starts.append(first + at)
+        ends.append(last + at)
         at = end
-    return np.concatenate(hashes), np.concatenate(starts)
+    return np.concatenate(hashes), np.concatenate(starts), np.concatenate(ends)
 
 
 def word_hashes(text: bytes, separator: np.ndarray = SPACE) -> np.ndarray:
@@ -86,7 +87,7 @@ def batch_hashes(texts: list[str | None], separator: np.ndarray = SPACE) -> tupl
     begins among them, with the number of all words at the end."""
     parts = [utf8(text) for text in texts]
     bounds = np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts], dtype=np.int64)])
-    hashes, starts = word_places(b" ".join(parts), separator)
+    hashes, starts, _ = word_places(b" ".join(parts), separator)
     return hashes, np.searchsorted(starts, bounds)
 
 

@@ -69,7 +69,7 @@ def features(texts: list[str | None]) -> np.ndarray:
     for start, end in text_groups(texts):
         raws = [b"" if t is None else t.encode("utf-8", "replace") for t in texts[start:end]]
         bounds = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raws])])
-        hashes, places = word_places(b" ".join(utf8(t) for t in texts[start:end]), SPACE)
+        hashes, places, _ = word_places(b" ".join(utf8(t) for t in texts[start:end]), SPACE)
         first = np.searchsorted(places, bounds)
         for k, raw in enumerate(raws):
             a, b = first[k], first[k + 1]

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tracekit.llm import decontaminate, licenses, mixing, near_dup, quality, sharding, url_filter
+from tracekit.llm import decontaminate, language_model, licenses, mixing, near_dup, quality, sharding, url_filter
 
 QUERIES = {
     "op2_licenses": licenses.op2_licenses,
+    "op3_language_model": language_model.op3_language_model,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_sharding": sharding.op7_sharding,
