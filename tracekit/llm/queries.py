@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tracekit.llm import decontaminate, language_model, licenses, mixing, near_dup, quality, sharding, url_filter
+from tracekit.llm import decontaminate, html_text, language_model, licenses, mixing, near_dup, quality, sharding, url_filter
 
 QUERIES = {
+    "op1_html_text": html_text.op1_html_text,
     "op2_licenses": licenses.op2_licenses,
     "op3_language_model": language_model.op3_language_model,
     "op5_url_filter": url_filter.op5_url_filter,
