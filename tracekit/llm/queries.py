@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tracekit.llm import decontaminate, html_text, language_model, licenses, mixing, near_dup, quality, sharding, url_filter
+from tracekit.llm import decontaminate, embed_dup, html_text, language_model, licenses, mixing, near_dup, quality, sharding, url_filter
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
     "op2_licenses": licenses.op2_licenses,
     "op3_language_model": language_model.op3_language_model,
+    "op4_embedding_duplicates": embed_dup.op4_embedding_duplicates,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_sharding": sharding.op7_sharding,
