@@ -4,8 +4,8 @@ A seed is a mask over a few words that ignores some of them, so two texts
 with a changed word still share seeds whose ignored positions cover it. The
 masked hashes of the benchmark are joined with those at every position of
 every document; around each hit the document and the benchmark item are laid
-side by side, and the best run of equal and substituted words counts if it
-is long and has few substitutions.
+side by side, and the longest run of equal and few substituted words counts
+if it is long enough.
 
 The benchmark is the smaller side: it is taken in blocks of bounded size,
 each sent to the executors as a sorted hash table, and the documents are
@@ -97,16 +97,24 @@ class Seeds:
 
 
 def overlap(doc: np.ndarray, item: np.ndarray, shift: int, max_substituted: float) -> tuple[int, int, int]:
-    """The best run on one diagonal, as (start in the document, words, equal
-    words): equal words gain, substitutions cost so much that a run breaks
-    even at the allowed share of them."""
+    """The longest run on one diagonal that begins and ends with equal words
+    and has at most the allowed share of others, as (start in the document,
+    words, equal words).
+
+    Equal words gain the allowed share and others cost the rest of one, so a
+    run is allowed if its sum isn't negative; the first start whose running
+    sum is at most the end's gives the end's longest run.
+    """
     low, high = max(0, -shift), min(len(item), len(doc) - shift)
     same = doc[low + shift:high + shift] == item[low:high]
-    gain = np.where(same, max_substituted, max_substituted - 1.0)
-    total = np.concatenate([[0.0], np.cumsum(gain)])
-    lowest = np.minimum.accumulate(total)
-    end = int(np.argmax(total - lowest))
-    start = int(np.argmin(total[:end + 1]))
+    starts = np.flatnonzero(same)
+    if not len(starts):
+        return 0, 0, 0
+    total = np.concatenate([[0.0], np.cumsum(np.where(same, max_substituted, max_substituted - 1.0))])
+    lowest = np.minimum.accumulate(total[starts])
+    first = starts[np.searchsorted(-lowest, -total[starts + 1] - 1e-9)]
+    best = int(np.argmax(starts - first))
+    start, end = int(first[best]), int(starts[best]) + 1
     return low + shift + start, end - start, int(same[start:end].sum())
 
 
@@ -115,8 +123,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
     """(doc_id, item_id, first_word, n_words, n_equal, item_share) for each
     document row and benchmark item that overlap in at least ``min_words``
     words, or in the whole of a shorter item, with at most
-    ``max_substituted`` of them replaced; the longest run in equal words
-    represents the pair, the first one among equals.
+    ``max_substituted`` of them replaced; the longest run represents the
+    pair, with the most equal words and then the first among equals.
 
     Words are runs of letters and digits, lower-cased, so marks between them
     don't matter. Null and empty texts, and items without words, overlap with
@@ -166,9 +174,9 @@ def _overlaps(seeds: Seeds, texts: list[str | None], min_words: int, max_substit
         for t, i, shift in seeds.hits(hashes, first):
             at, n, same = overlap(hashes[first[t]:first[t + 1]], seeds.words[i], shift, max_substituted)
             if n >= min(min_words, len(seeds.words[i])):
-                best[t, i] = max(best.get((t, i), (0, 0)), (same, -at, n))
+                best[t, i] = max(best.get((t, i), (0, 0)), (n, same, -at))
         out += [(start + t, seeds.ids[i], -at, n, same, same / len(seeds.words[i]))
-                for (t, i), (same, at, n) in sorted(best.items())]
+                for (t, i), (n, same, at) in sorted(best.items())]
     return out
 
 
