@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracekit.llm._common import components, local_components, partitions, small_table, union_all, whole_groups, written
@@ -30,9 +30,10 @@ from tracekit.llm._text import mixed, shingle_set
 
 SKETCH = 64  # minwise values of a set, a power of two
 TREES = 8
-LEAF = 400  # sets that are compared with one another
+LEAF = 1600  # sets that are compared with one another
 DEPTH = 12
 SIGMAS = 4.0  # how far a sketch may fall below the threshold: misses one link at the threshold in 30,000
+RANGE_SHINGLES = 2_000_000  # shingles of a group that are counted at a time
 SEED = 11
 
 _rng = np.random.default_rng(SEED)
@@ -48,7 +49,9 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return (mixed(low) >> np.uint64(32)).astype(np.uint32)
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
+def _sets(docs: DataFrame, size: int, threshold: float, trees: int) -> DataFrame:
+    """A row per document: its set's size, digest, sketch (``path`` and its
+    low bits), and the nodes below the roots of all trees."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, sig, path = [], [], []
@@ -63,43 +66,45 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
                  pa.array(path, pa.list_(pa.int32())), pa.array(bits, pa.binary())],
                 names=["doc_id", "text_hash", "n", "sig", "path", "bits"])
 
-    return (docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    sets = (docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
             .mapInArrow(rows, "doc_id long, text_hash long, n long, sig binary, path array<int>, bits binary"))
+    roots = F.array(*[F.xxhash64(F.lit(SEED), F.lit(t)) for t in range(trees)])
+    below = F.filter(F.flatten(F.transform(roots, lambda root: _picked(root, threshold))), lambda node: node.isNotNull())
+    return sets.withColumn("below", below).withColumn("row", F.monotonically_increasing_id())
 
 
-def _children(nodes: DataFrame, threshold: float) -> DataFrame:
-    """(node, cls) of the next level from (node, cls, path)."""
-    node = F.col("node")
+def _picked(node: Column, threshold: float) -> Column:
+    """The children of ``node`` that the row's ``path`` goes on to."""
     at = F.pmod(F.xxhash64(node, F.lit(1)), F.lit(SKETCH))
     step = F.pmod(F.xxhash64(node, F.lit(2)), F.lit(SKETCH // 2)) * 2 + 1
     often, rest = divmod(1 / threshold, 1)
     extra = F.pmod(F.xxhash64(node, F.lit(3)), F.lit(1 << 20)) < F.lit(int(rest * (1 << 20)))
 
-    def child(k: int):
+    def child(k: int) -> Column:
         pick = F.pmod(at + step * k, F.lit(SKETCH)).cast("int")
         return F.xxhash64(node, pick, F.get("path", pick))
 
-    picked = F.array(*[child(k) for k in range(int(often))], F.when(extra, child(int(often))))
-    return nodes.select("cls", F.explode(picked).alias("node")).where("node is not null")
+    return F.array(*[child(k) for k in range(int(often))], F.when(extra, child(int(often))))
 
 
-def _leaves(classes: DataFrame, threshold: float, trees: int, leaf: int, depth: int) -> DataFrame:
+def _leaves(first: DataFrame, classes: DataFrame, threshold: float, leaf: int, depth: int) -> DataFrame:
     """(node, cls) of all leaves with two sets or more."""
-    roots = F.explode(F.transform(F.sequence(F.lit(1), F.lit(trees)), lambda t: F.xxhash64(F.lit(SEED), t)))
-    level = _children(classes.select("cls", "path", roots.alias("node")), threshold)
-    leaves = []
+    level = classes.select("cls", F.explode("below").alias("node"))
+    leaves, paths = [], None
     for d in range(depth):
         nodes = written(level, "dup-nodes")
         counts = written(nodes.groupBy("node").agg(F.count("*").alias("m")).where("m > 1"), "dup-counts")
         largest = counts.agg(F.max("m")).first()[0] or 0
-        # of the inner nodes' sets only
         leaves.append(nodes.join(counts.where(F.col("m") <= leaf), "node").select("node", "cls"))
         if largest <= leaf:
             return union_all(leaves)
         inner = nodes.join(counts.where(F.col("m") > leaf), "node").select("node", "cls")
         if d == depth - 1:
             break
-        level = _children(inner.join(classes.select("cls", "path"), "cls"), threshold)
+        if paths is None:  # only of the sets that go on
+            paths = written(first.join(inner.select(F.col("cls").alias("row")).distinct(), "row", "left_semi")
+                            .select(F.col("row").alias("cls"), "path"), "dup-paths")
+        level = inner.join(paths, "cls").select("cls", F.explode(_picked(F.col("node"), threshold)).alias("node")).where("node is not null")
     # sets that stay together however deep are compared in blocks: every two blocks of such a node make a leaf
     half = leaf // 2
     sized = nodes.join(counts.where(F.col("m") > leaf), "node")
@@ -119,7 +124,7 @@ def _maybe_linked(n: np.ndarray, bits: np.ndarray, percent: int, least: int) ->
     return (same >= least) & ratio
 
 
-def _screen(leaves: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _screen(leaves: DataFrame, first: DataFrame, percent: int) -> DataFrame:
     """(grp, cls): the groups of maybe linked sets of every leaf, each once."""
     least = math.floor(SKETCH * percent / 100 - SIGMAS * math.sqrt(SKETCH * percent / 100 * (1 - percent / 100)))
 
@@ -149,44 +154,48 @@ def _screen(leaves: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             np.add.at(key, label[active], mixed(cls[active].astype(np.uint64) + np.uint64(1)))
             yield pa.RecordBatch.from_arrays([pa.array(mixed(key)[label[active]].view(np.int64)), pa.array(cls[active])], names=["grp", "cls"])
 
-    full = leaves.join(classes.select("cls", "n", "bits"), "cls").select("node", "cls", "n", "bits")
+    full = leaves.join(first.select(F.col("row").alias("cls"), "n", "bits"), "cls").select("node", "cls", "n", "bits")
     dealt = full.repartition(partitions(leaves.sparkSession), "node").sortWithinPartitions("node")
     return dealt.mapInArrow(rows, "grp long, cls long").distinct()
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(cls, shingles) of the wanted (cls, sig, rep), computed again from the
-    texts of their representatives."""
+    """(cls, shingles) of the wanted (cls, sig, doc_id, text_hash), computed
+    again from those texts, of which equal rows count once."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_set(text, size).tobytes() for text in batch.column(0).to_pylist()]
             sig = [xxhash.xxh3_128_digest(f) for f in found]
             yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(found, pa.binary())], names=["sig", "shingles"])
 
-    ids = small_table(written(wanted.select(F.col("rep").alias("doc_id")).distinct(), "dup-wanted"))
-    texts = docs.select("doc_id", "text").join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-    sets = texts.select("text").mapInArrow(rows, "sig binary, shingles binary")
-    return sets.join(wanted.select("sig", "cls"), "sig").groupBy("cls").agg(F.first("shingles").alias("shingles"))
+    ids = small_table(written(wanted.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")), "dup-wanted"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("__hash"))
+    texts = texts.join(ids, texts["doc_id"].eqNullSafe(ids["id"]) & (texts["__hash"] == ids["hash"]), "left_semi")
+    sets = texts.dropDuplicates(["doc_id", "__hash"]).select("text").mapInArrow(rows, "sig binary, shingles binary")
+    return sets.join(small_table(written(wanted.select("sig", "cls"), "dup-sigs")), "sig").select("cls", "shingles")
 
 
 def links_of(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of sets whose intersection is at least ``percent`` of their
     union, by counting shared shingles; only such that two sets have count."""
     n = np.array([len(s) for s in sets], np.int64)
-    every = np.concatenate(sets)
-    _, which, times = np.unique(every, return_inverse=True, return_counts=True)
-    number = np.cumsum(times > 1) - 1
-    owner = np.repeat(np.arange(len(sets)), n)
-    shared = times[which] > 1
-    owner, column = owner[shared], number[which[shared]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
     common = np.zeros((len(sets), len(sets)), np.float64)
-    for start in range(0, int(column.max(initial=-1)) + 1, 4096):
-        a, b = np.searchsorted(column, (start, start + 4096))
-        has = np.zeros((len(sets), 4096), np.float32)
-        has[owner[a:b], column[a:b] - start] = 1
-        common += has @ has.T  # counts up to 4096 are exact in single precision
+    # a range of hashes at a time; sets are sorted
+    bounds = [int(x) for x in np.linspace(0, float(1 << 64), 2 + int(n.sum()) // RANGE_SHINGLES)[1:-1]]
+    cuts = np.array([[0, *np.searchsorted(s, np.array(bounds, np.uint64)), len(s)] for s in sets])
+    for r in range(cuts.shape[1] - 1):
+        parts = [s[a:b] for s, a, b in zip(sets, cuts[:, r], cuts[:, r + 1])]
+        _, which, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        shared = times[which] > 1
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in parts])[shared]
+        column = (np.cumsum(times > 1) - 1)[which[shared]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        for start in range(0, int(column.max(initial=-1)) + 1, 4096):
+            a, b = np.searchsorted(column, (start, start + 4096))
+            has = np.zeros((len(sets), min(4096, int(column[-1]) + 1 - start)), np.float32)
+            has[owner[a:b], column[a:b] - start] = 1
+            common += has @ has.T  # counts up to 4096 are exact in single precision
     linked = 100 * common >= percent * (n[:, None] + n[None] - common)
     return np.nonzero(np.triu(linked, 1))
 
@@ -225,13 +234,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, trees: in
     Repeated rows, empty tables and other columns do no harm. Texts are read
     whole, twice where they may be linked. Runs jobs.
     """
-    first = written(_sets(docs, size), "dup-sets")
+    first = written(_sets(docs, size, percent / 100, trees), "dup-sets")
     classes = written(first.where("n > 0").groupBy("sig").agg(
-        F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("path").alias("path"), F.first("bits").alias("bits"))
-        .withColumn("cls", F.monotonically_increasing_id()), "dup-classes")
+        F.min("doc_id").alias("rep"), F.min("row").alias("cls"), F.first("below").alias("below"),
+        F.min_by(F.struct("doc_id", "text_hash"), "row").alias("at")), "dup-classes")
 
-    groups = written(_screen(_leaves(classes, percent / 100, trees, leaf, depth), classes, percent), "dup-groups")
-    wanted = written(classes.join(groups.select("cls").distinct(), "cls", "left_semi").select("cls", "sig", "rep"), "dup-active")
+    groups = written(_screen(_leaves(first, classes, percent / 100, leaf, depth), first, percent), "dup-groups")
+    wanted = written(classes.join(groups.select("cls").distinct(), "cls", "left_semi").select("cls", "sig", "at.*"), "dup-active")
     sets = written(_full_sets(docs, wanted, size), "dup-full")
     roots = components(written(_confirm(groups, sets, percent), "dup-links"), "dup-components")
 
