@@ -3,8 +3,6 @@ kinds and brace soup, checked against plain-Python statements of the rules.
 Each property collects all its examples into one DataFrame, so Spark runs
 once per property."""
 
-import re
-
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -13,6 +11,8 @@ from tracekit.functions import answers as A
 from tracekit.functions import text as T
 from tracekit.operators.repeat import is_repeating, sentence_counts
 
+from . import plain
+
 WS = ["\n", " ", "\t", " ", " ", "\u001c", "\r", "\n\n", "  "]
 PIECES = st.lists(st.one_of(st.sampled_from(["Alpha beta", "Gamma", "alpha beta", "Delta epsilon zeta",
                                              "x" * 12, "ÉÜ ß"]),
@@ -21,15 +21,6 @@ PIECES = st.lists(st.one_of(st.sampled_from(["Alpha beta", "Gamma", "alpha beta"
 SETTINGS = dict(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
 
 
-def _py_sentences(text, min_len):
-    return [p.strip() for p in re.split(r"(?<=[.!?])\s+|\n+", text) if len(p.strip()) >= min_len]
-
-
-def _py_repeating(text, threshold, min_len):
-    segs = _py_sentences(text, min_len)
-    return any(segs.count(s) >= threshold for s in set(segs)) if threshold > 1 else bool(segs)
-
-
 @settings(**SETTINGS)
 @given(st.lists(PIECES, min_size=60, max_size=60))
 def test_repetition_rules(spark, texts):
@@ -39,27 +30,11 @@ def test_repetition_rules(spark, texts):
     got = {r.i: r for r in df.select("i", *cols, sentence_counts(F.col("t"), 3).alias("c")).collect()}
     for i, t in enumerate(texts):
         for k, (th, ml) in enumerate(cases):
-            assert got[i][f"r{k}"] == _py_repeating(t, th, ml), (t, th, ml)
-        segs = _py_sentences(t, 3)
+            assert got[i][f"r{k}"] == (plain.most_repeats(t, ml) >= th), (t, th, ml)
+        segs = plain.sentences(t, 3)
         assert {(c.sentence, c.n) for c in got[i]["c"]} == {(s, segs.count(s)) for s in set(segs)}
 
 
-def _py_last_boxed(s):
-    """Brace-balanced box per the rules stated in the docstring of last_boxed."""
-    if "\\boxed " in s:
-        return "\\boxed " + s.split("\\boxed ")[-1].split("$")[0]
-    key = "\\boxed" if "\\boxed" in s else ("\\fbox" if "\\fbox" in s else None)
-    if key is None:
-        return None
-    start = s.rindex(key)
-    depth = 0
-    for j in range(start, len(s)):
-        depth += {"{": 1, "}": -1}.get(s[j], 0)
-        if s[j] == "}" and depth == 0:
-            return s[start:j + 1]
-    return None
-
-
 BOX_SOUP = st.lists(st.sampled_from(["{", "}", "\\boxed", "\\fbox", "\\boxed ", "a", "1", "$", " ", "é"]),
                     min_size=0, max_size=25).map("".join)
 
@@ -70,7 +45,7 @@ def test_last_boxed_rules(spark, texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = {r.i: r.b for r in df.select("i", A.last_boxed(F.col("t")).alias("b")).collect()}
     for i, t in enumerate(texts):
-        assert got[i] == _py_last_boxed(t), t
+        assert got[i] == plain.last_box(t), t
 
 
 def test_strip_matches_python_on_all_whitespace(spark):
@@ -88,6 +63,9 @@ def test_answers_equal_rules(spark, pairs):
     for n, d in pairs:
         rows += [(f"{n}", f"{n}.0", True), (f"\\frac{{{n * d}}}{{{d}}}", f"{n}", True),
                  (f"{n}", f"{n + 1}", False), (f"\\frac{{{n}}}{{{d}}}", f"{n}", Fraction(n, d) == n)]
+    long = "1234567890" * 4
+    rows += [(long, long + ".0", True), ("00" + long, long, True), ("0.12345678901234567890", "0.123456789012345678900", True),
+             ("-" + long, long, False), (long + ".5", long, False), ("-0.0", "0", True), (".50", "0.5", True), ("", "", False)]
     rows += [(b, a, want) for a, b, want in rows]  # symmetric
     df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(rows)], "i int, a string, b string")
     got = {r.i: r.e for r in df.select("i", A.answers_equal(F.col("a"), F.col("b")).alias("e")).collect()}

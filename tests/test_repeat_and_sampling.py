@@ -2,7 +2,6 @@
 force over collected rows (test-only plain Python)."""
 
 import itertools
-import re
 
 from pyspark.sql import functions as F
 
@@ -10,20 +9,9 @@ from tracekit.operators import repeat as R
 from tracekit.operators import sampling as S
 from tracekit.sources import fixtures as X
 
+from . import plain
 from .conftest import SF_SMALL
 
-SPLIT = re.compile(r"(?<=[.!?])\s+|\n+")
-
-
-def _sentences(text, min_len):
-    return [p.strip() for p in SPLIT.split(text or "") if len(p.strip()) >= min_len]
-
-
-def _max_run(text, min_len):
-    runs = [len(list(g)) for _, g in itertools.groupby(sorted(_sentences(text, min_len)))]
-    return max(runs, default=0)
-
-
 def _traces(spark):
     return X.traces(spark, SF_SMALL).select("index", "model_response", "is_correct", "truncated")
 
@@ -37,7 +25,7 @@ def test_is_repeating_matches_brute_force(spark):
     flagged_any = 0
     for idx, text in rows.items():
         for i, (th, ml) in enumerate(settings):
-            want = _max_run(text, ml) >= th if th > 1 else len(_sentences(text, ml)) > 0
+            want = plain.most_repeats(text, ml) >= th
             assert got[idx][f"f{i}"] == want, (idx, th, ml)
             flagged_any += want
     assert flagged_any > 0
@@ -55,7 +43,7 @@ def test_repeated_sentences_matches_brute_force(spark):
     t = _traces(spark)
     want = set()
     for r in t.collect():
-        for s, g in itertools.groupby(sorted(_sentences(r.model_response, 20))):
+        for s, g in itertools.groupby(sorted(plain.sentences(r.model_response, 20))):
             n = len(list(g))
             if n >= 2:
                 want.add((r["index"], s, n))
@@ -86,21 +74,26 @@ def test_first_n_report_matches_loop(spark):
 
 def test_seeded_sample_independent_of_partitioning(spark):
     t = _traces(spark)
-    a = [r["index"] for r in S.seeded_sample(t.repartition(1), 50, 7, "index").collect()]
-    b = [r["index"] for r in S.seeded_sample(t.repartition(13), 50, 7, "index").collect()]
-    c = [r["index"] for r in S.seeded_sample(t, 50, 8, "index").collect()]
+    a = sorted(r["index"] for r in S.seeded_sample(t.repartition(1), 50, 7, "index").collect())
+    b = sorted(r["index"] for r in S.seeded_sample(t.repartition(13), 50, 7, "index").collect())
+    c = sorted(r["index"] for r in S.seeded_sample(t, 50, 8, "index").collect())
     assert a == b and len(a) == 50 and a != c
 
 
-def test_large_cap_path_matches_topk(spark, monkeypatch):
-    t = _traces(spark)
-    keep = ~R.is_repeating(F.col("model_response"), 3, 20)
-    small = {n: (S.first_n_report(t, keep, "index", n).first(),
-                 sorted(r["index"] for r in S.first_n_kept(t, keep, "index", n).collect()),
-                 sorted(r["index"] for r in S.seeded_sample(t, n, 3, "index").collect()))
-             for n in [1, 5, 77, 100000]}
-    monkeypatch.setattr(S, "TOPK_MAX", 0)
-    for n, (rep, rows, sample) in small.items():
-        assert S.first_n_report(t, keep, "index", n).first() == rep
-        assert sorted(r["index"] for r in S.first_n_kept(t, keep, "index", n).collect()) == rows
-        assert sorted(r["index"] for r in S.seeded_sample(t, n, 3, "index").collect()) == sample
+def test_repeated_and_null_keys(spark):
+    rows = [(i % 7 if i % 5 else None, f"t{i % 11}", i % 3 != 0) for i in range(200)] + [(3, "same", True)] * 40
+    df = spark.createDataFrame(rows, "index long, t string, ok boolean").repartition(7)
+    keep = F.col("ok")
+    kept_keys = sorted((k is None, k or 0) for k, _, ok in rows if ok)
+    for n in (0, 1, 13, 60, 100, len(kept_keys), 1000):
+        kept, report = S.first_n(df, keep, "index", n)
+        got, rep = kept.collect(), report.first()
+        assert len(got) == rep.saved == min(n, len(kept_keys))
+        assert sorted((r["index"] is None, r["index"] or 0) for r in got) == kept_keys[:n]
+        assert rep.processed == rep.saved + rep.filtered and rep.processed <= len(rows)
+        assert all(r.ok for r in got)
+        sample = S.seeded_sample(df, n, 5, "index").collect()
+        assert len(sample) == min(n, len(rows))
+    assert S.seeded_sample(df, None, 5, "index").count() == len(rows)
+    nulls = spark.createDataFrame([(None, "a", True)] * 20, df.schema)
+    assert S.first_n_kept(nulls, keep, "index", 3).count() == 3

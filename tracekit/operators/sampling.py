@@ -1,24 +1,21 @@
 """Seeded sampling and capped filtering.
 
-A cap ``n`` up to ``TOPK_MAX`` is a top-k: each task keeps its best ``n``
-rows and one task merges them. Past that, the n-th key is found without
-ever holding ``n`` rows together: the keys are range-partitioned, each
-partition reports (count, min, max) — one small row per partition — and the
-partition that holds the n-th key is searched for it; the cap then becomes
-an ordinary ``key <= cutoff`` filter.
+A cap ``n`` is found on keys alone. Every row has a key in a total order (the
+order column with nulls last, then hashes of the whole row), and the narrow
+keys are written once and ranked over a range-partitioned sort; the n-th key
+is the cutoff, and full rows pass an ordinary ``key <= cutoff`` filter where
+they are read. Only rows that are equal in every column tie, so of the rows
+at the cutoff any will do. One path serves every size; no text is shuffled
+and no task gathers rows in proportion to ``n``.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_root, filter_here
-
-#: largest cap served as a per-task top-k
-TOPK_MAX = 100_000
+from ..ranking import ranked, written
+from ..session import filter_here
 
 
 def correct_untruncated(df: DataFrame) -> DataFrame:
@@ -26,106 +23,86 @@ def correct_untruncated(df: DataFrame) -> DataFrame:
     return df.where(F.col("is_correct") & ~F.col("truncated"))
 
 
-def seed_order(seed: int, key: str) -> list[Column]:
-    """A pseudo-random but seed-fixed total order: md5(seed:key), then key.
-    It depends only on the row, never on partitioning."""
-    return [F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.col(key)]
-
-
-def _lex_le(cols: list[Column], values: tuple) -> Column:
-    """(cols) <= (values) in lexicographic order, as a plain predicate."""
-    cond = None
-    for c, v in reversed(list(zip(cols, values))):
-        cond = (c <= F.lit(v)) if cond is None else (c < F.lit(v)) | ((c == F.lit(v)) & cond)
-    return cond
-
-
-def nth_order_values(df: DataFrame, order: list[Column], n: int, parts: int | None = None) -> tuple | None:
-    """Values of ``order`` at the n-th smallest row (None if fewer rows),
-    found with one range-partitioned counting pass and one bounded top-k
-    inside the partition that holds it."""
-    names = [f"_o{i}" for i in range(len(order))]
-    keyed = df.select(*[c.alias(nm) for c, nm in zip(order, names)])
-    spark = df.sparkSession
-    parts = parts or max(spark.sparkContext.defaultParallelism,
-                         int(spark.conf.get("spark.sql.shuffle.partitions")))
-    summary = (keyed.repartitionByRange(parts, *names)
-               .groupBy(F.spark_partition_id().alias("p"))
-               .agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*names)).alias("lo"),
-                    F.max(F.struct(*names)).alias("hi"))
-               .orderBy("lo").collect())  # one row per partition
-    seen = 0
-    for row in summary:
-        if seen + row.c >= n:
-            lo, hi, rank = tuple(row.lo), tuple(row.hi), n - seen
-            cols = [F.col(nm) for nm in names]
-            inside = keyed.where(~_lex_le(cols, lo) | reduce(lambda a, b: a & b,
-                                                             [c == F.lit(v) for c, v in zip(cols, lo)]))
-            inside = inside.where(_lex_le(cols, hi))
-            top = inside.orderBy(*names).limit(rank).agg(F.max(F.struct(*names)).alias("m")).first()
-            return tuple(top.m)
-        seen += row.c
-    return None
+def seed_order(seed: int, key: str) -> Column:
+    """A pseudo-random but seed-fixed order: md5(seed:key). It depends only
+    on the row, never on partitioning."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
-def seeded_sample(df: DataFrame, n: int | None, seed: int, key: str) -> DataFrame:
-    """``n`` rows chosen by the seed (all rows, in seed order, for n None/0).
+def _total_order(df: DataFrame, order: list[Column]) -> Column:
+    """One struct that orders all rows: ``order`` with nulls last, then two
+    hashes of the row, so that only equal rows tie."""
+    parts = []
+    for i, c in enumerate(order):
+        parts += [c.isNull().alias(f"n{i}"), c.alias(f"o{i}")]
+    row = [F.col(f"`{c}`") for c in df.columns]
+    return F.struct(*parts, F.xxhash64(*row).alias("h1"), F.xxhash64(F.lit(1), *row).alias("h2"))
 
-    Up to ``TOPK_MAX`` this plans as TakeOrderedAndProject; larger samples
-    keep the rows at or below the n-th seed-order key.
-    """
-    order = seed_order(seed, key)
-    if not n:
-        return df.orderBy(*order)
-    if n <= TOPK_MAX:
-        return df.orderBy(*order).limit(n)
-    cut = nth_order_values(df, order, n)
-    return df if cut is None else df.where(_lex_le(order, cut))
-
-
-def _nth_kept_order(kept: DataFrame, order_col: str, n: int) -> Column:
-    """``order_col`` of the n-th kept row, or null when fewer than n rows
-    are kept: a scalar subquery over a top-k, or a literal found by
-    ``nth_order_values`` for large n."""
-    if n > TOPK_MAX:
-        cut = nth_order_values(kept, [F.col(order_col)], n)
-        return F.lit(None) if cut is None else F.lit(cut[0])
-    top = kept.select(order_col).orderBy(order_col).limit(n)
-    return top.agg(F.when(F.count(F.lit(1)) >= n, F.max(order_col))).scalar()
 
+def _nth(keys: DataFrame, n: int) -> tuple[Column, int] | None:
+    """The n-th smallest ``key`` as a literal and how many of its equals are
+    among the first n; None if there are fewer rows. ``keys`` is a written
+    table."""
+    if keys.count() < n:
+        return None
+    # the written row breaks ties, so that a frequent key is sorted by many tasks
+    row = F.monotonically_increasing_id()
+    last = ranked(keys.select("key").withColumn("row", row), ["key", "row"]).where(F.col("rank") == n - 1).first()
+    kinds = keys.schema["key"].dataType
+    cut = F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(last["key"], kinds)])
+    return cut, n - keys.where(F.col("key") < cut).count()
 
-def first_n_kept(df: DataFrame, keep: Column, order_col: str, n: int | None) -> DataFrame:
-    """The first ``n`` kept rows in ``order_col`` order (all kept rows for None)."""
-    kept = filter_here(df, keep)
+
+def _up_to(df: DataFrame, key: Column, cut: Column, ties: int) -> DataFrame:
+    """Rows before the cutoff, and ``ties`` of the equal rows at it."""
+    marked = df.withColumn("__key", key)
+    before = marked.where(F.col("__key") < cut).drop("__key")
+    return before.unionByName(marked.where(F.col("__key") == cut).limit(ties).drop("__key"))
+
+
+def seeded_sample(df: DataFrame, n: int | None, seed: int, key: str) -> DataFrame:
+    """``n`` rows chosen by the seed, as a set without order; all rows for
+    None or an ``n`` past the row count, none for 0."""
     if n is None:
-        return kept
-    if n <= TOPK_MAX:
-        return kept.orderBy(order_col).limit(n)
-    cut = nth_order_values(kept, [F.col(order_col)], n)
-    return kept if cut is None else kept.where(F.col(order_col) <= F.lit(cut[0]))
-
-
-def first_n_report(df: DataFrame, keep: Column, order_col: str, n: int | None,
-                   materialize: bool = True) -> DataFrame:
-    """processed / filtered / saved of a filter pass that stops after the
-    n-th saved row: rows after it are neither read nor counted.
-
-    The keep decision is needed twice (to find the n-th kept row, then to
-    count up to it). With ``materialize`` the narrow (order, dropped)
-    projection is computed once and checkpointed to the shared checkpoint
-    folder, so the expensive condition runs once and a lost executor
-    recovers from that file instead of re-running it.
+        return df
+    if n == 0:
+        return df.limit(0)
+    order = _total_order(df, [seed_order(seed, key), F.col(key)])
+    found = _nth(written(df.select(order.alias("key")), "sample-keys"), n)
+    return df if found is None else _up_to(df, order, *found)
+
+
+def first_n(df: DataFrame, keep: Column, order_col: str, n: int | None,
+            filtered: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The first ``n`` kept rows in ``order_col`` order (nulls last, all kept
+    rows for None) and the processed / filtered / saved report of a pass that
+    stops after the n-th saved row, from one decision per row.
+
+    ``filtered`` tells which of the rows that aren't kept count as filtered
+    (all of them by default); others are only processed.
     """
-    flagged = df.select(F.col(order_col), (~keep).alias("_dropped"))
-    if materialize and n:
-        checkpoint_root(df.sparkSession)
-        flagged = flagged.checkpoint()
+    out = ~F.coalesce(keep, F.lit(False)) if filtered is None else F.coalesce(filtered, F.lit(False))
+    counts = [F.count(F.lit(1)).alias("processed"), F.count_if("out").alias("filtered"), F.count_if("kept").alias("saved")]
     if n == 0:
-        flagged = flagged.limit(0)
-    elif n is not None:
-        cutoff = _nth_kept_order(filter_here(flagged, ~F.col("_dropped")), order_col, n)
-        # one reference to the scalar subquery, so it runs once
-        flagged = flagged.where(F.coalesce(F.col(order_col) <= cutoff, F.lit(True)))
-    return flagged.agg(F.count(F.lit(1)).alias("processed"),
-                       F.count_if("_dropped").alias("filtered"),
-                       F.count_if(~F.col("_dropped")).alias("saved"))
+        return df.limit(0), df.select(out.alias("out"), keep.alias("kept")).limit(0).agg(*counts)
+    rows = written(df.select(_total_order(df, [F.col(order_col)]).alias("key"),
+                             F.coalesce(keep, F.lit(False)).alias("kept"), out.alias("out")), "keep-decisions")
+    found = None if n is None else _nth(rows.where("kept"), n)
+    if found is None:
+        return filter_here(df, keep), rows.agg(*counts)
+    cut, ties = found
+    kept = _up_to(df, _total_order(df, [F.col(order_col)]), cut, ties)
+    before = rows.where(F.col("key") < cut)
+    report = before.agg(*counts).select(*[(F.col(c) + extra).cast("bigint").alias(c)
+                                          for c, extra in (("processed", ties), ("filtered", 0), ("saved", ties))])
+    return filter_here(kept, keep), report
+
+
+def first_n_kept(df: DataFrame, keep: Column, order_col: str, n: int | None) -> DataFrame:
+    """The rows of ``first_n``."""
+    return filter_here(df, keep) if n is None else first_n(df, keep, order_col, n)[0]
+
+
+def first_n_report(df: DataFrame, keep: Column, order_col: str, n: int | None) -> DataFrame:
+    """The report of ``first_n``."""
+    return first_n(df, keep, order_col, n)[1]
