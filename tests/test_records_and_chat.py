@@ -54,3 +54,15 @@ def test_assistant_segment_and_rendering(spark):
     prompt = _rows(spark, ["Q"], C.start_prompt)[0].c0
     assert prompt.startswith("<|im_start|>system\nReason step by step") and prompt.endswith(
         "<|im_start|>user\nQ<|im_end|>\n<|im_start|>assistant\n<|im_start|>think\n")
+
+
+def test_path_values_of_lists_and_nulls(spark):
+    from tracekit.functions.records import as_correct_json, path_value
+    texts = ['{"a": []}', '{"a": [null]}', '{"a": null}', "{}", '{"a": ["x", "y"]}', '{"a": "[1]"}', '{"a": {"b": 1}}', '{"a": [[1, 2]]}']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.v for r in df.orderBy("i").select(path_value(F.col("t"), "a").alias("v")).collect()]
+    assert got == ["", "", "", "", "x", "[1]", '{"b":1}', "[1,2]"]
+    lines = ['{"m": null, "e": 1}', '{"m": null, "e": 0}', '{"m": 0, "e": 1}', '{"m": [null], "e": 1}', '{"m": null}', '{"m": null, "e": "Yes"}', "x"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, t string")
+    got = [r.v for r in df.orderBy("i").select(as_correct_json(F.col("t"), ["m", "e"]).alias("v")).collect()]
+    assert got == [True, False, False, False, False, True, False]

@@ -27,13 +27,19 @@ def json_path(path: str) -> str:
 def path_value(json_text: Column, path: str) -> Column:
     """Value at a dotted path of a JSON text column as a string.
 
-    A list result yields its first element; a missing path or null yields "".
+    A list result yields its first element; a missing path, a null, an empty
+    list and a list that starts with null yield "".
     """
     if not path:
         return F.lit("")
     jp = json_path(path)
-    return F.coalesce(F.get_json_object(json_text, jp + "[0]"),
-                      F.get_json_object(json_text, jp), F.lit(""))
+    parsed = F.try_parse_json(json_text)
+    kind = F.schema_of_variant(F.try_variant_get(parsed, jp, "variant"))
+    null_first = F.is_variant_null(F.try_variant_get(parsed, jp + "[0]", "variant"))
+    value = (F.when(kind.startswith("ARRAY") & F.coalesce(null_first, F.lit(False)), F.lit(""))
+             .when(kind.startswith("ARRAY"), F.get_json_object(json_text, jp + "[0]"))
+             .otherwise(F.get_json_object(json_text, jp)))
+    return F.coalesce(value, F.lit(""))
 
 
 def first_response(col: Column, dtype: T.DataType | None = None) -> Column:
@@ -72,10 +78,13 @@ def _correct_of(col: Column, dtype: T.DataType) -> Column:
 
 def as_correct_json(json_text: Column, fields: list[str]) -> Column:
     """Correctness read from raw JSON, trying ``fields`` in order (the first
-    non-null value wins). Uses VARIANT to tell booleans, numbers, strings and
-    lists apart."""
+    value that is neither missing nor a JSON null wins). Uses VARIANT to tell
+    booleans, numbers, strings and lists apart."""
+    if not fields:
+        return F.lit(False)
     v = F.try_parse_json(json_text)
-    value = F.coalesce(*[F.variant_get(v, f"$.{f}", "variant") for f in fields]) if fields else F.lit(None)
+    found = [F.variant_get(v, f"$.{f}", "variant") for f in fields]
+    value = F.coalesce(*[F.when(~F.is_variant_null(x), x) for x in found])
     first = F.when(F.schema_of_variant(value).startswith("ARRAY"),
                    F.variant_get(value, "$[0]", "variant")).otherwise(value)
     kind = F.schema_of_variant(first)
