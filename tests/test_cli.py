@@ -96,3 +96,26 @@ def test_stream_filter(spark, tmp_path):
     want = R.drop_repeating(traces.where("is_correct and not truncated"), "model_response", 2, 100).count()
     got = spark.read.json(sink).count()
     assert got == want > 0
+
+
+def test_filter_keeps_every_valid_record(spark, tmp_path, capsys):
+    lines = ['{"index": "q-2", "model_response": "a"}', '{"index": 3, "is_correct": 1, "model_response": "b"}', '{"index": 4, "steps": 1.0}',
+             '{"index": 5, "model_response": null}', "\t", "", "{broken", "[1]", '{"index": 5, "model_response": "%s"}' % ("Same again and again. " * 3)]
+    (tmp_path / "in.jsonl").write_text("\n".join(lines) + "\n")
+    for cap, saved in ((None, 4), (3, 3), (0, 0)):
+        out = str(tmp_path / f"out{cap}")
+        cli.main(["filter", str(tmp_path / "in.jsonl"), out, "--min_len", "10", *([] if cap is None else ["--max_samples", str(cap)])])
+        report = json.loads([x for x in capsys.readouterr().out.splitlines() if x.startswith("{")][0])
+        got = [r.value for r in spark.read.text(out).collect()]
+        assert len(got) == report["saved"] == saved and set(got) <= set(lines[:4])
+        assert report["processed"] == report["saved"] + report["filtered"] + report["malformed"]
+    assert cli.main(["filter", str(tmp_path / "in.jsonl"), out, "--min_len", "10"]) == 0
+    report = json.loads([x for x in capsys.readouterr().out.splitlines() if x.startswith("{")][0])
+    assert report == {"processed": 7, "filtered": 1, "saved": 4, "malformed": 2}
+
+
+def test_stats_reads_past_json_nulls(tmp_path, capsys):
+    (tmp_path / "s.jsonl").write_text("".join('{"problem": "p", "model_response": "r", "math_verify": null, "exact_match": 1}\n' for _ in range(4)))
+    cli.main(["stats", str(tmp_path / "s.jsonl")])
+    out = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+    assert any(x.get("accuracy") == 1.0 and x.get("n_correct") == 4 for x in out)

@@ -23,11 +23,12 @@ from pyspark.sql import functions as F
 
 from .functions import chat as C
 from .functions.records import as_correct_json, budget_from_path, first_response, path_value
-from .functions.text import token_len
+from .functions.text import py_strip, token_len
 from .operators import repeat as R
 from .operators import sampling as S
 from .operators import stats as ST
 from .plans import pipelines as P
+from .ranking import written
 from .session import get_spark
 from .sources import jsonl as J
 
@@ -39,16 +40,17 @@ def _show(title: str, df: DataFrame) -> None:
 
 
 def cmd_filter(spark, a) -> None:
+    """Kept records are written back as they were read, every field included.
+    Lines that are no record count as processed, not as filtered; records
+    are taken in the order of their index, those without one last."""
     out = a.output or J.derived_name(a.input, "filtered")
-    records = J.read_traces(spark, a.input, keep_line=True)
-    parsed = records.where(~F.col("_blank") & F.col(J.CORRUPT).isNull())
-    keep = ~R.is_repeating(F.coalesce(F.col("model_response"), F.lit("")), a.threshold, a.min_len)
-    kept = S.first_n_kept(parsed, keep, "index", a.max_samples)
-    # the kept records are written back as they were read, every field included
+    lines = J.read_traces(spark, a.input, keep_line=True).where(~F.col("_blank"))
+    lines = lines.select("index", "value", "_file", "model_response", J.CORRUPT)
+    valid = F.col(J.CORRUPT).isNull()
+    repeats = valid & R.is_repeating(F.coalesce(F.col("model_response"), F.lit("")), a.threshold, a.min_len)
+    kept, report = S.first_n(lines, valid & ~repeats, "index", a.max_samples, filtered=repeats)
     kept.select("value").write.mode("overwrite").text(out)
-    _show("filter report", S.first_n_report(parsed, keep, "index", a.max_samples))
-    _show("malformed lines", records.agg(F.count_if(F.col(J.CORRUPT).isNotNull() & ~F.col("_blank"))
-                                         .alias("malformed")))
+    _show("filter report", report.select("*", (F.col("processed") - F.col("filtered") - F.col("saved")).alias("malformed")))
     print(f"written to {out}")
 
 
@@ -77,7 +79,7 @@ def _harness_fields(lines: DataFrame, prompt_path: str, response_path: str) -> D
 def _json_lines(spark, path: str) -> DataFrame:
     """Non-blank lines that parse as JSON; others are skipped, as the line
     loop skips lines it cannot process."""
-    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    lines = spark.read.text(path).where(py_strip(F.col("value")) != "")
     return lines.where(F.try_parse_json("value").isNotNull())
 
 
@@ -89,6 +91,8 @@ def cmd_stats(spark, a) -> None:
                        response_col="response", correct=F.col("correct"), system=a.system_prompt or None,
                        threshold=a.repetition_threshold, min_len=a.min_sentence_len, with_prompt=False,
                        tokenizer_file=a.tokenizer_file)
+    # the text work runs once; the reports read its narrow rows
+    per = written(per.select("len", "correct", "is_repeating"), "stats-rows")
     _show("lengths", ST.length_stats(per))
     _show("accuracy", ST.accuracy(per))
     _show("repetition", ST.repetition_rate(per))
@@ -109,7 +113,11 @@ def cmd_thinking(spark, a) -> None:
                             tokenizer_file=a.tokenizer_file, step_limit=F.col("step_limit"))
     rows = rows.withColumn("over_budget", F.when(F.col("step_limit").isNull(), F.coalesce(
         F.col("thinking_tokens") > F.col("token_limit"), F.lit(False))).otherwise(F.col("over_budget")))
+    rows = written(rows.drop("resp", "prompt"), "thinking-rows")
     _show("thinking", ST.thinking_stats(rows))
+    if a.lengths:
+        ST.by_thinking_length(rows.withColumn("doc_id", F.monotonically_increasing_id())).write.mode("overwrite").json(a.lengths)
+        print(f"lengths written to {a.lengths}")
 
 
 def _run_spec(spec: str) -> tuple[str, str]:
@@ -192,6 +200,7 @@ def build_parser() -> argparse.ArgumentParser:
     t = sub.add_parser("thinking")
     t.add_argument("input")
     t.add_argument("--tokenizer_file", default=None)
+    t.add_argument("--lengths", default=None, help="write (thinking length, correctness) sorted by length here")
 
     c = sub.add_parser("compare")
     c.add_argument("runs", nargs="+", help="name=path or path (run named by its last folder)")

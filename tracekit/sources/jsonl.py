@@ -1,9 +1,10 @@
 """JSON-lines readers and writers.
 
-Lines are scanned as text and parsed with ``from_json`` rather than with
+Lines are scanned as text and parsed to VARIANT rather than with
 ``spark.read.json``: the text scan keeps blank and malformed lines visible,
-so they can be counted as the original line loop counts them, while the
-parse itself stays in the JVM and splits with the files.
+so they can be counted as the original line loop counts them, and any JSON
+object is a record whatever its fields' types, while the parse itself stays
+in the JVM and splits with the files.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import py_strip
+
 TRACE_SCHEMA = T.StructType([
     T.StructField("index", T.LongType()),
     T.StructField("problem", T.StringType()),
@@ -26,21 +29,23 @@ CORRUPT = "_corrupt_record"
 
 def parse_lines(lines: DataFrame, schema: T.StructType | str, line_col: str = "value",
                 keep_line_col: bool = False) -> DataFrame:
-    """Parse a text column of JSON objects with ``schema``.
+    """Parse a text column of JSON objects, reading the fields of ``schema``.
 
-    Adds ``_corrupt_record`` (the raw line when it is not valid JSON for the
-    schema) and ``_blank`` (line is empty or whitespace). Missing fields are
-    null.
+    Adds ``_corrupt_record`` (the raw line when it is no JSON object) and
+    ``_blank`` (line is empty or whitespace). Each line is parsed once; a
+    field that is missing or of another type than the schema's is null, and
+    the record stays a valid one.
     """
     if isinstance(schema, str):
         schema = T.DataType.fromDDL(schema)
-    with_corrupt = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType())])
-    parsed = F.from_json(F.col(line_col), with_corrupt,
-                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    blank = F.length(F.trim(F.col(line_col))) == 0
-    cols = [F.col("_p." + f.name).alias(f.name) for f in with_corrupt.fields]
+    line, parsed = F.col(line_col), F.col("_p")
+    is_object = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
+    cols = [F.try_variant_get(parsed, f"$['{f.name}']", f.dataType.simpleString()).alias(f.name) for f in schema.fields]
     others = [c for c in lines.columns if keep_line_col or c != line_col]
-    return lines.select("*", parsed.alias("_p"), blank.alias("_blank")).select(*others, *cols, "_blank")
+    # the parse is bound by a generator, so that no field parses the line again
+    bound = lines.select("*", (py_strip(F.coalesce(line, F.lit(""))) == "").alias("_blank"),
+                         F.inline(F.array(F.struct(F.try_parse_json(line).alias("_p")))))
+    return bound.select(*others, *cols, F.when(~is_object, line).alias(CORRUPT), "_blank")
 
 
 def read_traces(spark: SparkSession, path: str, schema: T.StructType = TRACE_SCHEMA,
@@ -56,7 +61,7 @@ def read_traces(spark: SparkSession, path: str, schema: T.StructType = TRACE_SCH
 def read_samples(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Evaluation samples from JSONL: blank lines skipped, malformed lines
     dropped (S2)."""
-    lines = spark.read.text(path).where(F.length(F.trim(F.col("value"))) > 0)
+    lines = spark.read.text(path).where(py_strip(F.col("value")) != "")
     return parse_lines(lines, schema).where(F.col(CORRUPT).isNull()).drop(CORRUPT, "_blank")
 
 
