@@ -2,18 +2,19 @@
 
 from pyspark.sql import functions as F
 
-from tracekit.session import checkpoint_root, filter_here, spread
+from tracekit.session import SPREAD_KEY, checkpoint_root, filter_here, spread
 
 from .conftest import SF_SMALL
 
 
-def test_spread_only_small_scans(spark):
-    cores = spark.sparkContext.defaultParallelism
+def test_spread_is_off_unless_asked_for(spark):
     one = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
-    assert one.rdd.getNumPartitions() < cores
-    assert spread(one, "doc_id").rdd.getNumPartitions() == cores * 4
-    many = spark.range(1000).repartition(cores * 2)
-    assert spread(many) is many
+    assert spread(one, "doc_id") is one
+    spark.conf.set(SPREAD_KEY, "12")
+    try:
+        assert spread(one, "doc_id").rdd.getNumPartitions() == 12
+    finally:
+        spark.conf.unset(SPREAD_KEY)
 
 
 def test_filter_here_equals_where(spark):

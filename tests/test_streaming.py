@@ -35,6 +35,11 @@ def test_stream_curation_matches_batch(spark, tmp_path):
     got = [r["index"] for r in spark.read.schema(J.TRACE_SCHEMA).json(out).collect()]
     assert sorted(got) == sorted(want)
 
+    # another sink starts from the first file, also under the default checkpoint
+    for name in ("other", "third"):
+        C.start_curation(spark, str(src), str(tmp_path / name)).awaitTermination(120)
+        assert spark.read.text(str(tmp_path / name)).count() == len(want)
+
     rq = C.start_report(spark, str(src), checkpoint=str(ck / "r"), query_name="rep_test")
     rq.awaitTermination(120)
     rep = spark.table("rep_test").first()

@@ -503,12 +503,14 @@ _JSON_CASE = {
     4: ("'{\"math_verify\": null, \"exact_match\": ' || cast(exact_match as varchar) || '.0}'",
         lambda em: F.concat(F.lit('{"math_verify": null, "exact_match": '), em.cast("string"), F.lit(".0}"))),
     5: ("'{\"other\": 1}'", lambda em: F.lit('{"other": 1}')),
+    6: ("'{\"math_verify\": [null], \"exact_match\": ' || cast(exact_match as varchar) || '}'",
+        lambda em: F.concat(F.lit('{"math_verify": [null], "exact_match": '), em.cast("string"), F.lit("}"))),
 }
 
 
 def _json_results(spark, sf):
     s = X.samples(spark, sf)
-    k = s.doc_id % 6
+    k = F.floor(s.doc_id / 2) % len(_JSON_CASE)  # each shape meets both outcomes
     line = None
     for i, (_, build) in _JSON_CASE.items():
         line = F.when(k == i, build(F.col("exact_match"))) if line is None else line.when(
@@ -516,7 +518,7 @@ def _json_results(spark, sf):
     return s.select("doc_id", line.alias("line"))
 
 
-_JSON_SQL = ("case doc_id % 6 " + " ".join(f"when {i} then {sql}" for i, (sql, _) in _JSON_CASE.items())
+_JSON_SQL = (f"case (doc_id // 2) % {len(_JSON_CASE)} " + " ".join(f"when {i} then {sql}" for i, (sql, _) in _JSON_CASE.items())
              + " end")
 
 
@@ -671,15 +673,15 @@ def q_generated_records(spark, sf):
        from traces""", "traces", extra=(f"f as {_flagged_sql('traces', 'model_response', 2, 100)}",)))
 def q_stream_curation_report(spark, sf):
     """The running curation report, computed by a Structured Streaming query
-    over the trace records written as JSON-lines files."""
+    over the trace records of the documents table's files."""
     import uuid
 
     from ..session import scratch_path
-    from ..sources.jsonl import write_jsonl
     from ..streaming.curate import start_report
-    src = scratch_path(spark, "stream-src")
-    write_jsonl(X.traces(spark, sf), src)
+    path = X.table_path(sf, "documents")
+    # as a pattern, since a table may be one file or a folder of them
+    documents = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
     name = f"curation_report_{uuid.uuid4().hex[:8]}"
-    q = start_report(spark, src, 2, 100, checkpoint=scratch_path(spark, "stream-ck"), query_name=name)
+    q = start_report(spark, X.traces_of(documents), 2, 100, checkpoint=scratch_path(spark, "stream-ck"), query_name=name)
     q.awaitTermination()
     return spark.table(name)

@@ -8,6 +8,8 @@ this toolkit would set for text-heavy jobs, and reads cluster settings
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,14 +42,16 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) do we set one, under the
-    system temp folder.
+    A local session without one (as in tests) gets a folder under the system
+    temp folder, which its driver and executor threads share; on a cluster
+    that folder would be another one on every machine, so it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
-        import tempfile
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = os.path.join(tempfile.gettempdir(), "tracekit-checkpoints")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
@@ -74,19 +78,17 @@ def filter_here(df: DataFrame, cond: Column) -> DataFrame:
     return flagged.where(F.col(flag)).drop(flag)
 
 
-def spread(df: DataFrame, key: str | None = None, factor: int = 4) -> DataFrame:
-    """Give a freshly scanned table enough partitions for CPU-heavy row work.
+SPREAD_KEY = "spark.tracekit.spread"
 
-    Only a scan with fewer partitions than the cluster has cores is touched
-    (a small table stored as one row group arrives as a single task, which
-    would run every regex alone); it is hash partitioned on ``key`` into
-    ``factor`` x cores partitions (deterministic, so a lost task recomputes
-    the same rows). Any table that already fills the cores is left alone, so
-    large inputs are never reshuffled. Call this on a plain scan only:
-    asking an adaptive plan for its partition count would run it.
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` hash-partitioned on ``key``, if the session asks for it by
+    setting ``spark.tracekit.spread`` to a number of partitions.
+
+    For a small table stored as one row group, which arrives as one task and
+    would run every regex alone; off by default, as the texts are shuffled.
+    Hash partitioning is deterministic, so a lost task recomputes the same
+    rows.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    target = cores * factor
-    return df.repartition(target, key) if key else df.repartition(target)
+    n = int(df.sparkSession.conf.get(SPREAD_KEY, "0"))
+    return df.repartition(n, key) if n > 0 else df

@@ -23,8 +23,12 @@ _TEXT_KEYS = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_
               "benchmark": "item_id"}
 
 
+def table_path(sf_dir: str, name: str) -> str:
+    return os.path.join(sf_dir, f"{name}.parquet")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    df = spark.read.parquet(table_path(sf_dir, name))
     if name in _TEXT_KEYS:
         df = spread(df, _TEXT_KEYS[name])
     return df
@@ -33,8 +37,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated-trace records (index, problem, ground_truth, model_response,
     is_correct, truncated, steps), one per document."""
-    d = table(spark, sf_dir, "documents")
-    head = F.substring(d.text, 1, 400)
+    return traces_of(table(spark, sf_dir, "documents"))
+
+
+def traces_of(d: DataFrame) -> DataFrame:
+    """``traces`` of a (static or streaming) documents table: every tenth
+    text says its first paragraph twice more."""
+    head = F.substring_index(d.text, "\n", 1)
     body = F.when(d.doc_id % 10 == 3, F.concat(d.text, F.lit(" "), head, F.lit(". "), head, F.lit(". "))
                   ).otherwise(d.text)
     boxed = (d.doc_id % 97 + F.when(d.doc_id % 3 == 0, 1).otherwise(0)).cast("string")
@@ -130,7 +139,7 @@ VIEW_SQL = {
 select d.doc_id as index, concat('Q', cast(d.doc_id as string)) as problem,
   cast(d.doc_id % 97 as string) as ground_truth,
   concat(case when d.doc_id % 10 = 3
-              then concat(d.text, ' ', substr(d.text,1,400), '. ', substr(d.text,1,400), '. ')
+              then concat(d.text, ' ', split_part(d.text, chr(10), 1), '. ', split_part(d.text, chr(10), 1), '. ')
               else d.text end,
          ' Final: $', chr(92), 'boxed{',
          cast(d.doc_id % 97 + case when d.doc_id % 3 = 0 then 1 else 0 end as string), '}$') as model_response,

@@ -11,6 +11,7 @@ where it stopped. Checkpoints go under the cluster's shared
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,8 +45,10 @@ def flag_stream(records: DataFrame, threshold: int = 2, min_len: int = 100) -> D
                                & ~F.coalesce(F.col("truncated"), F.lit(False)) & ~rep))
 
 
-def _checkpoint(spark: SparkSession, name: str, location: str | None) -> str:
-    return location or os.path.join(checkpoint_root(spark), "streams", name)
+def _checkpoint(spark: SparkSession, name: str, location: str | None, *settings) -> str:
+    """A checkpoint of its own for each source, sink and setting."""
+    own = hashlib.md5(repr(settings).encode()).hexdigest()[:16]
+    return location or os.path.join(checkpoint_root(spark), "streams", f"{name}-{own}")
 
 
 def start_curation(spark: SparkSession, source_dir: str, sink_dir: str, threshold: int = 2,
@@ -59,7 +62,7 @@ def start_curation(spark: SparkSession, source_dir: str, sink_dir: str, threshol
     kept = flagged.where("kept").select("value")
     writer = (kept.writeStream.format("text").outputMode("append")
               .option("path", sink_dir)
-              .option("checkpointLocation", _checkpoint(spark, name, checkpoint)))
+              .option("checkpointLocation", _checkpoint(spark, name, checkpoint, source_dir, sink_dir, threshold, min_len)))
     writer = writer.trigger(availableNow=True) if available_now else writer
     return writer.start()
 
@@ -73,12 +76,18 @@ def report_stream(flagged: DataFrame) -> DataFrame:
                        F.count_if(F.col(CORRUPT).isNotNull()).alias("corrupt"))
 
 
-def start_report(spark: SparkSession, source_dir: str, threshold: int = 2, min_len: int = 100,
+def start_report(spark: SparkSession, source: str | DataFrame, threshold: int = 2, min_len: int = 100,
                  checkpoint: str | None = None, query_name: str = "curation_report",
                  available_now: bool = True) -> StreamingQuery:
-    """Maintain the running report in an in-memory table ``query_name``."""
-    rep = report_stream(flag_stream(trace_stream(spark, source_dir), threshold, min_len))
+    """Maintain the running report in an in-memory table ``query_name``.
+    ``source`` is a folder of JSONL files, or a stream of trace records,
+    which then needs a ``checkpoint``."""
+    if isinstance(source, str):
+        records = trace_stream(spark, source, schema=TRACE_SCHEMA)
+    else:
+        records = source.withColumn(CORRUPT, F.lit(None).cast("string"))
+    rep = report_stream(flag_stream(records, threshold, min_len))
     writer = (rep.writeStream.format("memory").queryName(query_name).outputMode("complete")
-              .option("checkpointLocation", _checkpoint(spark, query_name, checkpoint)))
+              .option("checkpointLocation", _checkpoint(spark, query_name, checkpoint, source, threshold, min_len)))
     writer = writer.trigger(availableNow=True) if available_now else writer
     return writer.start()
