@@ -1,5 +1,6 @@
 """Golden cases for answer extraction and path parsing (hand-checkable)."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracekit.functions import answers as A
@@ -111,3 +112,25 @@ def test_score_validates_gold_keys(spark):
     assert got == {1: ("2", 1), 2: ("0.5", 1)}
     with pytest.raises(ValueError, match="not unique"):
         score(out, gold.unionByName(gold), "k", validate=True)
+
+
+def test_unmatched_outputs_stay_and_no_text_is_shuffled(spark):
+    from tracekit.operators.scoring import score
+    outputs = spark.createDataFrame([(1, "so $\\boxed{4}$"), (2, "so $\\boxed{5}$"), (3, "none")], "k long, model_response string")
+    gold = spark.createDataFrame([(1, "4.0"), (9, "1")], "k long, answer string")
+    got = {r.k: (r.pred, r.gold, r.exact_match) for r in score(outputs, gold, "k").collect()}
+    assert got[1] == ("4", "4.0", 1) and got[2] == ("5", None, 0) and got[3][1:] == (None, 0)
+    twice = gold.union(spark.createDataFrame([(1, "7")], gold.schema))
+    with pytest.raises(ValueError):
+        score(outputs, twice, "k")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id k", "text model_response")
+        node = score(docs, gold, "k").select("k", "exact_match")._jdf.queryExecution().optimizedPlan()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    while node.nodeName() != "Join":
+        node = node.children().head()
+    left = node.children().head().output()
+    assert [left.apply(i).name() for i in range(left.size())] == ["k", "pred"]

@@ -207,19 +207,36 @@ def _rational(col: Column):
     return num, den
 
 
+def _canonical(col: Column) -> Column:
+    """An integer or decimal with its sign, without leading and trailing
+    zeros, so that equal values have equal strings of any length; null for
+    everything else."""
+    body = F.ltrim(F.regexp_replace(col, "^-", ""), F.lit("0"))
+    point = body.contains(".")
+    short = F.when(point, F.rtrim(F.rtrim(body, F.lit("0")), F.lit("."))).otherwise(body)
+    digits = F.when((short == "") | short.startswith("."), F.concat(F.lit("0"), short)).otherwise(short)
+    sign = F.when(col.startswith("-") & (digits != "0"), F.lit("-")).otherwise(F.lit(""))
+    return F.when(col.rlike(_INT) | col.rlike(_DEC), F.concat(sign, digits))
+
+
 def answers_equal(a: Column, b: Column) -> Column:
     """Equality of two normalized answers.
 
     True when the strings are identical (and not empty / invalid), or when
-    both read as exact rationals (integer, decimal, ``\\frac{int}{int}``)
-    with equal value. This is NOT symbolic equivalence: ``\\sqrt{4}`` and
-    ``2`` compare unequal here.
+    both read as rationals (integer, decimal, ``\\frac{int}{int}``) with
+    equal value. Integers and decimals of any length compare exactly;
+    fractions by cross products, which are null, for unknown, past 38 digits.
+    This is NOT symbolic equivalence: ``\\sqrt{4}`` and ``2`` compare unequal
+    here.
     """
     def equal(x: Column, y: Column) -> Column:
         same = (x == y) & (x != "") & (x != INVALID_ANSWER)
         nx, dx = _rational(x)
         ny, dy = _rational(y)
         cross = (F.try_multiply(nx, dy) == F.try_multiply(ny, dx)) & (dx != 0) & (dy != 0)
-        return F.coalesce(same, F.lit(False)) | F.coalesce(cross, F.lit(False))
+        fractions = (x.rlike(_FRAC) | y.rlike(_FRAC)) & (x.rlike(_FRAC) | _canonical(x).isNotNull()) & (y.rlike(_FRAC) | _canonical(y).isNotNull())
+        return (F.when(F.coalesce(same, F.lit(False)), F.lit(True))
+                .when(F.coalesce(fractions, F.lit(False)), cross)
+                .otherwise(F.coalesce(_canonical(x) == _canonical(y), F.lit(False))))
 
     return bind(a, lambda x: bind(b, lambda y: equal(x, y)))

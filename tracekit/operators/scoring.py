@@ -18,9 +18,13 @@ def score_columns(df: DataFrame, response_col: str, gold_col: str, normalize_gol
                   verifier_col: str | None = None) -> DataFrame:
     """Add ``pred``, ``gold``, ``exact_match`` (int) and ``is_correct`` to a
     frame that already carries the response and its gold answer."""
-    scored = (df.withColumn("pred", final_answer(F.col(response_col)))
-                .withColumn("gold", normalize_answer(F.col(gold_col)) if normalize_gold else F.col(gold_col))
-                .withColumn("exact_match", answers_equal(F.col("pred"), F.col("gold")).cast("int")))
+    return _matched(df.withColumn("pred", final_answer(F.col(response_col))), gold_col, normalize_gold, verifier_col)
+
+
+def _matched(df: DataFrame, gold_col: str, normalize_gold: bool, verifier_col: str | None) -> DataFrame:
+    gold = F.when(F.col(gold_col).isNotNull(), normalize_answer(F.col(gold_col))) if normalize_gold else F.col(gold_col)
+    equal = F.coalesce(answers_equal(F.col("pred"), F.col("gold")), F.lit(False))
+    scored = df.withColumn("gold", gold).withColumn("exact_match", equal.cast("int"))
     correct = F.col("exact_match") == 1
     if verifier_col:
         correct = correct | (F.coalesce(F.col(verifier_col), F.lit(0)) == 1)
@@ -37,20 +41,22 @@ def check_unique_key(df: DataFrame, key: str) -> None:
 
 def score(outputs: DataFrame, gold: DataFrame, key: str, response_col: str = "model_response",
           gold_col: str = "answer", normalize_gold: bool = True,
-          verifier_col: str | None = None, validate: bool = False) -> DataFrame:
+          verifier_col: str | None = None, validate: bool = True) -> DataFrame:
     """Join each output to the gold answer of the same sample and score it.
 
-    The positional lookup of the original loop becomes an inner equi-join on
-    ``key``. No broadcast hint: Spark broadcasts the gold side only when its
-    estimated size is under ``spark.sql.autoBroadcastJoinThreshold`` (and AQE
-    re-checks with runtime sizes); past that it shuffles both sides on the key.
-    Adds ``pred``, ``gold``, ``exact_match`` (int) and ``is_correct``; an
-    optional verifier column is OR-ed into ``is_correct``. ``validate``
-    first checks that each key has one gold answer (the lookup is
-    one-to-one).
+    The positional lookup of the original loop becomes a left equi-join on
+    ``key``; an output without a gold answer stays, with a null ``gold`` and
+    exact_match 0. Answers are read from the responses before the join, so a
+    shuffle carries a response only if the caller selects it. No broadcast
+    hint: Spark broadcasts the gold side only when its estimated size is under
+    ``spark.sql.autoBroadcastJoinThreshold`` (and AQE re-checks with runtime
+    sizes); past that it shuffles both sides on the key. Adds ``pred``,
+    ``gold``, ``exact_match`` (int) and ``is_correct``; an optional verifier
+    column is OR-ed into ``is_correct``. ``validate`` first checks that each
+    key has one gold answer (the lookup is one-to-one).
     """
     if validate:
         check_unique_key(gold, key)
     g = gold.select(F.col(key), F.col(gold_col).alias("_gold"))
-    joined = outputs.join(g, key, "inner")
-    return score_columns(joined, response_col, "_gold", normalize_gold, verifier_col).drop("_gold")
+    read = outputs.withColumn("pred", final_answer(F.col(response_col)))
+    return _matched(read.join(g, key, "left"), "_gold", normalize_gold, verifier_col).drop("_gold")

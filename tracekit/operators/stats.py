@@ -59,28 +59,24 @@ def repetition_rate(df: DataFrame, flag_col: str = "is_repeating") -> DataFrame:
     return df.agg(n.alias("n"), rep.alias("n_repeating"), ratio(rep, n).alias("share"))
 
 
-def length_bucket(len_col: Column) -> Column:
-    """Label of the [low, high) range a length falls in; the last is open."""
-    expr = None
-    for lo, hi in LENGTH_RANGES:
-        label = f"{lo}-{hi}" if hi < 1000000 else f"{lo}+"
-        cond = len_col >= lo if hi == LENGTH_RANGES[-1][1] else (len_col >= lo) & (len_col < hi)
-        expr = F.when(cond, label) if expr is None else expr.when(cond, label)
-    return expr
+# (low, label) of each range; the last one is open
+BUCKETS = [(low, f"{low}+" if i == len(LENGTH_RANGES) - 1 else f"{low}-{high}")
+           for i, (low, high) in enumerate(LENGTH_RANGES)]
+
+
+def length_bucket(length: Column) -> Column:
+    """struct(bucket, low) of the range a length falls in; null below 0."""
+    table = F.array(*[F.struct(F.lit(label).alias("bucket"), F.lit(low).cast("bigint").alias("low")) for low, label in BUCKETS])
+    reached = F.filter(table, lambda b: b["low"] <= length)
+    return F.try_element_at(reached, F.lit(-1))
 
 
 def length_buckets(df: DataFrame, len_col: str = "len", correct_col: str = "correct") -> DataFrame:
     """Per non-empty length range: rows, share of all rows, accuracy."""
-    def bucket(v: Column) -> Column:
-        low = None
-        for lo, _ in reversed(LENGTH_RANGES):
-            low = F.when(v >= lo, lo) if low is None else low.when(v >= lo, lo)
-        return F.struct(length_bucket(v).alias("bucket"), low.cast("bigint").alias("low"))
-
     # The length is read once per row, into one struct key. (No filter on it:
     # a filter on a derived column is pushed below its projection and would
     # compute the length twice.)
-    g = (df.groupBy(bind(F.col(len_col), bucket).alias("b"))
+    g = (df.groupBy(bind(F.col(len_col), length_bucket).alias("b"))
            .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(correct_col)).alias("n_correct")))
     # the grouped frame has at most seven rows, so a whole-frame window is free
     total = F.sum("n").over(Window.partitionBy())
