@@ -7,6 +7,7 @@
     python -m tracekit.cli compare base=RUN_DIR tuned=RUN_DIR [--baseline base]
     python -m tracekit.cli train-rows IN OUT [--max_train_samples N --shuffle_seed 42 ...]
     python -m tracekit.cli assemble STEPS QUESTIONS OUT [--mode budget --num_waits 5 ...]
+    python -m tracekit.cli next-round QUESTIONS OUT [--steps STEPS ...]
 
 Inputs may be files, directories or globs. Only one-row summaries and the
 bucket table (at most seven rows) are brought to the driver for printing.
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from .functions import chat as C
 from .functions.records import as_correct_json, budget_from_path, first_response, path_value
 from .functions.text import py_strip, token_len
+from .operators import budget as B
 from .operators import repeat as R
 from .operators import sampling as S
 from .operators import stats as ST
@@ -167,6 +169,22 @@ def cmd_assemble(spark, a) -> None:
         written.withColumn("tokens", token_len(F.col("model_response"), a.tokenizer_file))))
 
 
+def cmd_next_round(spark, a) -> None:
+    """Prompts of the next generation step: of all (sampled) questions when
+    there are no steps yet, else of the samples that haven't stopped."""
+    questions = J.read_dataset(spark, a.questions, fmt=a.format)
+    if a.steps is None:
+        rounds = B.first_round(questions, a.num_samples, a.seed)
+    else:
+        steps, q = J.read_dataset(spark, a.steps, fmt=a.format), P.question_set(questions)
+        lengths = q.select("sample_id", token_len(F.col("_prompt"), a.tokenizer_file).alias("prompt_tokens"))
+        rounds = B.next_round(B.assemble_budget(
+            steps, a.mode, a.num_waits, a.max_model_len, prompts=q.withColumnRenamed("_prompt", "prompt"),
+            prompt_tokens=lengths, marker_tokens=P.marker_lengths(a.tokenizer_file)))
+    J.write_jsonl(rounds, a.output)
+    print(f"written to {a.output}")
+
+
 def build_parser() -> argparse.ArgumentParser:
     ap = argparse.ArgumentParser(prog="tracekit")
     ap.add_argument("--master", default=None)
@@ -229,11 +247,23 @@ def build_parser() -> argparse.ArgumentParser:
     g.add_argument("--tokenizer_file", default=None)
     g.add_argument("--format", default=None, choices=["json", "parquet"])
     g.add_argument("--score_full_prompt", action="store_true")
+
+    n = sub.add_parser("next-round")
+    n.add_argument("questions")
+    n.add_argument("output")
+    n.add_argument("--steps", default=None, help="recorded steps; without them the first round's prompts")
+    n.add_argument("--num_samples", type=int, default=0, help="questions of the first round, 0 for all")
+    n.add_argument("--seed", type=int, default=42)
+    n.add_argument("--mode", default="budget", choices=["budget", "alternating", "none"])
+    n.add_argument("--num_waits", type=int, default=5)
+    n.add_argument("--max_model_len", type=int, default=4096)
+    n.add_argument("--tokenizer_file", default=None)
+    n.add_argument("--format", default=None, choices=["json", "parquet"])
     return ap
 
 
 COMMANDS = {"filter": cmd_filter, "stream-filter": cmd_stream_filter, "stats": cmd_stats, "thinking": cmd_thinking, "compare": cmd_compare,
-            "train-rows": cmd_train_rows, "assemble": cmd_assemble}
+            "train-rows": cmd_train_rows, "assemble": cmd_assemble, "next-round": cmd_next_round}
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -16,7 +16,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.chat import start_prompt
 from ..functions.thinking import hit_limit, near_limit
+from .sampling import seeded_sample
 
 MODES = ("budget", "alternating", "none")
 # The budget-forcing markers.
@@ -26,9 +28,15 @@ ALTERNATIVELY = "Alternatively"
 
 def step_decisions(steps: DataFrame, mode: str = "budget", num_waits: int = 5,
                    max_model_len: int = 4096, margin: int = 400,
-                   prompt_tokens: DataFrame | None = None) -> DataFrame:
+                   prompt_tokens: DataFrame | None = None,
+                   marker_tokens: tuple[int, int] = (0, 0)) -> DataFrame:
     """Per kept step: running tokens, truncated / stop flags and the marker
-    appended after it. Steps after the first stopping one are dropped."""
+    appended after it. Steps after the first stopping one are dropped.
+
+    A step's tokens are those of its prompt, which holds the question prompt
+    (``prompt_tokens``: sample_id, prompt_tokens), earlier steps and the
+    markers between them (``marker_tokens`` of the two markers), and its own.
+    """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     # steps past the last allowed one can never be kept; dropping them first
@@ -39,8 +47,10 @@ def step_decisions(steps: DataFrame, mode: str = "budget", num_waits: int = 5,
         df = df.join(prompt_tokens, "sample_id", "left")
         base = F.coalesce(F.col("prompt_tokens"), F.lit(0))
     w = Window.partitionBy("sample_id").orderBy("step")
-    tokens = (F.sum("gen_tokens").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-              + base).cast("bigint")
+    alternates = F.lit(mode == "alternating") & (F.col("step") % 2 == 1)
+    marker = F.when(alternates, marker_tokens[1]).otherwise(marker_tokens[0])
+    tokens = (F.sum(F.col("gen_tokens") + marker).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+              - marker + base).cast("bigint")
     df = df.withColumn("tokens", tokens)
     trunc = hit_limit(F.col("finish_reason"), F.col("tokens"), max_model_len)
     near = near_limit(F.col("tokens"), max_model_len, margin)
@@ -48,8 +58,7 @@ def step_decisions(steps: DataFrame, mode: str = "budget", num_waits: int = 5,
     df = (df.withColumn("truncated", trunc)
             .withColumn("stop", trunc | near | last))
     earlier = F.max(F.col("stop").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    token = F.when(F.lit(mode == "alternating") & (F.col("step") % 2 == 1), F.lit(ALTERNATIVELY)
-                   ).otherwise(F.lit(WAIT))
+    token = F.when(alternates, F.lit(ALTERNATIVELY)).otherwise(F.lit(WAIT))
     return (df.withColumn("_earlier", F.coalesce(earlier, F.lit(0)))
               .where(F.col("_earlier") == 0)
               .withColumn("marker", F.when(F.col("stop"), F.lit(""))
@@ -60,11 +69,12 @@ def step_decisions(steps: DataFrame, mode: str = "budget", num_waits: int = 5,
 def assemble_budget(steps: DataFrame, mode: str = "budget", num_waits: int = 5,
                     max_model_len: int = 4096, margin: int = 400,
                     prompts: DataFrame | None = None,
-                    prompt_tokens: DataFrame | None = None) -> DataFrame:
+                    prompt_tokens: DataFrame | None = None,
+                    marker_tokens: tuple[int, int] = (0, 0)) -> DataFrame:
     """One row per sample: steps (last step index run), truncated, stopped,
     tokens, and ``response`` = prompt (if given) + every kept step's text and
     the markers between them."""
-    d = step_decisions(steps, mode, num_waits, max_model_len, margin, prompt_tokens)
+    d = step_decisions(steps, mode, num_waits, max_model_len, margin, prompt_tokens, marker_tokens)
     pieces = F.array_sort(F.collect_list(F.struct("step", F.concat("gen_text", "marker").alias("piece"))))
     out = d.groupBy("sample_id").agg(
         F.max("step").alias("steps"),
@@ -81,6 +91,14 @@ def assemble_budget(steps: DataFrame, mode: str = "budget", num_waits: int = 5,
     return out
 
 
+def first_round(questions: DataFrame, n: int = 0, seed: int = 42, key: str = "sample_id",
+                problem_col: str = "problem") -> DataFrame:
+    """The prompts that generation starts from: ``n`` questions drawn by the
+    seed (all for 0), at step 0."""
+    drawn = seeded_sample(questions, n or None, seed, key)
+    return drawn.select(F.col(key), F.lit(0).alias("next_step"), start_prompt(F.col(problem_col)).alias("prompt"))
+
+
 def next_round(assembled: DataFrame) -> DataFrame:
     """Samples still active after the recorded steps, with the step to run
     next and the prompt to run it on (the response so far, marker included)."""

@@ -208,18 +208,29 @@ def q_final_answers(spark, sf):
     return X.traces(spark, sf).select("index", A.final_answer(F.col("model_response")).alias("pred"))
 
 
+# what follows the last equals sign of a turn, so that the rewrites have something to do
+_LATEX = [" = \\frac12$", " = \\sqrt5 \\text{cm}", " = $1,234$", " = \\textbf{x}\\text{ and }y", " = \\frac{3}4 dollars", " = \\overline{AB}", ""]
+
+
 @register("normalize_answer",
-          f"select conv_id, cast(turn as bigint) as turn, {O.normalize('text')} as norm from conversations")
+          "select conv_id, cast(turn as bigint) as turn, "
+          + O.normalize("(text || case (conv_id + turn) % 7 " + " ".join(f"when {i} then {O.sq(x)}" for i, x in enumerate(_LATEX)) + " end)")
+          + " as norm from conversations")
 def q_normalize_answer(spark, sf):
     c = X.table(spark, sf, "conversations")
+    tail = F.get(F.array(*[F.lit(x) for x in _LATEX]), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(_LATEX))).cast("int"))
     return c.select("conv_id", F.col("turn").cast("bigint").alias("turn"),
-                    A.normalize_answer(F.col("text")).alias("norm"))
+                    A.normalize_answer(F.concat("text", tail)).alias("norm"))
+
+
+def _value(x: str) -> str:
+    """A whole number written as one, with ``.0`` or over 1, as itself."""
+    over_one = O.sq("^" + chr(92) * 2 + "frac[{]([0-9]+)[}][{]1[}]$")
+    return f"regexp_replace(regexp_replace({x}, '[.]0$', ''), {over_one}, {O.sq(chr(92) + '1')})"
 
 
 @register("score_answers", X.with_views(
-    f"""select index, pred, gold,
-               cast((pred = gold and pred <> '' and pred <> '[invalidanswer]')
-                    or coalesce(try_cast(pred as hugeint) = try_cast(gold as hugeint), false) as int) as exact_match
+    f"""select index, pred, gold, cast({_value('pred')} = {_value('gold')} and pred not in ('', '[invalidanswer]') as int) as exact_match
         from (select index, {O.normalize(O.raw_answer('model_response'))} as pred,
                      {O.normalize('ground_truth')} as gold from traces)""", "traces"))
 def q_score_answers(spark, sf):
@@ -231,16 +242,20 @@ def q_score_answers(spark, sf):
 
 # --------------------------------------------------------------------------- budget assembly
 
-def _budget_sql(mode: str, num_waits: int, max_len: int, select: str) -> str:
-    """The window formulation in DuckDB; ``select`` reads the assembled ``r``."""
+def _budget_sql(mode: str, num_waits: int, max_len: int, select: str, whole_prompt: bool = False) -> str:
+    """The window formulation in DuckDB; ``select`` reads the assembled ``r``.
+    With ``whole_prompt`` a step's length counts its prompt's words and the
+    markers in it, one word each."""
     alt = "true" if mode == "alternating" else "false"
     none = "true" if mode == "none" else "false"
-    prompt = O.start_prompt("text", C.GENERATION_SYSTEM_PROMPT)
-    return X.with_views(select, "gen_steps", extra=(
+    prompt = O.start_prompt("problem", C.GENERATION_SYSTEM_PROMPT)
+    more = f"+ step + coalesce({O.word_count('p.prompt')}, 0)" if whole_prompt else ""
+    return X.with_views(select, "gen_steps", "questions", extra=(
+        f"p as (select sample_id, {prompt} as prompt from questions)",
         f"""w as (
-  select *, cast(sum(gen_tokens) over (partition by sample_id order by step
-                 rows between unbounded preceding and current row) as bigint) as tokens
-  from gen_steps)""",
+  select g.*, cast(sum(gen_tokens) over (partition by g.sample_id order by step
+                   rows between unbounded preceding and current row) {more} as bigint) as tokens
+  from gen_steps g left join p on g.sample_id = p.sample_id)""",
         f"""d as (
   select *, (finish_reason = 'length' or tokens >= {max_len}) as truncated,
          (finish_reason = 'length' or tokens >= {max_len} or tokens > {max_len - 400}
@@ -257,15 +272,13 @@ def _budget_sql(mode: str, num_waits: int, max_len: int, select: str) -> str:
                     else chr(10) || case when {alt} and step % 2 = 1 then 'Alternatively' else 'Wait' end || chr(10) end,
                     '' order by step) as generation
   from e where earlier = 0 and step <= {num_waits} group by sample_id)""",
-        f"p as (select conv_id as sample_id, {prompt} as prompt from conversations where turn = 0)",
         """r as (select a.sample_id, a.steps, a.truncated, a.stopped, a.tokens,
          coalesce(p.prompt, '') || a.generation as response
   from a left join p on a.sample_id = p.sample_id)"""))
 
 
 def _budget(spark, sf, mode, num_waits, max_len):
-    prompts = (X.table(spark, sf, "conversations").where(F.col("turn") == 0)
-               .select(F.col("conv_id").alias("sample_id"), C.start_prompt(F.col("text")).alias("prompt")))
+    prompts = X.questions(spark, sf).select("sample_id", C.start_prompt(F.col("problem")).alias("prompt"))
     return B.assemble_budget(X.gen_steps(spark, sf), mode, num_waits, max_len, prompts=prompts)
 
 
@@ -576,25 +589,51 @@ def q_path_values(spark, sf):
                     (path_value(F.col("j"), "arguments.gen_args_0.arg_0") == F.col("prompt")).alias("has_prompt"))
 
 
+# lines of a trace file: broken, other types than the schema's, a tab, blank, and records
+_LINE_SQL = """case index % 50 when 0 then '{"index": ' || cast(index as varchar) || ', "steps": '
+  when 1 then '{"index": "q-' || cast(index as varchar) || '", "steps": 1.0, "is_correct": 1, "model_response": "t"}'
+  when 2 then chr(9) when 3 then '' when 4 then '[1]' else to_json(traces)::varchar end"""
+
+
+def _trace_lines(spark, sf):
+    t = X.traces(spark, sf)
+    k, i = t["index"] % 50, t["index"].cast("string")
+    line = (F.when(k == 0, F.concat(F.lit('{"index": '), i, F.lit(', "steps": ')))
+            .when(k == 1, F.concat(F.lit('{"index": "q-'), i, F.lit('", "steps": 1.0, "is_correct": 1, "model_response": "t"}')))
+            .when(k == 2, F.lit("\t")).when(k == 3, F.lit("")).when(k == 4, F.lit("[1]"))
+            .otherwise(F.to_json(F.struct(*t.columns))))
+    return t.select(line.alias("value"))
+
+
 @register("parse_trace_lines", X.with_views(
-    """select case when json_valid(line) then cast(json_extract(line, '$.index') as bigint) end as index,
-              case when json_valid(line) then cast(json_extract(line, '$.steps') as integer) end as steps,
-              case when json_valid(line) then json_extract(line, '$.is_correct')::boolean end as is_correct,
-              case when json_valid(line) then md5(json_extract_string(line, '$.model_response')) end as response_md5,
-              not json_valid(line) as corrupt
-       from (select case when index % 50 = 0 then '{"index": ' || cast(index as varchar) || ', "steps": '
-                         else to_json(traces)::varchar end as line from traces)""", "traces"))
+    """select case when ok then try_cast(json_extract_string(line, '$.index') as bigint) end as index,
+              case when ok then cast(json_extract(line, '$.steps') as integer) end as steps,
+              case when ok then json_extract_string(line, '$.is_correct') in ('true', '1') end as is_correct,
+              case when ok then md5(json_extract_string(line, '$.model_response')) end as response_md5,
+              not ok as corrupt, trim(line, chr(9) || ' ') = '' as blank
+       from (select line, case when json_valid(line) then json_type(line) = 'OBJECT' else false end as ok from l)""",
+    "traces", extra=(f"l as (select {_LINE_SQL} as line from traces)",)))
 def q_parse_trace_lines(spark, sf):
     from ..sources.jsonl import TRACE_SCHEMA, parse_lines
-    t = X.traces(spark, sf)
-    line = F.when(t["index"] % 50 == 0, F.concat(F.lit('{"index": '), t["index"].cast("string"),
-                                                 F.lit(', "steps": '))
-                  ).otherwise(F.to_json(F.struct(*t.columns)))
-    p = parse_lines(t.select(line.alias("value")), TRACE_SCHEMA)
-    ok = F.col("_corrupt_record").isNull()
-    return p.select(F.when(ok, F.col("index")).alias("index"), F.when(ok, F.col("steps")).alias("steps"),
-                    F.when(ok, F.col("is_correct")).alias("is_correct"),
-                    F.when(ok, F.md5("model_response")).alias("response_md5"), (~ok).alias("corrupt"))
+    p = parse_lines(_trace_lines(spark, sf), TRACE_SCHEMA)
+    return p.select("index", "steps", "is_correct", F.md5("model_response").alias("response_md5"),
+                    F.col("_corrupt_record").isNotNull().alias("corrupt"), F.col("_blank").alias("blank"))
+
+
+@register("filter_lines_report", X.with_views(
+    f"""select count(*) as processed, count(*) filter (where not ok) as malformed, count(*) filter (where ok and repeats) as filtered,
+              count(*) filter (where ok and not repeats) as saved
+       from (select line, index, index in {_flagged_sql('r', 'model_response', 2, 100)} as repeats,
+                    case when json_valid(line) then json_type(line) = 'OBJECT' else false end as ok from l where trim(line, chr(9) || ' ') <> '')""",
+    "traces", extra=(f"l as (select {_LINE_SQL} as line, index, case when index % 50 > 4 then model_response else 't' end as model_response from traces)",
+                     "r as (select index, model_response from l)")))
+def q_filter_lines_report(spark, sf):
+    from ..sources.jsonl import CORRUPT, TRACE_SCHEMA, parse_lines
+    p = parse_lines(_trace_lines(spark, sf), TRACE_SCHEMA, keep_line_col=True).where(~F.col("_blank"))
+    valid = F.col(CORRUPT).isNull()
+    repeats = valid & R.is_repeating(F.coalesce(F.col("model_response"), F.lit("")), 2, 100)
+    report = S.first_n(p.select("index", "value", "model_response", CORRUPT), valid & ~repeats, "index", None, filtered=repeats)[1]
+    return report.select("*", (F.col("processed") - F.col("filtered") - F.col("saved")).alias("malformed"))
 
 
 # --------------------------------------------------------------------------- more reports
@@ -631,36 +670,43 @@ def q_render_chat(spark, sf):
     return t.select("index", F.length(text).cast("bigint").alias("text_len"), F.md5(text).alias("text_md5"))
 
 
+# a worked solution quotes the trace's answer and goes on to one of its own
+_SOLUTION = "(model_response || ' Hence $' || chr(92) || 'boxed{' || chr(92) || 'sqrt' || ground_truth || ', ' || problem || '}$')"
+
+
 @register("gold_answers", X.with_views(
-    f"select index, {O.normalize(O.bind(O.last_boxed('model_response'), O.unbox))} as answer from traces",
+    f"select index, {O.normalize(O.bind(O.last_boxed(_SOLUTION), O.unbox))} as answer from traces",
     "traces"))
 def q_gold_answers(spark, sf):
     from ..operators.scoring import gold_answers
-    t = X.traces(spark, sf).select("index", F.col("model_response").alias("solution"))
+    own = F.concat(F.col("model_response"), F.lit(" Hence $\\boxed{\\sqrt"), "ground_truth", F.lit(", "), "problem", F.lit("}$"))
+    t = X.traces(spark, sf).select("index", own.alias("solution"))
     return gold_answers(t).select("index", "answer")
 
 
-def _questions(spark, sf):
-    c = X.table(spark, sf, "conversations").where(F.col("turn") == 0)
-    return c.select(F.col("conv_id").alias("sample_id"), F.col("text").alias("problem"),
-                    (F.col("conv_id") % 97).cast("string").alias("answer"))
+_GENERATED = O.normalize(O.raw_answer("a.generation"))
+_VALUE = _value(_GENERATED)
 
 
 @register("generated_records", _budget_sql("alternating", 3, 2500, f"""
-select r.sample_id as index, r.steps, r.truncated, r.stopped is not null as has_steps,
-       cast(({O.normalize(O.raw_answer('a.generation'))} = {O.normalize("cast(r.sample_id % 97 as varchar)")})
-            and {O.normalize(O.raw_answer('a.generation'))} not in ('', '[invalidanswer]') as boolean) as is_correct,
+select r.sample_id as index, r.steps, r.truncated, q.sample_id is not null as has_question,
+       coalesce({_VALUE} = q.answer, false) as is_correct,
        {O.word_count('r.response')} as tokens, md5(r.response) as response_md5
-from r join a on r.sample_id = a.sample_id
-join conversations q on q.conv_id = r.sample_id and q.turn = 0"""))
+from r join a on r.sample_id = a.sample_id left join questions q on q.sample_id = r.sample_id""", whole_prompt=True))
 def q_generated_records(spark, sf):
     from .pipelines import generate_records
-    steps = X.gen_steps(spark, sf)
-    recs = generate_records(steps, _questions(spark, sf), mode="alternating", num_waits=3, max_model_len=2500)
-    return recs.select("index", "steps", "truncated", F.lit(True).alias("has_steps"), "is_correct",
+    recs = generate_records(X.gen_steps(spark, sf), X.questions(spark, sf), mode="alternating", num_waits=3, max_model_len=2500)
+    return recs.select("index", "steps", "truncated", F.col("problem").isNotNull().alias("has_question"), "is_correct",
                        "tokens", F.md5("model_response").alias("response_md5"))
 
 
+@register("first_round", X.with_views(
+    f"""select sample_id, 0 as next_step, md5({O.start_prompt('problem', C.GENERATION_SYSTEM_PROMPT)}) as prompt_md5
+        from questions""", "questions"))
+def q_first_round(spark, sf):
+    return B.first_round(X.questions(spark, sf)).select("sample_id", "next_step", F.md5("prompt").alias("prompt_md5"))
+
+
 # --------------------------------------------------------------------------- streaming
 
 

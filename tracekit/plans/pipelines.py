@@ -13,12 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chat as C
+from ..functions.answers import gold_answer, normalize_answer
 from ..functions.text import py_strip, token_len
 from ..operators import budget as B
 from ..operators import repeat as R
 from ..operators import sampling as S
 from ..operators import stats as ST
-from ..operators.scoring import score_columns
+from ..operators.scoring import check_unique_key, score_columns
 
 
 def stats_rows(traces: DataFrame, prompt_col: str = "problem", response_col: str = "model_response",
@@ -52,25 +53,56 @@ def curate(traces: DataFrame, threshold: int = 2, min_len: int = 100,
     return S.first_n_kept(correct, keep, order_col, max_samples)
 
 
+def question_set(questions: DataFrame, question_col: str = "problem", answer_col: str = "answer",
+                 solution_col: str = "solution") -> DataFrame:
+    """(sample_id, problem, answer, prompt): the gold answer is read from the
+    worked solution where there is one, normalized once, and is the
+    normalized answer column otherwise."""
+    if solution_col in questions.columns:
+        answer = gold_answer(F.col(solution_col))
+    else:
+        answer = normalize_answer(F.col(answer_col).cast("string"))
+    shown = F.col(answer_col).cast("string") if answer_col in questions.columns and solution_col not in questions.columns else answer
+    return questions.select("sample_id", F.col(question_col).alias("_problem"), answer.alias("_gold"),
+                            shown.alias("_answer"), C.start_prompt(F.col(question_col)).alias("_prompt"))
+
+
+def marker_lengths(tokenizer_file: str | None = None) -> tuple[int, int]:
+    """Tokens of the two markers as they are appended: words by default."""
+    texts = [f"\n{m}\n" for m in (B.WAIT, B.ALTERNATIVELY)]
+    if tokenizer_file is None:
+        return tuple(len(t.split()) for t in texts)
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(tokenizer_file)
+    return tuple(len(tok.encode(t, add_special_tokens=False).ids) for t in texts)
+
+
 def generate_records(steps: DataFrame, questions: DataFrame, mode: str = "budget",
                      num_waits: int = 5, max_model_len: int = 4096,
                      question_col: str = "problem", answer_col: str = "answer",
-                     tokenizer_file: str | None = None, score_full_prompt: bool = False) -> DataFrame:
+                     tokenizer_file: str | None = None, score_full_prompt: bool = False,
+                     validate: bool = True) -> DataFrame:
     """Trace records from recorded generation steps and the question set.
 
-    ``questions`` has (sample_id, problem, answer). The steps are assembled
-    under the budget rules (one shuffle on sample_id), joined once to their
-    question, prefixed with the rendered prompt, and the generated text is
-    scored against the gold answer. ``score_full_prompt`` scores the whole
-    text instead, prompt included — whose system line itself holds an empty
-    box, so a response without a box then scores as the empty answer.
+    ``questions`` has sample_id, problem and answer, or a worked solution to
+    read the answer from; each sample has one question (checked by
+    ``validate``). The steps are assembled under the budget rules (one
+    shuffle on sample_id), where a step's length counts its whole prompt:
+    question prompt, earlier steps and markers. Samples without a question
+    stay, with an empty question prompt and no gold answer. The generated
+    text is scored against the gold answer. ``score_full_prompt`` scores the
+    whole text instead, prompt included — whose system line itself holds an
+    empty box, so a response without a box then scores as the empty answer.
     """
-    assembled = B.assemble_budget(steps, mode, num_waits, max_model_len)
-    q = questions.select("sample_id", F.col(question_col).alias("_problem"),
-                         F.col(answer_col).cast("string").alias("_answer"))
-    joined = (assembled.join(q, "sample_id")
-                       .withColumn("response", F.concat(C.start_prompt(F.col("_problem")), F.col("generation"))))
-    scored = score_columns(joined, "response" if score_full_prompt else "generation", "_answer")
+    if validate:
+        check_unique_key(questions, "sample_id")
+    q = question_set(questions, question_col, answer_col)
+    lengths = q.select("sample_id", token_len(F.col("_prompt"), tokenizer_file).alias("prompt_tokens"))
+    assembled = B.assemble_budget(steps, mode, num_waits, max_model_len, prompt_tokens=lengths,
+                                  marker_tokens=marker_lengths(tokenizer_file))
+    joined = (assembled.join(q, "sample_id", "left")
+                       .withColumn("response", F.concat(F.coalesce("_prompt", F.lit("")), F.col("generation"))))
+    scored = score_columns(joined, "response" if score_full_prompt else "generation", "_gold", normalize_gold=False)
     return scored.select(F.col("sample_id").alias("index"),
                          F.col("_problem").alias("problem"),
                          py_strip(F.col("_answer")).alias("ground_truth"),
