@@ -119,3 +119,39 @@ def test_stats_reads_past_json_nulls(tmp_path, capsys):
     cli.main(["stats", str(tmp_path / "s.jsonl")])
     out = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
     assert any(x.get("accuracy") == 1.0 and x.get("n_correct") == 4 for x in out)
+
+
+def test_thinking_totals_only_and_lengths(spark, tmp_path, capsys):
+    line = json.dumps({"filtered_resps": [["one two three \\\\boxed{4}"]], "arguments": {"gen_args_0": {"arg_0": "p"}}, "exact_match": 1})
+    (tmp_path / "qwq-run").mkdir()
+    (tmp_path / "qwq-run" / "s.jsonl").write_text((line + "\n") * 3)
+    out = str(tmp_path / "lengths")
+    cli.main(["thinking", str(tmp_path / "qwq-run"), "--lengths", out])
+    row = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")][0]
+    assert row["samples"] == 3 and row["avg_total_tokens"] == 4 and row["n_no_answer"] == 0
+    assert row["avg_thinking_tokens"] is None and row["n_no_thinking"] == 0
+    assert spark.read.json(out).count() == 3
+
+
+def test_next_round_from_the_command_line(spark, tmp_path):
+    q = str(tmp_path / "q.parquet")
+    spark.createDataFrame([(1, "p1", "so $\\boxed{3}$"), (2, "p2", "none")], "sample_id long, problem string, solution string").write.parquet(q)
+    cli.main(["next-round", q, str(tmp_path / "r0")])
+    first = spark.read.json(str(tmp_path / "r0")).collect()
+    assert sorted(r.sample_id for r in first) == [1, 2] and all(r.next_step == 0 and r.prompt.endswith("think\n") for r in first)
+    s = str(tmp_path / "s.parquet")
+    spark.createDataFrame([(1, 0, "a", 5, "stop"), (2, 0, "b", 5, "length")],
+                          "sample_id long, step int, gen_text string, gen_tokens int, finish_reason string").write.parquet(s)
+    cli.main(["next-round", q, str(tmp_path / "r1"), "--steps", s])
+    (row,) = spark.read.json(str(tmp_path / "r1")).collect()
+    assert row.sample_id == 1 and row.next_step == 1 and row.prompt.endswith("think\na\nWait\n")
+
+
+def test_whole_prompts_count_towards_the_limit(spark):
+    from tracekit.plans.pipelines import generate_records
+    steps = spark.createDataFrame([(1, 0, "a", 5, "stop"), (1, 1, "b \\boxed{3}", 5, "stop")],
+                                  "sample_id long, step int, gen_text string, gen_tokens int, finish_reason string")
+    q = spark.createDataFrame([(1, "word " * 30, "so $\\boxed{3}$")], "sample_id long, problem string, solution string")
+    rows = {n: generate_records(steps, q, num_waits=1, max_model_len=n).first() for n in (41, 10_000)}
+    assert rows[41].truncated and rows[41].steps == 0 and not rows[41].is_correct
+    assert not rows[10_000].truncated and rows[10_000].steps == 1 and rows[10_000].is_correct and rows[10_000].ground_truth == "3"

@@ -3,7 +3,7 @@ plans, not on results)."""
 
 import pytest
 
-import __spark_entry__ as E
+from tracekit.plans import catalog
 
 from .conftest import SF_SMALL
 
@@ -13,12 +13,12 @@ BUILT_EAGERLY = {"stream_curation_report"}
 
 
 def _plan(spark, name):
-    return E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    return catalog.QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {n: _plan(spark, n) for n in E.queries() if n not in BUILT_EAGERLY}
+    return {n: _plan(spark, n) for n in catalog.QUERIES if n not in BUILT_EAGERLY}
 
 
 def test_no_cross_join_and_no_python(plans):
@@ -41,3 +41,10 @@ def test_columns_pruned_at_scan(plans):
 def test_gold_side_broadcast_by_size(plans):
     assert "BroadcastHashJoin" in plans["score_answers"]
     assert "SortMergeJoin" not in plans["score_answers"]
+
+
+def test_thinking_responses_are_parsed_once(spark):
+    for name in ("thinking_stats", "thinking_stats_steps"):
+        plan = catalog.QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("substring_index(") == 2, name  # before and after the answer tag
+        assert plan.count("split(substring_index(") + plan.count("|im_start|>\\E") == 1, name

@@ -35,6 +35,10 @@ from .session import get_spark
 from .sources import jsonl as J
 
 
+# Fixed value: runs with this in their path have no thinking format.
+TOTALS_ONLY_PATH = "qwq"
+
+
 def _show(title: str, df: DataFrame) -> None:
     print(f"== {title}")
     for row in df.collect():
@@ -109,11 +113,12 @@ def cmd_thinking(spark, a) -> None:
         first_response(F.get_json_object(line, "$.filtered_resps")).alias("resp"),
         F.coalesce(F.get_json_object(line, "$.arguments.gen_args_0.arg_0"), F.lit("")).alias("prompt"),
         F.get_json_object(line, "$.exact_match").alias("exact_match"),
-        budget["steps"].alias("step_limit"), budget["tokens"].alias("token_limit"))
+        budget["steps"].alias("step_limit"), budget["tokens"].alias("token_limit"),
+        F.col("_metadata.file_path").contains(TOTALS_ONLY_PATH).alias("totals_only"))
     # the run's path decides the format: a step limit means step-limited responses
     rows = ST.thinking_rows(samples.withColumn("resp", F.coalesce("resp", F.lit(""))),
-                            tokenizer_file=a.tokenizer_file, step_limit=F.col("step_limit"))
-    rows = rows.withColumn("over_budget", F.when(F.col("step_limit").isNull(), F.coalesce(
+                            tokenizer_file=a.tokenizer_file, step_limit=F.col("step_limit"), totals_only=F.col("totals_only"))
+    rows = rows.withColumn("over_budget", F.when(F.col("step_limit").isNull() & ~F.col("totals_only"), F.coalesce(
         F.col("thinking_tokens") > F.col("token_limit"), F.lit(False))).otherwise(F.col("over_budget")))
     rows = written(rows.drop("resp", "prompt"), "thinking-rows")
     _show("thinking", ST.thinking_stats(rows))

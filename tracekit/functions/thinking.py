@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .chat import ANSWER_TAG, IM_START, THINK_TAG
-from .text import token_len
+from .text import bind, token_len
 
 # The marker of the step-limited response format, and the
 # prompt+response token count above which a sample counts as over-context.
@@ -27,18 +27,20 @@ def thinking_parts(resp: Column) -> Column:
     without the first and last; answer = text after the last answer tag
     without its first line ("" without a tag); n_steps = newlines in head − 1.
     """
-    head = F.substring_index(resp, ANSWER_TAG, 1)
-    lines = F.split(head, "\n", -1)
-    n = F.size(lines)
-    think_lines = F.when(n > 2, F.slice(lines, 2, n - 2)).otherwise(F.array().cast("array<string>"))
-    after = F.substring_index(resp, ANSWER_TAG, -1)
-    answer = F.when(~resp.contains(ANSWER_TAG), F.lit("")).when(
-        after.contains("\n"), F.substring(after, F.instr(after, "\n") + 1, F.length(after))
-    ).otherwise(after)
-    return F.struct(F.array_join(think_lines, "\n").alias("thinking"),
-                    (_count(head, "\n") - 1).alias("n_steps"),
-                    answer.alias("answer"),
-                    think_lines.alias("lines"))
+    def answer(after: Column) -> Column:
+        return F.when(~resp.contains(ANSWER_TAG), F.lit("")).when(
+            after.contains("\n"), F.substring(after, F.instr(after, "\n") + 1, F.length(after))
+        ).otherwise(after)
+
+    def parts(lines: Column) -> Column:
+        n = F.size(lines)
+        inner = F.when(n > 2, F.slice(lines, 2, n - 2)).otherwise(F.array().cast("array<string>"))
+        return bind(inner, lambda kept: F.struct(F.array_join(kept, "\n").alias("thinking"),
+                                                 (n - 2).cast("bigint").alias("n_steps"),
+                                                 bind(F.substring_index(resp, ANSWER_TAG, -1), answer).alias("answer"),
+                                                 kept.alias("lines")))
+
+    return bind(F.split(F.substring_index(resp, ANSWER_TAG, 1), "\n", -1), parts)
 
 
 def step_parts(resp: Column) -> Column:
@@ -48,11 +50,14 @@ def step_parts(resp: Column) -> Column:
     each without its first line; n_markers = occurrences of " steps left\\n";
     answer = text after the first answer tag up to the next one ("" if none).
     """
-    pieces = F.split(resp, "\\Q" + IM_START + "\\E", -1)
-    n = F.size(pieces)
-    inner = F.when(n > 2, F.slice(pieces, 2, n - 2)).otherwise(F.array().cast("array<string>"))
-    steps = F.transform(inner, lambda p: F.when(
-        p.contains("\n"), F.substring(p, F.instr(p, "\n") + 1, F.length(p))).otherwise(F.lit("")))
+    def without_first_line(piece: Column) -> Column:
+        return F.when(piece.contains("\n"), F.substring(piece, F.instr(piece, "\n") + 1, F.length(piece))).otherwise(F.lit(""))
+
+    def inner(pieces: Column) -> Column:
+        n = F.size(pieces)
+        return F.transform(F.when(n > 2, F.slice(pieces, 2, n - 2)).otherwise(F.array().cast("array<string>")), without_first_line)
+
+    steps = bind(F.split(resp, "\\Q" + IM_START + "\\E", -1), inner)
     answer = F.when(resp.contains(ANSWER_TAG),
                     F.substring_index(F.substring_index(resp, ANSWER_TAG, 2), ANSWER_TAG, -1)
                     ).otherwise(F.lit(""))

@@ -118,7 +118,7 @@ def compare_runs(df: DataFrame, baseline: str, run_col: str = "run",
 
 def thinking_rows(df: DataFrame, resp_col: str = "resp", prompt_col: str = "prompt",
                   tokenizer_file: str | None = None, token_limit: int | None = None,
-                  step_limit: Column | None = None) -> DataFrame:
+                  step_limit: Column | None = None, totals_only: Column | None = None) -> DataFrame:
     """Per-sample thinking measures.
 
     Rows with a step limit (``step_limit`` not null) are read in the
@@ -127,27 +127,33 @@ def thinking_rows(df: DataFrame, resp_col: str = "resp", prompt_col: str = "prom
     length is the sum of the step lengths, and over-budget means more
     markers than the limit. Other rows are read in the free format (thinking
     lines before the answer tag), over budget when the thinking is longer
-    than ``token_limit`` tokens.
+    than ``token_limit`` tokens. Rows where ``totals_only`` is true have no
+    thinking format: only their total length, over_context and no_answer are
+    measured, the rest is null.
     """
     resp = F.col(resp_col)
     tl = lambda c: token_len(c, tokenizer_file)
-    free = thinking_parts(resp)
-    stepf = step_parts(resp)
-    step_tokens = F.transform(stepf["steps"], tl)
     is_step = F.lit(False) if step_limit is None else step_limit.isNotNull()
     zero = F.lit(0).cast("bigint")
 
+    def bound(frame: DataFrame, **columns: Column) -> DataFrame:
+        # a generator computes its columns once, whoever reads them
+        return frame.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
     def pick(step_value: Column, free_value: Column) -> Column:
         return F.when(is_step, step_value).otherwise(free_value)
 
-    out = df.select(
-        "*",
-        pick(stepf["n_markers"], free["n_steps"].cast("bigint")).alias("n_steps"),
-        pick(F.size(stepf["steps"]), F.size(free["lines"])).cast("bigint").alias("n_lines"),
-        pick(F.aggregate(step_tokens, zero, lambda a, x: a + x),
-             F.aggregate(F.transform(free["lines"], tl), zero, lambda a, x: a + x)).alias("sum_step_tokens"),
-        pick(F.aggregate(step_tokens, zero, lambda a, x: a + x), tl(free["thinking"])).alias("thinking_tokens"),
-        pick(tl(stepf["answer"]), tl(free["answer"])).alias("answer_tokens"),
+    free, step = F.col("__free"), F.col("__step")
+    parsed = bound(df, __free=F.when(~is_step, thinking_parts(resp)), __step=F.when(is_step, step_parts(resp)))
+    measured = bound(parsed, __sizes=F.transform(pick(step["steps"], free["lines"]), tl))
+    total = F.aggregate("__sizes", zero, lambda a, x: a + x)
+    out = measured.select(
+        *df.columns,
+        pick(step["n_markers"], free["n_steps"].cast("bigint")).alias("n_steps"),
+        F.size("__sizes").cast("bigint").alias("n_lines"),
+        total.alias("sum_step_tokens"),
+        pick(total, tl(free["thinking"])).alias("thinking_tokens"),
+        tl(pick(step["answer"], free["answer"])).alias("answer_tokens"),
         tl(resp).alias("total_tokens"),
         no_answer(resp).alias("no_answer"),
         pick(no_thinking(resp, step_form=True), no_thinking(resp)).alias("no_thinking"),
@@ -156,7 +162,11 @@ def thinking_rows(df: DataFrame, resp_col: str = "resp", prompt_col: str = "prom
     limit = F.lit(token_limit) if token_limit is not None else F.lit(None).cast("bigint")
     over = pick(F.col("n_steps") > step_limit if step_limit is not None else F.lit(False),
                 F.col("thinking_tokens") > limit)
-    return out.withColumn("over_budget", F.coalesce(over, F.lit(False)))
+    out = out.withColumn("over_budget", F.coalesce(over, F.lit(False)))
+    if totals_only is None:
+        return out
+    parts = ["n_steps", "n_lines", "sum_step_tokens", "thinking_tokens", "answer_tokens", "no_thinking", "over_budget"]
+    return out.withColumns({c: F.when(~totals_only, F.col(c)) for c in parts})
 
 
 def thinking_stats(rows: DataFrame, digits: int | None = 1) -> DataFrame:
