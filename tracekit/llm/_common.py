@@ -1,5 +1,5 @@
-"""Helpers shared by the corpus operators: written scratch tables, global
-ranks and connected components, all as DataFrame jobs."""
+"""Helpers shared by the corpus operators: connected components, groups of
+sorted tasks, literal tables; written tables and ranks are the library's."""
 
 from __future__ import annotations
 
@@ -8,12 +8,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracekit.session import scratch_path
+from tracekit.ranking import ranked, written
 
-ROW_BITS = 33  # monotonically_increasing_id keeps the row number in 33 bits
+__all__ = ["ascii_lower", "components", "literal_rows", "local_components", "partitions", "ranked", "small_table", "union_all",
+           "whole_groups", "written"]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -21,35 +22,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a Parquet table in the cluster's shared checkpoint
-    folder and read it back: lineage ends there, every reader sees the same
-    rows, and Spark knows the table's real size when it picks a join."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def ranked(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
-    """Add the 0-based position of each row in the global ``order``.
-
-    A range-partitioned sort gives each row its partition and its place in
-    it; the rows of every partition are counted and the counts of earlier
-    partitions are added (one row per partition, never the data). ``order``
-    should end in something unique where one value may be frequent, so that
-    a frequent value is split over partitions. Runs jobs.
-    """
-    at, part, offset = f"__{name}_at", f"__{name}_part", f"__{name}_offset"
-    placed = written(df.sort(*order).withColumn(at, F.monotonically_increasing_id())
-                     .withColumn(part, F.shiftright(at, ROW_BITS).cast("int")), "ranked")
-    counts = placed.groupBy(part).agg(F.count("*").alias("n"))
-    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(offset))
-    place = F.col(at).bitwiseAND(F.lit((1 << ROW_BITS) - 1))
-    return (placed.join(F.broadcast(offsets), part)  # one row per partition of the sort
-            .withColumn(name, F.col(offset) + place).drop(at, part, offset))
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

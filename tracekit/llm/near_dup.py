@@ -214,7 +214,7 @@ def _confirm(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     own = cls[start:end]
                     yield pa.RecordBatch.from_arrays([pa.array(own[member]), pa.array(own[label[member]])], names=["a", "b"])
 
-    dealt = groups.join(sets, "cls").select("grp", "cls", "shingles")
+    dealt = sets.join(small_table(groups), "cls").select("grp", "cls", "shingles")
     dealt = dealt.repartition(partitions(groups.sparkSession), "grp").sortWithinPartitions("grp")
     return dealt.mapInArrow(rows, "a long, b long")
 
