@@ -1,5 +1,8 @@
+import itertools
 import random
 
+import numpy as np
+
 from tests.llm import brute
 from tracekit.llm import decontaminate as D
 
@@ -68,3 +71,58 @@ def test_empty_tables(docs_of, lspark):
     assert D.contaminated(docs_of([]), none).collect() == []
     assert D.contaminated(docs_of([(1, "a b")]), none).collect() == []
     assert D.drop_contaminated(docs_of([(1, "a b")]), none).count() == 1
+
+
+def test_every_allowed_pattern_shares_a_seed():
+    # the least cost (4 a substituted word, -1 an equal one) of a pattern without a seed is positive, so more than a fifth is substituted
+    span = max(map(len, D.MASKS))
+    state = np.arange(1 << span)
+    seeds = [sum(1 << (len(m) - 1 - o) for o in D.offsets(m)) for m in D.MASKS]
+    hit = np.any([(state & s) == s for s in seeds], axis=0)
+    cost = np.where(state == 0, 0, 10**6)
+    least = []
+    for _ in range(400):
+        new = np.full(len(state), 10**6)
+        for equal in (0, 1):
+            np.minimum.at(new, (state << 1 | equal) & len(state) - 1, cost + (-1 if equal else 4))
+        cost = np.where(hit, 10**6, new)
+        least.append(cost.min())
+    assert min(least[D.MIN_WORDS - 1:]) > 0
+    assert min(least[300:]) > max(least[:100])  # grows with the length
+    for n in range(1, D.MIN_WORDS):
+        shapes = D.short_shapes(n, D.MAX_SUBSTITUTED)
+        for gone in itertools.combinations(range(n), n // 5):
+            assert any(not set(shape) & set(gone) for shape in shapes)
+
+
+def test_all_allowed_substitutions_equal_brute_force(docs_of, lspark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    items = [(n, " ".join(word() for _ in range(n))) for n in range(1, 26)]
+    docs = [[word() for _ in range(rng.randint(0, 5))] + hide(rng, text.split()) + [word() for _ in range(rng.randint(0, 5))]
+            for _, text in items for _ in range(20)]
+    nine = items[8][1].split()
+    docs += [["x", *nine[1:]], [*nine[:-1], "x"], nine[1:]]
+    docs = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    want = []
+    for i, text in docs:
+        doc = brute.plain_words(text)
+        for k, item in items:
+            item = brute.plain_words(item)
+            best = brute.best_overlap(doc, item, D.MAX_SUBSTITUTED)
+            for at in range(len(doc) - len(item) + 1 if len(item) < D.MIN_WORDS else 0):
+                equal = sum(a == b for a, b in zip(doc[at:], item))
+                if equal and 5 * (len(item) - equal) <= len(item):
+                    best = max(best, (len(item), equal))
+            if best[0] >= min(D.MIN_WORDS, len(item)):
+                want.append((i, k, *best))
+    bench = lspark.createDataFrame(items, "item_id long, text string")
+    got = [(r[0], r[1], r[3], r[4]) for r in D.contaminated(docs_of(docs), bench).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 400
+
+
+def hide(rng, words):
+    """As many words replaced as a whole item allows."""
+    for at in rng.sample(range(len(words)), len(words) // 5):
+        words[at] = "x"
+    return words

@@ -15,6 +15,7 @@ that fills a third of the documents is no hot key.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from tracekit.llm._common import union_all
 from tracekit.llm._text import MARK, batch_hashes, text_groups, utf8, window_hashes, window_hashes_at, word_hashes
 
-# 1 counts, 0 is ignored; chosen so that any 13 words with up to two substitutions share a seed
-MASKS = ("11110111", "1100101111", "111101101", "10111001011")
+# 1 counts, 0 is ignored; chosen so that 13 or more words of which up to a fifth are substituted, wherever, share a seed
+MASKS = ("11110111", "1100101111", "111101101", "10111001011", "111000100111", "110001010111", "110111000101", "1110100111")
 MIN_WORDS = 13
 MAX_SUBSTITUTED = 0.2
 BLOCK_WORDS = 2_000_000  # benchmark words sent to the executors at a time: at most 100 MB of tables
@@ -37,6 +38,17 @@ def offsets(mask: str) -> list[int]:
     return [i for i, c in enumerate(mask) if c == "1"]
 
 
+def short_shapes(n: int, max_substituted: float) -> list[list[int]]:
+    """Places in an item of ``n`` words such that the item with any allowed
+    substitutions is equal at all places of one of them: an item is cut into
+    parts, and each shape leaves out as many parts as words may be replaced."""
+    gone = min(n - 1, int(max_substituted * n + 1e-9))
+    parts = [range(i, min(n, i + 2)) for i in range(0, n, 2)]
+    if n < 7 or len(parts) <= gone:
+        parts = [range(i, i + 1) for i in range(n)]
+    return [[i for part in left for i in part] for left in itertools.combinations(parts, len(parts) - gone)]
+
+
 def _low(hashes: np.ndarray) -> np.ndarray:
     return (hashes & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
 
@@ -51,25 +63,30 @@ def _filter(hashes: np.ndarray) -> np.ndarray:
 class Seeds:
     """The seeds of a block of benchmark items, for lookups inside tasks."""
 
-    def __init__(self, items: list[tuple[int, str | None]], masks: tuple[str, ...]):
+    def __init__(self, items: list[tuple[int, str | None]], masks: tuple[str, ...], max_substituted: float):
         self.ids = [i for i, _ in items]
         self.words = [word_hashes(utf8(text), MARK) for _, text in items]
         self.known = _filter(np.concatenate([*self.words, np.empty(0, np.uint64)]))
-        span = max(len(m) for m in masks)
-        # items too short for the masks are looked up as a whole
-        short = sorted({len(w) for w in self.words if 0 < len(w) < span})
-        self.shapes = [offsets(m) for m in masks] + [list(range(n)) for n in short]
-        self.tables = []
-        for k, shape in enumerate(self.shapes):
-            found = []
-            for i, words in enumerate(self.words):
-                if (len(words) >= span) == (k < len(masks)) and (k < len(masks) or len(words) == len(shape)):
-                    found.append((window_hashes(words, shape), i))
-            keys = np.concatenate([h for h, _ in found]) if found else np.empty(0, np.uint64)
-            item = np.concatenate([np.full(len(h), i) for h, i in found]) if found else np.empty(0, np.int64)
-            at = np.concatenate([np.arange(len(h)) for h, _ in found]) if found else np.empty(0, np.int64)
-            order = np.argsort(keys, kind="stable")
-            self.tables.append((keys[order], item[order], at[order], _filter(keys)))
+        # the masks hold for runs of MIN_WORDS; shorter items are looked up by shapes of their own length
+        span = max(MIN_WORDS, *(len(m) for m in masks))
+        self.shapes, self.tables = [], []
+        long = [i for i, w in enumerate(self.words) if len(w) >= span]
+        for mask in masks:
+            shape = offsets(mask)
+            self._add(shape, [(window_hashes(self.words[i], shape), i) for i in long], 0)
+        for n in sorted({len(w) for w in self.words if 0 < len(w) < span}):
+            of = [i for i, w in enumerate(self.words) if len(w) == n]
+            for places in short_shapes(n, max_substituted):
+                shape = [o - places[0] for o in places]
+                self._add(shape, [(window_hashes(self.words[i][places[0]:], shape)[:1], i) for i in of], places[0])
+
+    def _add(self, shape: list[int], found: list[tuple[np.ndarray, int]], lead: int) -> None:
+        keys = np.concatenate([h for h, _ in found]) if found else np.empty(0, np.uint64)
+        item = np.concatenate([np.full(len(h), i) for h, i in found]) if found else np.empty(0, np.int64)
+        at = np.concatenate([np.arange(len(h)) for h, _ in found]) + lead if found else np.empty(0, np.int64)
+        order = np.argsort(keys, kind="stable")
+        self.shapes.append(shape)
+        self.tables.append((keys[order], item[order], at[order], _filter(keys)))
 
     def hits(self, hashes: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int]]:
         """(text, item, position of the item's first word in the text) of all
@@ -90,16 +107,19 @@ class Seeds:
             text = np.searchsorted(first, places, "right") - 1
             left, right = (np.searchsorted(keys, own, side) for side in ("left", "right"))
             right[places + shape[-1] >= first[text + 1]] = 0  # a window over two texts
-            for k in np.flatnonzero(left < right):
-                of, where = item[left[k]:right[k]], at[left[k]:right[k]]
-                out.append(np.stack([np.full(len(of), text[k]), of, places[k] - first[text[k]] - where], axis=1))
+            found = np.flatnonzero(left < right)
+            times = right[found] - left[found]
+            entry = np.repeat(left[found] - np.cumsum(times) + times, times) + np.arange(times.sum())
+            k = np.repeat(found, times)
+            out.append(np.stack([text[k], item[entry], places[k] - first[text[k]] - at[entry]], axis=1))
         return np.unique(np.concatenate(out), axis=0).tolist() if out else []
 
 
-def overlap(doc: np.ndarray, item: np.ndarray, shift: int, max_substituted: float) -> tuple[int, int, int]:
-    """The longest run on one diagonal that begins and ends with equal words
-    and has at most the allowed share of others, as (start in the document,
-    words, equal words).
+def overlap(doc: np.ndarray, item: np.ndarray, shift: int, max_substituted: float, min_words: int) -> tuple[int, int, int]:
+    """The longest run on one diagonal that has at most the allowed share of
+    substituted words and begins and ends with equal ones, or is the whole of
+    an item of fewer than ``min_words``, as (start in the document, words, equal words); of the longest ones
+    the first with the most equal words.
 
     Equal words gain the allowed share and others cost the rest of one, so a
     run is allowed if its sum isn't negative; the first start whose running
@@ -110,12 +130,14 @@ def overlap(doc: np.ndarray, item: np.ndarray, shift: int, max_substituted: floa
     starts = np.flatnonzero(same)
     if not len(starts):
         return 0, 0, 0
+    if len(same) == len(item) < min_words and len(item) - len(starts) <= max_substituted * len(item) + 1e-9:
+        return shift, len(item), len(starts)
     total = np.concatenate([[0.0], np.cumsum(np.where(same, max_substituted, max_substituted - 1.0))])
     lowest = np.minimum.accumulate(total[starts])
-    first = starts[np.searchsorted(-lowest, -total[starts + 1] - 1e-9)]
-    best = int(np.argmax(starts - first))
-    start, end = int(first[best]), int(starts[best]) + 1
-    return low + shift + start, end - start, int(same[start:end].sum())
+    place = np.searchsorted(-lowest, -total[starts + 1] - 1e-9)
+    words, equal = starts - starts[place], np.arange(len(starts)) - place
+    best = int(np.argmax(words * (len(same) + 1) + equal))
+    return low + shift + int(starts[place[best]]), int(words[best]) + 1, int(equal[best]) + 1
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, min_words: int = MIN_WORDS,
@@ -124,7 +146,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
     document row and benchmark item that overlap in at least ``min_words``
     words, or in the whole of a shorter item, with at most
     ``max_substituted`` of them replaced; the longest run represents the
-    pair, with the most equal words and then the first among equals.
+    pair, with the most equal words and then the first among equals. Runs
+    begin and end with equal words; a shorter item may have replaced words at
+    its ends too. The given masks find all runs for up to 20 % and at least 13 words.
 
     Words are runs of letters and digits, lower-cased, so marks between them
     don't matter. Null and empty texts, and items without words, overlap with
@@ -133,7 +157,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
     Runs a job on the benchmark for the number of blocks.
     """
     texts = docs.select("doc_id", "text")
-    return union_all([_against(texts, seeds, min_words, max_substituted) for seeds in _blocks(benchmark, masks, block_words)])
+    return union_all([_against(texts, seeds, min_words, max_substituted) for seeds in _blocks(benchmark, masks, max_substituted, block_words)])
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, min_words: int = MIN_WORDS,
@@ -141,7 +165,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, .
     """The rows of ``docs``, with all their columns, that overlap with no
     benchmark item; the same rules as ``contaminated``. Maps only."""
     at = docs.columns.index("text")
-    for seeds in _blocks(benchmark, masks, block_words):
+    for seeds in _blocks(benchmark, masks, max_substituted, block_words):
         sent = docs.sparkSession.sparkContext.broadcast(seeds)
 
         def rows(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -155,14 +179,14 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, .
     return docs
 
 
-def _blocks(benchmark: DataFrame, masks: tuple[str, ...], block_words: int) -> Iterator[Seeds]:
+def _blocks(benchmark: DataFrame, masks: tuple[str, ...], max_substituted: float, block_words: int) -> Iterator[Seeds]:
     """The benchmark's seeds, in blocks of about ``block_words`` words."""
     total = benchmark.agg(F.sum(F.size(F.split("text", " ")))).first()[0] or 0
     n_blocks = max(1, -(-int(total) // block_words))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
     for b in range(n_blocks):
         rows = benchmark.where(block == b).select("item_id", "text").collect()
-        yield Seeds(sorted(((r["item_id"], r["text"]) for r in rows), key=str), masks)
+        yield Seeds(sorted(((r["item_id"], r["text"]) for r in rows), key=str), masks, max_substituted)
 
 
 def _overlaps(seeds: Seeds, texts: list[str | None], min_words: int, max_substituted: float) -> list[tuple]:
@@ -172,7 +196,7 @@ def _overlaps(seeds: Seeds, texts: list[str | None], min_words: int, max_substit
         hashes, first = batch_hashes(texts[start:end], MARK)
         best: dict[tuple[int, int], tuple] = {}
         for t, i, shift in seeds.hits(hashes, first):
-            at, n, same = overlap(hashes[first[t]:first[t + 1]], seeds.words[i], shift, max_substituted)
+            at, n, same = overlap(hashes[first[t]:first[t + 1]], seeds.words[i], shift, max_substituted, min_words)
             if n >= min(min_words, len(seeds.words[i])):
                 best[t, i] = max(best.get((t, i), (0, 0)), (n, same, -at))
         out += [(start + t, seeds.ids[i], -at, n, same, same / len(seeds.words[i]))
