@@ -60,3 +60,29 @@ def test_links_of_counts_exactly(monkeypatch):
     a, b = N.links_of(sets, 60)
     plain = {i: set(s.tolist()) for i, s in enumerate(sets)}
     assert [(x, y) for x, y in zip(a.tolist(), b.tolist()) if x != 12 and y != 12] == brute.near_links(plain, 60)
+
+
+def test_missed_follows_a_simulation():
+    rng = np.random.default_rng(4)
+    runs, lost = 20_000, 0
+    for same in rng.binomial(N.SKETCH, 0.5, runs) / N.SKETCH:
+        alive = rng.binomial(2, same, 2)  # two picks in each of two trees, two levels
+        lost += not rng.binomial(2 * alive, same).any()
+    assert abs(N.missed(0.5, 2, 2) - lost / runs) < 0.01
+    assert N.missed(1.0, 12, 8) == 0 and N.missed(0.8, 12, 8) > N.missed(0.8, 2, 8)
+
+
+def test_links_at_the_threshold_in_a_large_family(docs_of):
+    """Texts that all share much, so that nodes go deep, in pairs that are linked exactly at the threshold."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    passage, rows = [word() for _ in range(84)], []
+    for k in range(250):
+        tail = [word() for _ in range(4)]
+        rows += [(2 * k + i, " ".join(passage + tail + [word() for _ in range(12)])) for i in range(2)]
+    sets = {i: brute.shingles(t, 1) for i, t in rows}
+    pairs = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, 500, 2)]
+    assert sum(0.78 <= x <= 0.80 for x in pairs) > 200
+    got = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(docs_of(rows), 1, 78, leaf=10).collect()}
+    want = brute.groups(sets, brute.near_links(sets, 78))
+    assert sum(got[i] != want[i] for i in want) <= 1

@@ -6,7 +6,10 @@ threshold of them on average) and a set goes on to one child for each picked
 value. Two sets at the threshold are expected to share one child of each node
 that they share, others fewer, so nodes soon hold few sets, and sets that
 are alike meet in some leaf. In a leaf all sets are compared. Several
-independent trees bring the recall to the target.
+trees bring the recall of a link at the threshold to the target: a first
+round for all sets, and as many more, each with minwise values of its own, as
+the depth reached asks for, for the sets in nodes that go deep. Those only
+look for links between components that the first round has left apart.
 
 Leaves compare sketches first; sets that may be linked are then compared on
 their full shingle sets. Neither step emits pairs: a leaf yields its groups
@@ -17,7 +20,8 @@ thousands of copies of one text cost rows in proportion to them.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,26 +33,48 @@ from tracekit.llm._common import components, local_components, partitions, small
 from tracekit.llm._text import mixed, shingle_set
 
 SKETCH = 64  # minwise values of a set, a power of two
-TREES = 8
+TREES = 8  # of a round
+RECALL = 0.9995  # of a link exactly at the threshold, at any depth
 LEAF = 1600  # sets that are compared with one another
 DEPTH = 12
-SIGMAS = 4.0  # how far a sketch may fall below the threshold: misses one link at the threshold in 30,000
+SIGMAS = 4.5  # how far a sketch may fall below the threshold: misses one link at the threshold in 100,000
+PART = (1 - RECALL) / 2 - 1e-5  # of links missed: by the levels all sets go through, and by the rounds of deep ones
 RANGE_SHINGLES = 2_000_000  # shingles of a group that are counted at a time
 SEED = 11
 
-_rng = np.random.default_rng(SEED)
-_FACTOR = _rng.integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFT = _rng.integers(1, 1 << 63, SKETCH, dtype=np.uint64)
 
+@lru_cache(64)
+def _minwise(which: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and shifts of a round's minwise values."""
+    rng = np.random.default_rng([SEED, which] if which else SEED)
+    factor = rng.integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return factor, rng.integers(1, 1 << 63, SKETCH, dtype=np.uint64)
 
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    """The minwise values, 32 bits each."""
+
+def sketch(shingles: np.ndarray, which: int = 0) -> np.ndarray:
+    """The minwise values, 32 bits each, of a round."""
+    factor, shift = _minwise(which)
     low = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), 4096):
-        np.minimum(low, (shingles[at:at + 4096, None] * _FACTOR + _SHIFT).min(0), out=low)
+        np.minimum(low, (shingles[at:at + 4096, None] * factor + shift).min(0), out=low)
     return (mixed(low) >> np.uint64(32)).astype(np.uint32)
 
 
+def missed(threshold: float, levels: int, trees: int) -> float:
+    """How often two sets exactly at the threshold share no node below so
+    many levels in any tree of a round. The trees are independent given how
+    many of the round's minwise values agree, which is binomial."""
+    often, rest = divmod(1 / threshold, 1)
+    total = 0.0
+    for k in range(SKETCH + 1):
+        same, lost = k / SKETCH, 0.0
+        for _ in range(levels):
+            one = 1 - same + same * lost
+            lost = one ** often * (1 - rest + rest * one)
+        total += math.comb(SKETCH, k) * threshold ** k * (1 - threshold) ** (SKETCH - k) * lost ** trees
+    return total
+
+
 def _sets(docs: DataFrame, size: int, threshold: float, trees: int) -> DataFrame:
     """A row per document: its set's size, digest, sketch (``path`` and its
     low bits), and the nodes below the roots of all trees."""
@@ -68,9 +94,13 @@ def _sets(docs: DataFrame, size: int, threshold: float, trees: int) -> DataFrame
 
     sets = (docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
             .mapInArrow(rows, "doc_id long, text_hash long, n long, sig binary, path array<int>, bits binary"))
-    roots = F.array(*[F.xxhash64(F.lit(SEED), F.lit(t)) for t in range(trees)])
-    below = F.filter(F.flatten(F.transform(roots, lambda root: _picked(root, threshold))), lambda node: node.isNotNull())
-    return sets.withColumn("below", below).withColumn("row", F.monotonically_increasing_id())
+    return sets.withColumn("below", _below(F.lit(0), threshold, trees)).withColumn("row", F.monotonically_increasing_id())
+
+
+def _below(which: Column, threshold: float, trees: int) -> Column:
+    """The nodes below the roots of a round's trees."""
+    roots = F.array(*[F.xxhash64(F.lit(SEED), (which * trees + t).cast("int")) for t in range(trees)])
+    return F.filter(F.flatten(F.transform(roots, lambda root: _picked(root, threshold))), lambda node: node.isNotNull())
 
 
 def _picked(node: Column, threshold: float) -> Column:
@@ -87,32 +117,45 @@ def _picked(node: Column, threshold: float) -> Column:
     return F.array(*[child(k) for k in range(int(often))], F.when(extra, child(int(often))))
 
 
-def _leaves(first: DataFrame, classes: DataFrame, threshold: float, leaf: int, depth: int) -> DataFrame:
-    """(node, cls) of all leaves with two sets or more."""
-    level = classes.select("cls", F.explode("below").alias("node"))
-    leaves, paths = [], None
+def _leaves(paths_of: DataFrame, classes: DataFrame, threshold: float, leaf: int, depth: int,
+            shallow: int) -> tuple[DataFrame, int, DataFrame | None]:
+    """(node, cls) of all leaves with two sets or more, the levels gone
+    through, and the sets in nodes that go below level ``shallow``.
+
+    ``paths_of`` has the path of each cls; both tables may have several
+    rounds ``which``. With a column ``root``, the component so far, nodes
+    within one component are left out."""
+    keys = [c for c in ("cls", "which", "root") if c in classes.columns]
+    own = [c for c in keys if c != "root"]
+    out = ["node", *[c for c in keys if c != "which"]]
+    level = classes.select(*keys, F.explode("below").alias("node"))
+    leaves, paths, deep = [], None, None
     for d in range(depth):
         nodes = written(level, "dup-nodes")
-        counts = written(nodes.groupBy("node").agg(F.count("*").alias("m")).where("m > 1"), "dup-counts")
+        sizes = [F.count("*").alias("m")] + [f("root").alias(n) for f, n in ((F.min, "low"), (F.max, "high")) if "root" in keys]
+        counts = written(nodes.groupBy("node").agg(*sizes).where("m > 1 and low < high" if "root" in keys else "m > 1").select("node", "m"), "dup-counts")
         largest = counts.agg(F.max("m")).first()[0] or 0
-        leaves.append(nodes.join(counts.where(F.col("m") <= leaf), "node").select("node", "cls"))
+        leaves.append(nodes.join(counts.where(F.col("m") <= leaf), "node").select(*out))
+        if d == 0 and shallow == 0:
+            deep = nodes.select("cls").distinct()
         if largest <= leaf:
-            return union_all(leaves)
-        inner = nodes.join(counts.where(F.col("m") > leaf), "node").select("node", "cls")
+            return union_all(leaves), d + 1, deep
+        inner = nodes.join(counts.where(F.col("m") > leaf), "node").select("node", *keys)
         if d == depth - 1:
             break
+        if d + 1 == shallow:
+            deep = inner.select("cls").distinct()
         if paths is None:  # only of the sets that go on
-            paths = written(first.join(inner.select(F.col("cls").alias("row")).distinct(), "row", "left_semi")
-                            .select(F.col("row").alias("cls"), "path"), "dup-paths")
-        level = inner.join(paths, "cls").select("cls", F.explode(_picked(F.col("node"), threshold)).alias("node")).where("node is not null")
+            paths = written(paths_of.join(inner.select(*own).distinct(), own, "left_semi").select(*own, "path"), "dup-paths")
+        level = inner.join(paths, own).select(*keys, F.explode(_picked(F.col("node"), threshold)).alias("node")).where("node is not null")
     # sets that stay together however deep are compared in blocks: every two blocks of such a node make a leaf
     half = leaf // 2
     sized = nodes.join(counts.where(F.col("m") > leaf), "node")
     n_blocks = F.ceil(F.col("m") / half).cast("int")
-    own = sized.select("node", "cls", n_blocks.alias("b"), F.pmod(F.xxhash64("cls"), n_blocks).cast("int").alias("i"))
-    other = own.select("*", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("j"))
-    leaves.append(other.select(F.xxhash64("node", F.least("i", "j"), F.greatest("i", "j")).alias("node"), "cls"))
-    return union_all(leaves)
+    dealt = sized.select(*out, n_blocks.alias("b"), F.pmod(F.xxhash64("cls"), n_blocks).cast("int").alias("i"))
+    other = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("j"))
+    leaves.append(other.select(F.xxhash64("node", F.least("i", "j"), F.greatest("i", "j")).alias("node"), *out[1:]))
+    return union_all(leaves), depth, deep
 
 
 def _maybe_linked(n: np.ndarray, bits: np.ndarray, percent: int, least: int) -> np.ndarray:
@@ -125,7 +168,8 @@ def _maybe_linked(n: np.ndarray, bits: np.ndarray, percent: int, least: int) ->
 
 
 def _screen(leaves: DataFrame, first: DataFrame, percent: int) -> DataFrame:
-    """(grp, cls): the groups of maybe linked sets of every leaf, each once."""
+    """(grp, cls): the groups of maybe linked sets of every leaf, each once;
+    where leaves have the component so far, by links between two of them."""
     least = math.floor(SKETCH * percent / 100 - SIGMAS * math.sqrt(SKETCH * percent / 100 * (1 - percent / 100)))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,17 +178,21 @@ def _screen(leaves: DataFrame, first: DataFrame, percent: int) -> DataFrame:
             bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint16).reshape(-1, SKETCH)
             bounds = np.flatnonzero(np.r_[True, node[1:] != node[:-1], True])
             size = np.diff(bounds)
+            root = table.column("root").to_numpy() if "root" in table.column_names else np.arange(len(node))
             left, right = [], []
             # small leaves all at once, by the distance of two rows
             few = np.repeat(size <= 16, size)
             for k in range(1, min(16, int(size.max(initial=0)))):
-                i = np.flatnonzero((node[k:] == node[:-k]) & few[k:])
+                i = np.flatnonzero((node[k:] == node[:-k]) & few[k:] & (root[k:] != root[:-k]))
                 i = i[100 * np.minimum(n[i], n[i + k]) >= percent * np.maximum(n[i], n[i + k])]
                 i = i[(bits[i] == bits[i + k]).sum(1) >= least]
                 left.append(i)
                 right.append(i + k)
             for start, m in zip(bounds[:-1][size > 16], size[size > 16]):
-                a, b = np.nonzero(np.triu(_maybe_linked(n[start:start + m], bits[start:start + m], percent, least), 1))
+                apart = root[start:start + m, None] != root[None, start:start + m]
+                if not apart.any():
+                    continue
+                a, b = np.nonzero(np.triu(_maybe_linked(n[start:start + m], bits[start:start + m], percent, least) & apart, 1))
                 left.append(a + start)
                 right.append(b + start)
             a, b = (np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64) for x in (left, right))
@@ -154,25 +202,41 @@ def _screen(leaves: DataFrame, first: DataFrame, percent: int) -> DataFrame:
             np.add.at(key, label[active], mixed(cls[active].astype(np.uint64) + np.uint64(1)))
             yield pa.RecordBatch.from_arrays([pa.array(mixed(key)[label[active]].view(np.int64)), pa.array(cls[active])], names=["grp", "cls"])
 
-    full = leaves.join(first.select(F.col("row").alias("cls"), "n", "bits"), "cls").select("node", "cls", "n", "bits")
+    full = leaves.join(first.select(F.col("row").alias("cls"), "n", "bits"), "cls").select(*leaves.columns, "n", "bits")
     dealt = full.repartition(partitions(leaves.sparkSession), "node").sortWithinPartitions("node")
     return dealt.mapInArrow(rows, "grp long, cls long").distinct()
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(cls, shingles) of the wanted (cls, sig, doc_id, text_hash), computed
-    again from those texts, of which equal rows count once."""
+def _from_texts(docs: DataFrame, wanted: DataFrame, size: int, made: Callable[[np.ndarray], object], kind: str, arrow: pa.DataType) -> DataFrame:
+    """(cls, made) of the wanted (cls, sig, doc_id, text_hash), what is made
+    of the full sets, which are computed again from those texts, of which
+    equal rows count once."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(text, size).tobytes() for text in batch.column(0).to_pylist()]
-            sig = [xxhash.xxh3_128_digest(f) for f in found]
-            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(found, pa.binary())], names=["sig", "shingles"])
+            found = [shingle_set(text, size) for text in batch.column(0).to_pylist()]
+            sig = [xxhash.xxh3_128_digest(f.tobytes()) for f in found]
+            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array([made(f) for f in found], arrow)], names=["sig", "made"])
 
     ids = small_table(written(wanted.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")), "dup-wanted"))
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("__hash"))
     texts = texts.join(ids, texts["doc_id"].eqNullSafe(ids["id"]) & (texts["__hash"] == ids["hash"]), "left_semi")
-    sets = texts.dropDuplicates(["doc_id", "__hash"]).select("text").mapInArrow(rows, "sig binary, shingles binary")
-    return sets.join(small_table(written(wanted.select("sig", "cls"), "dup-sigs")), "sig").select("cls", "shingles")
+    sets = texts.dropDuplicates(["doc_id", "__hash"]).select("text").mapInArrow(rows, f"sig binary, made {kind}")
+    return sets.join(small_table(written(wanted.select("sig", "cls"), "dup-sigs")), "sig").select("cls", "made")
+
+
+def _full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(cls, shingles) of the wanted."""
+    return _from_texts(docs, wanted, size, lambda found: found.tobytes(), "binary", pa.binary()).withColumnRenamed("made", "shingles")
+
+
+def _more_paths(docs: DataFrame, wanted: DataFrame, size: int, threshold: float, trees: int, start: int, rounds: int) -> DataFrame:
+    """(cls, which, path, below) of the wanted for rounds from ``start`` on."""
+    def paths(found: np.ndarray) -> list[np.ndarray]:
+        return [sketch(found, w).view(np.int32).tolist() for w in range(start, start + rounds)]
+
+    made = _from_texts(docs, wanted, size, paths, "array<array<int>>", pa.list_(pa.list_(pa.int32())))
+    each = made.select("cls", F.posexplode("made").alias("at", "path")).select("cls", (F.col("at") + start).alias("which"), "path")
+    return each.withColumn("below", _below(F.col("which"), threshold, trees))
 
 
 def links_of(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -239,10 +303,29 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, trees: in
         F.min("doc_id").alias("rep"), F.min("row").alias("cls"), F.first("below").alias("below"),
         F.min_by(F.struct("doc_id", "text_hash"), "row").alias("at")), "dup-classes")
 
-    groups = written(_screen(_leaves(first, classes, percent / 100, leaf, depth), first, percent), "dup-groups")
-    wanted = written(classes.join(groups.select("cls").distinct(), "cls", "left_semi").select("cls", "sig", "at.*"), "dup-active")
-    sets = written(_full_sets(docs, wanted, size), "dup-full")
-    roots = components(written(_confirm(groups, sets, percent), "dup-links"), "dup-components")
+    def texts_of(members: DataFrame) -> DataFrame:
+        return written(classes.join(members, "cls", "left_semi").select("cls", "sig", "at.*"), "dup-active")
+
+    def links(leaves: DataFrame) -> DataFrame:
+        groups = written(_screen(leaves, first, percent), "dup-groups")
+        sets = written(_full_sets(docs, texts_of(groups.select("cls").distinct()), size), "dup-full")
+        return written(_confirm(groups, sets, percent), "dup-links")
+
+    threshold = percent / 100
+    shallow = next(d for d in range(depth + 1) if d == depth or missed(threshold, d + 1, trees) > PART)
+    leaves, levels, deep = _leaves(first.select(F.col("row").alias("cls"), "path"), classes, threshold, leaf, depth, shallow)
+    found = links(leaves)
+    roots = components(found, "dup-components")
+    left, done = missed(threshold, levels, trees), 1
+    wanted = texts_of(deep) if left > PART else None
+    while left > PART:
+        rounds = math.ceil(math.log(PART / left) / math.log(missed(threshold, levels, trees)))
+        more = written(_more_paths(docs, wanted, size, threshold, trees, done, rounds)
+                       .join(roots.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), "dup-more")
+        leaves, levels, _ = _leaves(more.select("cls", "which", "path"), more, threshold, leaf, depth, depth)
+        found = written(found.union(links(leaves)), "dup-links")
+        roots = components(found, "dup-components")
+        left, done = left * missed(threshold, levels, trees) ** rounds, done + rounds
 
     linked = roots.join(classes.select(F.col("cls").alias("id"), "sig", "rep"), "id")
     smallest = linked.groupBy("root").agg(F.min("rep").alias("smallest"))
