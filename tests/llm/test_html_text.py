@@ -72,3 +72,11 @@ def test_any_markup_parses(parts):
     tree = H.parse("".join(parts))
     assert all(up < i for i, up in enumerate(tree.parent))
     assert all(t == " ".join(t.split()) and t for t in tree.text if t is not None)
+
+
+def test_unclosed_skipped_elements_end():
+    texts = lambda page: [t for t in H.parse(page).text if t is not None]
+    assert texts("<html><head><title>T</title><article><p>Text</p></article></html>") == ["Text"]
+    for tag in ("select", "object", "svg", "template", "map", "audio", "video"):
+        assert texts(f"<div><p>a</p><div><{tag}>no</div><p>b</p></div>") == ["a", "b"]
+        assert texts(f"<div><{tag}><div><p>no</p></div>no</{tag}>b</div>") == ["b"]

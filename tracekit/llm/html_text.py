@@ -80,7 +80,8 @@ def parse(page: str | None) -> Tree:
     page = page or ""
     stack = [tree.add(-1, "html")]
     run: list[str] = []
-    linked = at = skipping = 0
+    linked = at = 0
+    skipping: list[str] = []  # open skipped elements and the blocks in them
     in_link = False
 
     def flush() -> None:
@@ -112,15 +113,30 @@ def parse(page: str | None) -> Tree:
         ending = (m["end"] or m["end2"]) == "/"
         if tag in _SKIPPED_SET:
             if ending:
-                skipping = max(0, skipping - (tag not in RAW))
+                if tag in skipping:
+                    while skipping.pop() != tag:
+                        pass
             elif tag in RAW:
                 end = _RAW_END[tag].search(page, at)
                 at = end.start() if end else len(page)
             elif not (m["attrs"] or "").endswith("/"):
-                skipping += 1
+                skipping.append(tag)
             continue
         if tag == "body":
-            skipping = 0
+            skipping.clear()
+        elif skipping == ["head"] and not ending and tag in _BLOCK_SET and tag != "html":
+            skipping.clear()  # both tags of head are optional
+        if skipping and (tag in _BLOCK_SET or "-" in tag):
+            if not ending:
+                skipping.append(tag)
+                continue
+            if tag in skipping:
+                while skipping.pop() != tag:
+                    pass
+                continue
+            if tag not in (tree.tag[i] for i in stack[1:]):
+                continue
+            skipping.clear()  # the block that unclosed skipped elements stand in ends
         if skipping:
             continue
         if tag in BREAKS:
