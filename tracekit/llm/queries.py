@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tracekit.llm import decontaminate, embed_dup, html_text, language_model, licenses, mixing, near_dup, quality, sharding, url_filter
+from tracekit.llm import (bpe, decontaminate, embed_dup, html_text, language_model, licenses, mixing, near_dup, quality, sharding,
+                          url_filter)
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_near_duplicates": near_dup.op9_near_duplicates,
     "op10_mixing": mixing.op10_mixing,
+    "op13_byte_bpe": bpe.op13_byte_bpe,
 }
 
 ORACLE = {
