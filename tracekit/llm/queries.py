@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracekit.llm import (bpe, decontaminate, embed_dup, html_text, language_model, licenses, mixing, near_dup, quality, sharding,
+from tracekit.llm import (bpe, centroids, decontaminate, embed_dup, html_text, language_model, licenses, mixing, near_dup, quality, sharding,
                           url_filter)
 
 QUERIES = {
@@ -16,10 +16,12 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_near_duplicates": near_dup.op9_near_duplicates,
     "op10_mixing": mixing.op10_mixing,
+    "op12_centroids": centroids.op12_centroids,
     "op13_byte_bpe": bpe.op13_byte_bpe,
 }
 
 ORACLE = {
     "op5_url_filter": url_filter.ORACLE_SQL,
     "op10_mixing": mixing.ORACLE_SQL,
+    "op12_centroids": centroids.ORACLE_SQL,
 }
