@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tracekit.llm import (bpe, centroids, decontaminate, embed_dup, html_text, language_model, licenses, mixing, near_dup, quality, sharding,
-                          url_filter)
+                          token_align, url_filter)
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_near_duplicates": near_dup.op9_near_duplicates,
     "op10_mixing": mixing.op10_mixing,
+    "op11_token_alignment": token_align.op11_token_alignment,
     "op12_centroids": centroids.op12_centroids,
     "op13_byte_bpe": bpe.op13_byte_bpe,
 }
@@ -23,5 +24,6 @@ QUERIES = {
 ORACLE = {
     "op5_url_filter": url_filter.ORACLE_SQL,
     "op10_mixing": mixing.ORACLE_SQL,
+    "op11_token_alignment": token_align.op11_token_alignment,
     "op12_centroids": centroids.ORACLE_SQL,
 }
