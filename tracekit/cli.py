@@ -165,7 +165,8 @@ def cmd_assemble(spark, a) -> None:
     steps = J.read_dataset(spark, a.steps, fmt=a.format)
     questions = J.read_dataset(spark, a.questions, fmt=a.format)
     records = P.generate_records(steps, questions, a.mode, a.num_waits, a.max_model_len,
-                                 tokenizer_file=a.tokenizer_file, score_full_prompt=a.score_full_prompt)
+                                 tokenizer_file=a.tokenizer_file, score_full_prompt=a.score_full_prompt,
+                                 symbolic=not a.strings_only)
     summary = J.write_split(records.drop("tokens"), a.output, J.derived_name(a.output, "correct"))
     print("== written")
     print(json.dumps(summary.asDict()))
@@ -252,6 +253,7 @@ def build_parser() -> argparse.ArgumentParser:
     g.add_argument("--tokenizer_file", default=None)
     g.add_argument("--format", default=None, choices=["json", "parquet"])
     g.add_argument("--score_full_prompt", action="store_true")
+    g.add_argument("--strings_only", action="store_true", help="compare answers as strings and numbers, not as expressions")
 
     n = sub.add_parser("next-round")
     n.add_argument("questions")

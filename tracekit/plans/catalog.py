@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
@@ -240,6 +240,47 @@ def q_score_answers(spark, sf):
     return out.select("index", "pred", "gold", "exact_match")
 
 
+# Answers as formulas of a number r, and the kind of each: 0 the number, 1 times
+# the root of 2, 2 and 3 the polynomials x + r and its square, 4 no formula.
+_WRITTEN = [("{r}", 0), ("\\frac{{{r2}}}{{2}}", 0), ("\\sqrt{{{rr}}}", 0), ("{r}.0", 0), ("{r}\\sqrt{{2}}", 1), ("\\sqrt{{{rr2}}}", 1),
+            ("\\frac{{{r2}}}{{\\sqrt{{2}}}}", 1), ("x+{r}", 2), ("\\frac{{x^2-{rr}}}{{x-{r}}}", 2), ("(x+{r})^2", 3), ("x^2+{r2}x+{rr}", 3),
+            ("{r}\\mapsto x", 4)]
+_GOLD_WRITTEN = ["{r}", "{r}\\sqrt{{2}}", "{r}+x", "(x+{r})(x+{r})", "{r}\\mapsto x"]
+
+
+def _formula(template: str, r: Column) -> Column:
+    """The template with the numbers of ``r`` filled in."""
+    out = F.lit(template.replace("{{", "{").replace("}}", "}")) if "{r" not in template else None
+    if out is None:
+        marks = {"{r}": r, "{r2}": r * 2, "{rr}": r * r, "{rr2}": r * r * 2}
+        parts, rest = [], template
+        while any(m in rest for m in marks):
+            at, mark = min((rest.index(m), m) for m in marks if m in rest)
+            parts += [F.lit(rest[:at].replace("{{", "{").replace("}}", "}")), marks[mark].cast("string")]
+            rest = rest[at + len(mark):]
+        out = F.concat(*parts, F.lit(rest.replace("{{", "{").replace("}}", "}")))
+    return out
+
+
+@register("symbolic_answers", """
+select index, cast(kind = gold_kind and r = m as int) as exact_match
+from (select doc_id as index, doc_id % 89 + 2 as m, doc_id % 89 + 2 + case when doc_id % 7 = 0 then 1 else 0 end as r,
+        case when doc_id % 12 < 4 then 0 when doc_id % 12 < 7 then 1 when doc_id % 12 < 9 then 2 when doc_id % 12 < 11 then 3 else 4 end as kind,
+        case when doc_id % 2 = 0 then kind else (doc_id // 12) % 5 end as gold_kind
+      from documents)""")
+def q_symbolic_answers(spark, sf):
+    d = X.table(spark, sf, "documents")
+    m = F.col("doc_id") % 89 + 2
+    r = m + F.when(F.col("doc_id") % 7 == 0, 1).otherwise(0)
+    written = F.get(F.array(*[_formula(t, r) for t, _ in _WRITTEN]), (F.col("doc_id") % 12).cast("int"))
+    kind = F.get(F.array(*[F.lit(k) for _, k in _WRITTEN]), (F.col("doc_id") % 12).cast("int"))
+    gold_kind = F.when(F.col("doc_id") % 2 == 0, kind).otherwise(F.floor(F.col("doc_id") / 12) % 5).cast("int")
+    traces = d.select(F.col("doc_id").alias("index"),
+                      F.concat(F.coalesce("text", F.lit("")), F.lit(" So $\\boxed{"), written, F.lit("}$.")).alias("model_response"))
+    gold = d.select(F.col("doc_id").alias("index"), F.get(F.array(*[_formula(t, m) for t in _GOLD_WRITTEN]), gold_kind).alias("answer"))
+    return score(traces, gold, "index", symbolic=True).select("index", "exact_match")
+
+
 # --------------------------------------------------------------------------- budget assembly
 
 def _budget_sql(mode: str, num_waits: int, max_len: int, select: str, whole_prompt: bool = False) -> str:

@@ -81,7 +81,7 @@ def generate_records(steps: DataFrame, questions: DataFrame, mode: str = "budget
                      num_waits: int = 5, max_model_len: int = 4096,
                      question_col: str = "problem", answer_col: str = "answer",
                      tokenizer_file: str | None = None, score_full_prompt: bool = False,
-                     validate: bool = True) -> DataFrame:
+                     validate: bool = True, symbolic: bool = False) -> DataFrame:
     """Trace records from recorded generation steps and the question set.
 
     ``questions`` has sample_id, problem and answer, or a worked solution to
@@ -93,6 +93,7 @@ def generate_records(steps: DataFrame, questions: DataFrame, mode: str = "budget
     text is scored against the gold answer. ``score_full_prompt`` scores the
     whole text instead, prompt included — whose system line itself holds an
     empty box, so a response without a box then scores as the empty answer.
+    ``symbolic`` compares answers as expressions too.
     """
     if validate:
         check_unique_key(questions, "sample_id")
@@ -102,7 +103,8 @@ def generate_records(steps: DataFrame, questions: DataFrame, mode: str = "budget
                                   marker_tokens=marker_lengths(tokenizer_file))
     joined = (assembled.join(q, "sample_id", "left")
                        .withColumn("response", F.concat(F.coalesce("_prompt", F.lit("")), F.col("generation"))))
-    scored = score_columns(joined, "response" if score_full_prompt else "generation", "_gold", normalize_gold=False)
+    scored = score_columns(joined, "response" if score_full_prompt else "generation", "_gold", normalize_gold=False,
+                           symbolic=symbolic)
     return scored.select(F.col("sample_id").alias("index"),
                          F.col("_problem").alias("problem"),
                          py_strip(F.col("_answer")).alias("ground_truth"),
