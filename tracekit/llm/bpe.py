@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
@@ -51,22 +52,49 @@ class _Kept(dict):
         return value
 
 
-@lru_cache(8)
-def library_pattern(pattern: str) -> str:
-    r"""``pattern`` for the regex module, matching as the tokenizer library
-    does: letters (``\p{L}``) and numbers (``\p{N}``) of a Unicode version newer
-    than the library's are neither there. Which these are, the library says."""
-    every = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i <= 0xDFFF)
-    for kind in (r"\p{L}", r"\p{N}"):
+LETTER, NUMBER = r"\p{L}", r"\p{N}"
+
+
+@lru_cache(2)
+def newer_characters() -> dict[str, str]:
+    r"""The letters (``\p{L}``) and numbers (``\p{N}``) of a Unicode version
+    newer than the tokenizer library's, which are neither there. Which these
+    are, the library says."""
+    every, found = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i <= 0xDFFF), {}
+    for kind in (LETTER, NUMBER):
         library = tiktoken.Encoding("class", pat_str=kind, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
         known = set(bytes(library.encode_ordinary(every)).decode())
-        newer = np.array([ord(c) for c in regex.findall(kind, every) if c not in known])
-        if len(newer):
-            runs = np.split(newer, np.flatnonzero(np.diff(newer) > 1) + 1)
+        found[kind] = "".join(c for c in regex.findall(kind, every) if c not in known)
+    return found
+
+
+def library_pattern(pattern: str) -> str:
+    """``pattern`` for the regex module without the newer characters."""
+    for kind, newer in newer_characters().items():
+        if newer:
+            points = np.array([ord(c) for c in newer])
+            runs = np.split(points, np.flatnonzero(np.diff(points) > 1) + 1)
             pattern = pattern.replace(kind, f"[{kind}--[{''.join(rf'\U{r[0]:08X}-\U{r[-1]:08X}' for r in runs)}]]")
     return pattern
 
 
+def ascii_pattern(pattern: str) -> re.Pattern | regex.Pattern:
+    """The same matches in ASCII texts, by Python's own faster module where
+    it knows all that is left of the pattern."""
+    inside, out = False, []
+    for part in regex.findall(r"\\p\{\w+\}|\\.|.", pattern, flags=regex.DOTALL):
+        if part in (LETTER, NUMBER):
+            part = {LETTER: "A-Za-z", NUMBER: "0-9"}[part]
+            part = part if inside else f"[{part}]"
+        elif part in "[]":
+            inside = part == "["
+        out.append(part)
+    plain = "".join(out)
+    if regex.search(r"\\[pPX]|\[\[|\[\^?\]|&&|\|\||--|~~", plain):
+        return regex.compile(pattern)
+    return re.compile(plain, re.ASCII)
+
+
 class Vocabulary:
     """Ranks of byte strings and the pattern that splits texts into pieces."""
 
@@ -76,9 +104,14 @@ class Vocabulary:
             raise ValueError(f"no rank for the bytes {absent[:8]}")
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
-        self.longest, self._never = max(map(len, ranks)), max(ranks.values()) + 1
-        # newer letters and numbers are not ASCII
-        self._ascii, self._split = regex.compile(pattern), regex.compile(library_pattern(pattern), regex.V1)
+        self._never = max(ranks.values()) + 1
+        # the longest token by its last three bytes; of the other tokens none is longer than these
+        self._tails: dict[bytes, int] = {}
+        for token in ranks:
+            if len(token) > 2:
+                self._tails[token[-3:]] = max(len(token), self._tails.get(token[-3:], 0))
+        self._ascii, self._common, self._any = ascii_pattern(pattern), regex.compile(pattern), regex.compile(library_pattern(pattern), regex.V1)
+        self._newer = frozenset("".join(newer_characters().values()))
         self._edges = _Kept(self._edges_of)
         self._pair = _Kept(self._follows, 5 * KEPT)
         self._packed: dict[str, bytes] = {}
@@ -89,9 +122,11 @@ class Vocabulary:
         lines = (line.split() for line in data.splitlines() if line.strip())
         return cls({base64.b64decode(token): int(rank) for token, rank in lines}, pattern)
 
-    def split(self, text: str) -> regex.Pattern:
-        """The pattern for ``text``."""
-        return self._ascii if text.isascii() else self._split
+    def split(self, text: str) -> re.Pattern | regex.Pattern:
+        """The pattern for ``text``; three forms that match alike."""
+        if text.isascii():
+            return self._ascii
+        return self._common if self._newer.isdisjoint(text) else self._any
 
     def merge(self, piece: bytes, seen: list[tuple[int, list[bytes]]] | None = None) -> list[int]:
         """The encoding by its definition, for strings of a token or two:
@@ -145,8 +180,9 @@ class Vocabulary:
         """Complete ``last``, the last tokens of the prefixes of ``piece``
         (of 1, 2, ... bytes), which holds those of the first few; the number
         of prefixes added."""
-        find, edges, pair, longest, before = self.ranks.get, self._edges, self._pair, self.longest, len(last)
+        find, edges, pair, tail, before = self.ranks.get, self._edges, self._pair, self._tails.get, len(last)
         for end in range(before + 1, len(piece) + 1):
+            longest = tail(piece[end - 3:end], 2) if end > 2 else 2
             for start in range(end - longest if end > longest else 0, end):
                 token = find(piece[start:end])
                 if token is not None and edges[token] and (not start or pair[last[start - 1], token]):
@@ -182,13 +218,13 @@ class Vocabulary:
     def pieces(self, text: str, at: int = 0) -> Iterator[list[str]]:
         """The pieces of ``text`` from ``at`` on, a list for each slice. A
         match is taken when the characters it may depend on are in the slice."""
-        size = SLICE
+        size, split = SLICE, self.split(text)
         while at < len(text):
             end = at + size
             if end >= len(text):
-                yield self.split(text).findall(text, at)
+                yield split.findall(text, at)
                 return
-            found = [m.span() for m in self.split(text).finditer(text, at, end)]
+            found = [m.span() for m in split.finditer(text, at, end)]
             sure = [s for s in found if s[1] + REACH <= end]
             if not sure:
                 size *= 2
