@@ -11,6 +11,13 @@ round for all sets, and as many more, each with minwise values of its own, as
 the depth reached asks for, for the sets in nodes that go deep. Those only
 look for links between components that the first round has left apart.
 
+A family of many near copies would stay together in every tree. Where nodes
+below the roots hold more than a leaf, their sets are first compared with a few
+pivots of the node, on full sets; what is linked is one component from then
+on. All its sets still look for links to other components, but nodes
+within one component end, and a node of one large component and few other sets
+is compared others against all, in blocks, without going deeper.
+
 Leaves compare sketches first; sets that may be linked are then compared on
 their full shingle sets. Neither step emits pairs: a leaf yields its groups
 of maybe linked sets, and a group the links that span its linked parts, so
@@ -36,6 +43,9 @@ SKETCH = 64  # minwise values of a set, a power of two
 TREES = 8  # of a round
 RECALL = 0.9995  # of a link exactly at the threshold, at any depth
 LEAF = 1600  # sets that are compared with one another
+PIVOTS = 4  # of a node with more sets
+NEAR = 3  # of the pivots that a set meets, the most alike, are compared on full sets
+SHARE = 256  # sets compared with a pivot at a time
 DEPTH = 12
 SIGMAS = 4.5  # how far a sketch may fall below the threshold: misses one link at the threshold in 100,000
 PART = (1 - RECALL) / 2 - 1e-5  # of links missed: by the levels all sets go through, and by the rounds of deep ones
@@ -124,23 +134,38 @@ def _leaves(paths_of: DataFrame, classes: DataFrame, threshold: float, leaf: int
 
     ``paths_of`` has the path of each cls; both tables may have several
     rounds ``which``. With a column ``root``, the component so far, nodes
-    within one component are left out."""
+    within one component are left out, and nodes with few sets besides one
+    component are leaves whatever their size, in blocks of that component."""
     keys = [c for c in ("cls", "which", "root") if c in classes.columns]
     own = [c for c in keys if c != "root"]
     out = ["node", *[c for c in keys if c != "which"]]
     level = classes.select(*keys, F.explode("below").alias("node"))
-    leaves, paths, deep = [], None, None
+    leaves, paths, deep, half = [], None, None, leaf // 2
     for d in range(depth):
         nodes = written(level, "dup-nodes")
-        sizes = [F.count("*").alias("m")] + [f("root").alias(n) for f, n in ((F.min, "low"), (F.max, "high")) if "root" in keys]
-        counts = written(nodes.groupBy("node").agg(*sizes).where("m > 1 and low < high" if "root" in keys else "m > 1").select("node", "m"), "dup-counts")
-        largest = counts.agg(F.max("m")).first()[0] or 0
-        leaves.append(nodes.join(counts.where(F.col("m") <= leaf), "node").select(*out))
+        if "root" in keys:
+            parts = nodes.groupBy("node", "root").agg(F.count("*").alias("k"))
+            sizes = parts.groupBy("node").agg(F.sum("k").alias("m"), F.max_by("root", "k").alias("main"), F.max("k").alias("k"),
+                                              F.count("*").alias("parts")).where("parts > 1").drop("parts")
+        else:
+            sizes = nodes.groupBy("node").agg(F.count("*").alias("m")).where("m > 1")
+        small = F.col("m") <= leaf
+        settled = ~small & (F.col("m") - F.col("k") <= half) if "root" in keys else F.lit(False)
+        counts = written(sizes.select("*", small.alias("small"), settled.alias("settled")), "dup-counts")
+        leaves.append(nodes.join(counts.where("small"), "node").select(*out))
+        if "root" in keys:
+            # few sets besides one component: they go to every block of it
+            met = nodes.join(counts.where("settled"), "node")
+            n_blocks = F.ceil(F.col("k") / half).cast("int")
+            block = F.when(F.col("root") == F.col("main"), F.array(F.pmod(F.xxhash64("cls"), n_blocks).cast("int"))).otherwise(F.sequence(F.lit(0), n_blocks - 1))
+            met = met.select(*out, F.explode(block).alias("block"))
+            leaves.append(met.select(F.xxhash64("node", "block").alias("node"), *out[1:]))
         if d == 0 and shallow == 0:
             deep = nodes.select("cls").distinct()
-        if largest <= leaf:
+        going = counts.where("not small and not settled").select("node", "m")
+        if going.isEmpty():
             return union_all(leaves), d + 1, deep
-        inner = nodes.join(counts.where(F.col("m") > leaf), "node").select("node", *keys)
+        inner = nodes.join(going.select("node"), "node").select("node", *keys)
         if d == depth - 1:
             break
         if d + 1 == shallow:
@@ -149,8 +174,7 @@ def _leaves(paths_of: DataFrame, classes: DataFrame, threshold: float, leaf: int
             paths = written(paths_of.join(inner.select(*own).distinct(), own, "left_semi").select(*own, "path"), "dup-paths")
         level = inner.join(paths, own).select(*keys, F.explode(_picked(F.col("node"), threshold)).alias("node")).where("node is not null")
     # sets that stay together however deep are compared in blocks: every two blocks of such a node make a leaf
-    half = leaf // 2
-    sized = nodes.join(counts.where(F.col("m") > leaf), "node")
+    sized = nodes.join(going, "node")
     n_blocks = F.ceil(F.col("m") / half).cast("int")
     dealt = sized.select(*out, n_blocks.alias("b"), F.pmod(F.xxhash64("cls"), n_blocks).cast("int").alias("i"))
     other = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("j"))
@@ -158,19 +182,31 @@ def _leaves(paths_of: DataFrame, classes: DataFrame, threshold: float, leaf: int
     return union_all(leaves), depth, deep
 
 
-def _maybe_linked(n: np.ndarray, bits: np.ndarray, percent: int, least: int) -> np.ndarray:
-    """Which two sets may be linked, by their sizes and sketches."""
-    same = np.empty((len(n), len(n)), np.int16)
-    for at in range(0, len(n), 64):
-        same[at:at + 64] = (bits[at:at + 64, None] == bits[None]).sum(2)
-    ratio = 100 * np.minimum(n[:, None], n[None]) >= percent * np.maximum(n[:, None], n[None])
+def _maybe_linked(n: np.ndarray, bits: np.ndarray, rows: np.ndarray, percent: int, least: int) -> np.ndarray:
+    """Which sets may be linked to each of ``rows``, by their sizes and sketches."""
+    same = np.empty((len(rows), len(n)), np.int16)
+    for at in range(0, len(rows), 64):
+        same[at:at + 64] = (bits[rows[at:at + 64], None] == bits[None]).sum(2)
+    ratio = 100 * np.minimum(n[rows, None], n[None]) >= percent * np.maximum(n[rows, None], n[None])
     return (same >= least) & ratio
 
 
+def _least(percent: int) -> int:
+    """How many values of two sketches agree at least where sets are linked."""
+    return math.floor(SKETCH * percent / 100 - SIGMAS * math.sqrt(SKETCH * percent / 100 * (1 - percent / 100)))
+
+
+def _besides_largest(kinds: np.ndarray) -> np.ndarray:
+    """The places of all but the most frequent kind."""
+    _, which, times = np.unique(kinds, return_inverse=True, return_counts=True)
+    return np.flatnonzero(which != times.argmax())
+
+
 def _screen(leaves: DataFrame, first: DataFrame, percent: int) -> DataFrame:
-    """(grp, cls): the groups of maybe linked sets of every leaf, each once;
-    where leaves have the component so far, by links between two of them."""
-    least = math.floor(SKETCH * percent / 100 - SIGMAS * math.sqrt(SKETCH * percent / 100 * (1 - percent / 100)))
+    """(grp, cls, root): the groups of maybe linked sets of every leaf, each
+    once; where leaves have the component so far, by links between two of
+    them, else every set is its own ``root``."""
+    least = _least(percent)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "node"):
@@ -178,7 +214,8 @@ def _screen(leaves: DataFrame, first: DataFrame, percent: int) -> DataFrame:
             bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint16).reshape(-1, SKETCH)
             bounds = np.flatnonzero(np.r_[True, node[1:] != node[:-1], True])
             size = np.diff(bounds)
-            root = table.column("root").to_numpy() if "root" in table.column_names else np.arange(len(node))
+            rooted = "root" in table.column_names
+            root = table.column("root").to_numpy() if rooted else np.arange(len(node))
             left, right = [], []
             # small leaves all at once, by the distance of two rows
             few = np.repeat(size <= 16, size)
@@ -189,22 +226,25 @@ def _screen(leaves: DataFrame, first: DataFrame, percent: int) -> DataFrame:
                 left.append(i)
                 right.append(i + k)
             for start, m in zip(bounds[:-1][size > 16], size[size > 16]):
-                apart = root[start:start + m, None] != root[None, start:start + m]
-                if not apart.any():
+                own = root[start:start + m]
+                others = _besides_largest(own)
+                if not len(others):
                     continue
-                a, b = np.nonzero(np.triu(_maybe_linked(n[start:start + m], bits[start:start + m], percent, least) & apart, 1))
-                left.append(a + start)
+                maybe = _maybe_linked(n[start:start + m], bits[start:start + m], others, percent, least)
+                a, b = np.nonzero(maybe & (own[others, None] != own[None]))
+                left.append(others[a] + start)
                 right.append(b + start)
             a, b = (np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64) for x in (left, right))
             label = local_components(len(node), a, b)
             active = np.flatnonzero(np.bincount(np.r_[a, b], minlength=len(node)))
             key = np.zeros(len(node), np.uint64)
             np.add.at(key, label[active], mixed(cls[active].astype(np.uint64) + np.uint64(1)))
-            yield pa.RecordBatch.from_arrays([pa.array(mixed(key)[label[active]].view(np.int64)), pa.array(cls[active])], names=["grp", "cls"])
+            yield pa.RecordBatch.from_arrays([pa.array(mixed(key)[label[active]].view(np.int64)), pa.array(cls[active]), pa.array(root[active] if rooted else cls[active])],
+                                             names=["grp", "cls", "root"])
 
     full = leaves.join(first.select(F.col("row").alias("cls"), "n", "bits"), "cls").select(*leaves.columns, "n", "bits")
     dealt = full.repartition(partitions(leaves.sparkSession), "node").sortWithinPartitions("node")
-    return dealt.mapInArrow(rows, "grp long, cls long").distinct()
+    return dealt.mapInArrow(rows, "grp long, cls long, root long").distinct()
 
 
 def _from_texts(docs: DataFrame, wanted: DataFrame, size: int, made: Callable[[np.ndarray], object], kind: str, arrow: pa.DataType) -> DataFrame:
@@ -239,11 +279,14 @@ def _more_paths(docs: DataFrame, wanted: DataFrame, size: int, threshold: float,
     return each.withColumn("below", _below(F.col("which"), threshold, trees))
 
 
-def links_of(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+def links_of(sets: list[np.ndarray], percent: int, kinds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of sets whose intersection is at least ``percent`` of their
-    union, by counting shared shingles; only such that two sets have count."""
+    union, by counting shared shingles; only such that two sets have count.
+    With ``kinds`` only pairs of two kinds; the largest is not compared with itself."""
     n = np.array([len(s) for s in sets], np.int64)
-    common = np.zeros((len(sets), len(sets)), np.float64)
+    kinds = np.arange(len(sets)) if kinds is None else kinds
+    rows = _besides_largest(kinds) if len(sets) else np.empty(0, np.int64)
+    common = np.zeros((len(rows), len(sets)), np.float64)
     # a range of hashes at a time; sets are sorted
     bounds = [int(x) for x in np.linspace(0, float(1 << 64), 2 + int(n.sum()) // RANGE_SHINGLES)[1:-1]]
     cuts = np.array([[0, *np.searchsorted(s, np.array(bounds, np.uint64)), len(s)] for s in sets])
@@ -259,30 +302,89 @@ def links_of(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarr
             a, b = np.searchsorted(column, (start, start + 4096))
             has = np.zeros((len(sets), min(4096, int(column[-1]) + 1 - start)), np.float32)
             has[owner[a:b], column[a:b] - start] = 1
-            common += has @ has.T  # counts up to 4096 are exact in single precision
-    linked = 100 * common >= percent * (n[:, None] + n[None] - common)
-    return np.nonzero(np.triu(linked, 1))
+            common += has[rows] @ has.T  # counts up to 4096 are exact in single precision
+    linked = (100 * common >= percent * (n[rows, None] + n[None] - common)) & (kinds[rows, None] != kinds[None])
+    a, b = np.nonzero(linked)
+    pairs = np.unique(np.sort(np.column_stack([rows[a], b]), axis=1), axis=0)
+    return pairs[:, 0], pairs[:, 1]
 
 
 def _confirm(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): links that span the linked sets of every group."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "grp"):
-            grp, cls, blobs = table.column("grp").to_numpy(), table.column("cls").to_numpy(), table.column("shingles")
+            grp, cls, root = (table.column(c).to_numpy() for c in ("grp", "cls", "root"))
+            blobs = table.column("shingles")
             bounds = np.flatnonzero(np.r_[True, grp[1:] != grp[:-1], True])
             for start, end in zip(bounds[:-1], bounds[1:]):
-                a, b = links_of([np.frombuffer(x.as_buffer(), np.uint64) for x in blobs[start:end]], percent)
+                a, b = links_of([np.frombuffer(x.as_buffer(), np.uint64) for x in blobs[start:end]], percent, root[start:end])
                 label = local_components(end - start, a, b)
                 member = np.flatnonzero(label != np.arange(end - start))
                 if len(member):
                     own = cls[start:end]
                     yield pa.RecordBatch.from_arrays([pa.array(own[member]), pa.array(own[label[member]])], names=["a", "b"])
 
-    dealt = sets.join(small_table(groups), "cls").select("grp", "cls", "shingles")
+    dealt = sets.join(small_table(groups), "cls").select("grp", "cls", "root", "shingles")
     dealt = dealt.repartition(partitions(groups.sparkSession), "grp").sortWithinPartitions("grp")
     return dealt.mapInArrow(rows, "a long, b long")
 
 
+def _beside_pivots(nodes: DataFrame, first: DataFrame, percent: int, leaf: int) -> DataFrame | None:
+    """(cls, pivot): for the sets of ``nodes`` (node, cls) in one with more
+    than ``leaf``, the most alike pivots by sketches; None without such a node."""
+    chosen = F.array(*[F.min_by("cls", F.xxhash64("cls", F.lit(p))) for p in range(PIVOTS)])
+    large = written(nodes.groupBy("node").agg(F.count("*").alias("m"), chosen.alias("pivots")).where(F.col("m") > leaf)
+                    .select("node", F.explode(F.array_distinct("pivots")).alias("pivot")), "dup-pivots")
+    if large.isEmpty():
+        return None
+    least, sketches = _least(percent), first.select(F.col("row").alias("cls"), "n", "bits")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, pivot_n = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("n", "pivot_n"))
+            bits, pivot_bits = (np.frombuffer(b"".join(batch.column(batch.schema.get_field_index(c)).to_pylist()), np.uint16).reshape(-1, SKETCH)
+                                for c in ("bits", "pivot_bits"))
+            same = (bits == pivot_bits).sum(1)
+            keep = pa.array((same >= least) & (100 * np.minimum(n, pivot_n) >= percent * np.maximum(n, pivot_n)))
+            found = pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in ("cls", "pivot")), pa.array(same)],
+                                               names=["cls", "pivot", "same"])
+            yield found.filter(keep)
+
+    pairs = nodes.join(small_table(large), "node").where("cls <> pivot").select("cls", "pivot").distinct()
+    of_pivots = small_table(written(large.select("pivot").distinct().join(sketches.toDF("pivot", "pivot_n", "pivot_bits"), "pivot"), "dup-pivots"))
+    alike = pairs.join(of_pivots, "pivot").join(sketches, "cls").mapInArrow(rows, "cls long, pivot long, same long")
+    # a set has at most PIVOTS rows for each of its nodes below the roots
+    best = alike.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list(F.struct("same", "pivot")), False), 1, NEAR).alias("best"))
+    return best.select("cls", F.explode("best.pivot").alias("pivot"))
+
+
+def _linked_to_pivots(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the (cls, pivot) whose full sets are linked. A task compares
+    shares of the sets of a pivot, one at a time."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = None
+        for batch in batches:
+            found = []
+            for pivot, cls, blob in zip(*(batch.column(c) for c in ("pivot", "cls", "shingles"))):
+                own = np.frombuffer(blob.as_buffer(), np.uint64)
+                if not cls.is_valid:
+                    of = own
+                    continue
+                common = len(np.intersect1d(own, of, assume_unique=True))
+                if 100 * common >= percent * (len(own) + len(of) - common):
+                    found.append((cls.as_py(), pivot.as_py()))
+            a, b = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    shares = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
+    members = (pairs.join(small_table(written(shares, "dup-shares")), "pivot").join(sets, "cls")
+               .select("pivot", F.pmod(F.xxhash64("cls"), F.col("shares")).cast("int").alias("share"), "cls", "shingles"))
+    own = (sets.withColumnRenamed("cls", "pivot").join(shares, "pivot")
+           .select("pivot", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(None).cast("long").alias("cls"), "shingles"))
+    dealt = members.unionByName(own).repartition(partitions(pairs.sparkSession), "pivot", "share")
+    return dealt.sortWithinPartitions("pivot", "share", F.col("cls").asc_nulls_first()).mapInArrow(rows, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, trees: int = TREES, leaf: int = LEAF,
                     depth: int = DEPTH) -> DataFrame:
     """(doc_id, text_hash, n_shingles, grp, component_id, kept), a row per
@@ -313,8 +415,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, trees: in
 
     threshold = percent / 100
     shallow = next(d for d in range(depth + 1) if d == depth or missed(threshold, d + 1, trees) > PART)
-    leaves, levels, deep = _leaves(first.select(F.col("row").alias("cls"), "path"), classes, threshold, leaf, depth, shallow)
+    pairs = _beside_pivots(classes.select("cls", F.explode("below").alias("node")), first, percent, leaf)
+    members = classes
+    if pairs is not None:
+        pairs = written(pairs, "dup-pairs")
+        sets = written(_full_sets(docs, texts_of(pairs.select("cls").union(pairs.select("pivot")).distinct()), size), "dup-full")
+        family = written(_linked_to_pivots(pairs, sets, percent), "dup-links")
+        members = written(classes.join(components(family, "dup-components").withColumnRenamed("id", "cls"), "cls", "left")
+                          .withColumn("root", F.coalesce("root", "cls")), "dup-members")
+    leaves, levels, deep = _leaves(first.select(F.col("row").alias("cls"), "path"), members, threshold, leaf, depth, shallow)
     found = links(leaves)
+    if pairs is not None:
+        found = written(found.union(family), "dup-links")
     roots = components(found, "dup-components")
     left, done = missed(threshold, levels, trees), 1
     wanted = texts_of(deep) if left > PART else None
