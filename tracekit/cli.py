@@ -33,6 +33,7 @@ from .plans import pipelines as P
 from .ranking import written
 from .session import get_spark
 from .sources import jsonl as J
+from .sources import lines as L
 
 
 # Fixed value: runs with this in their path have no thinking format.
@@ -47,14 +48,14 @@ def _show(title: str, df: DataFrame) -> None:
 
 def cmd_filter(spark, a) -> None:
     """Kept records are written back as they were read, every field included.
-    Lines that are no record count as processed, not as filtered; records
-    are taken in the order of their index, those without one last."""
+    Lines that are no record count as processed, not as filtered; a cap
+    takes the first records in the order of the files' lines."""
     out = a.output or J.derived_name(a.input, "filtered")
-    lines = J.read_traces(spark, a.input, keep_line=True).where(~F.col("_blank"))
-    lines = lines.select("index", "value", "_file", "model_response", J.CORRUPT)
+    lines = J.read_traces(spark, a.input, keep_line=True, ordered=True).where(~F.col("_blank"))
+    lines = lines.select("value", *L.ORDER, "model_response", J.CORRUPT)
     valid = F.col(J.CORRUPT).isNull()
     repeats = valid & R.is_repeating(F.coalesce(F.col("model_response"), F.lit("")), a.threshold, a.min_len)
-    kept, report = S.first_n(lines, valid & ~repeats, "index", a.max_samples, filtered=repeats)
+    kept, report = S.first_n(lines, valid & ~repeats, L.ORDER, a.max_samples, filtered=repeats)
     kept.select("value").write.mode("overwrite").text(out)
     _show("filter report", report.select("*", (F.col("processed") - F.col("filtered") - F.col("saved")).alias("malformed")))
     print(f"written to {out}")

@@ -72,10 +72,10 @@ def seeded_sample(df: DataFrame, n: int | None, seed: int, key: str) -> DataFram
     return df if found is None else _up_to(df, order, *found)
 
 
-def first_n(df: DataFrame, keep: Column, order_col: str, n: int | None,
+def first_n(df: DataFrame, keep: Column, order_col: str | list[str], n: int | None,
             filtered: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """The first ``n`` kept rows in ``order_col`` order (nulls last, all kept
-    rows for None) and the processed / filtered / saved report of a pass that
+    """The first ``n`` kept rows in the order of one column or of several
+    (nulls last, all kept rows for None) and the processed / filtered / saved report of a pass that
     stops after the n-th saved row, from one decision per row.
 
     ``filtered`` tells which of the rows that aren't kept count as filtered
@@ -85,13 +85,14 @@ def first_n(df: DataFrame, keep: Column, order_col: str, n: int | None,
     counts = [F.count(F.lit(1)).alias("processed"), F.count_if("out").alias("filtered"), F.count_if("kept").alias("saved")]
     if n == 0:
         return df.limit(0), df.select(out.alias("out"), keep.alias("kept")).limit(0).agg(*counts)
-    rows = written(df.select(_total_order(df, [F.col(order_col)]).alias("key"),
+    order = _total_order(df, [F.col(c) for c in ([order_col] if isinstance(order_col, str) else order_col)])
+    rows = written(df.select(order.alias("key"),
                              F.coalesce(keep, F.lit(False)).alias("kept"), out.alias("out")), "keep-decisions")
     found = None if n is None else _nth(rows.where("kept"), n)
     if found is None:
         return filter_here(df, keep), rows.agg(*counts)
     cut, ties = found
-    kept = _up_to(df, _total_order(df, [F.col(order_col)]), cut, ties)
+    kept = _up_to(df, order, cut, ties)
     before = rows.where(F.col("key") < cut)
     report = before.agg(*counts).select(*[(F.col(c) + extra).cast("bigint").alias(c)
                                           for c, extra in (("processed", ties), ("filtered", 0), ("saved", ties))])

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import py_strip
+from .lines import read_lines
 
 TRACE_SCHEMA = T.StructType([
     T.StructField("index", T.LongType()),
@@ -49,12 +50,13 @@ def parse_lines(lines: DataFrame, schema: T.StructType | str, line_col: str = "v
 
 
 def read_traces(spark: SparkSession, path: str, schema: T.StructType = TRACE_SCHEMA,
-                keep_line: bool = False) -> DataFrame:
+                keep_line: bool = False, ordered: bool = False) -> DataFrame:
     """Trace records from JSONL files, malformed lines kept and marked.
     ``_file`` carries each line's source path (for budget-from-path); with
     ``keep_line`` the raw line stays in ``value`` (to write records back
-    with every field they had)."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"))
+    with every field they had); with ``ordered`` the columns ``lines.ORDER``
+    order the records as their files do."""
+    lines = read_lines(spark, path) if ordered else spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"))
     return parse_lines(lines, schema, keep_line_col=keep_line)
 
 
