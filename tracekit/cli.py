@@ -23,12 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import chat as C
-from .functions.records import as_correct_json, budget_from_path, first_response, path_value
+from .functions.records import as_correct_json, budget_from_path, first_response, with_fallback
 from .functions.text import py_strip, token_len
 from .operators import budget as B
 from .operators import repeat as R
+from .operators import ordering as D
 from .operators import sampling as S
 from .operators import stats as ST
+from .operators.scoring import check_unique_key
 from .plans import pipelines as P
 from .ranking import written
 from .session import get_spark
@@ -72,15 +74,8 @@ def cmd_stream_filter(spark, a) -> None:
 
 
 def _harness_fields(lines: DataFrame, prompt_path: str, response_path: str) -> DataFrame:
-    """prompt / response by path, with the harness layout as fallback when
-    both come out empty."""
-    line = F.col("value")
-    p, r = path_value(line, prompt_path), path_value(line, response_path)
-    both_empty = (p == "") & (r == "")
-    prompt = F.when(both_empty, F.coalesce(F.get_json_object(line, "$.doc.problem"), p)).otherwise(p)
-    resp = F.when(both_empty, F.coalesce(first_response(F.get_json_object(line, "$.filtered_resps")), r)
-                  ).otherwise(r)
-    return lines.select("value", prompt.alias("prompt"), resp.alias("response"))
+    prompt, response = with_fallback(F.col("value"), prompt_path, response_path)
+    return lines.select("value", prompt.alias("prompt"), response.alias("response"))
 
 
 def _json_lines(spark, path: str) -> DataFrame:
@@ -150,15 +145,18 @@ def cmd_compare(spark, a) -> None:
 
 
 def cmd_train_rows(spark, a) -> None:
+    """Rows are written in their training order: the seeded order of the
+    files' rows, or with a key of the rows in the key's order."""
     data = J.read_dataset(spark, a.input, fmt=a.format)
-    key = a.key if a.key in data.columns else None
-    if key is None:
-        # a content key: the same rows are drawn however the files are split
-        data = data.withColumn("_row", F.md5(F.to_json(F.struct(*data.columns))))
-        key = "_row"
-    rows = P.training_rows(data, a.max_train_samples, a.shuffle_seed, key, a.prompt_column,
+    if a.key:
+        check_unique_key(data, a.key)
+        sampled = D.ordered_sample(data, a.key, a.max_train_samples, a.shuffle_seed, "_place")
+    else:
+        numbered = L.with_line_numbers(L.with_order(data), "_line")
+        sampled = D.in_seeded_order(numbered, "_line", a.shuffle_seed, a.max_train_samples, "_place").drop("_line", *L.ORDER)
+    rows = P.training_rows(sampled, None, a.shuffle_seed, "_place", a.prompt_column,
                            a.response_column, a.system_prompt or None, a.text_column)
-    J.write_jsonl(rows.drop("_row"), a.output)
+    J.write_jsonl(rows.orderBy("_place").drop("_place"), a.output)
     print(f"written to {a.output}")
 
 
@@ -241,7 +239,7 @@ def build_parser() -> argparse.ArgumentParser:
     r.add_argument("--system_prompt", default=None)
     r.add_argument("--max_train_samples", type=int, default=None)
     r.add_argument("--shuffle_seed", type=int, default=42)
-    r.add_argument("--key", default="index")
+    r.add_argument("--key", default=None, help="a unique column whose order numbers the rows, instead of the files' order")
     r.add_argument("--format", default=None, choices=["json", "parquet"])
 
     g = sub.add_parser("assemble")

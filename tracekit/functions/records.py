@@ -52,6 +52,31 @@ def first_response(col: Column, dtype: T.DataType | None = None) -> Column:
     return F.try_element_at(col, F.lit(1))
 
 
+def with_fallback(json_text: Column, prompt_path: str, response_path: str) -> tuple[Column, Column]:
+    """(prompt, response) of a JSON record by path; where both come out
+    empty, of the evaluation harness's fields ``doc.problem`` and the first of
+    ``filtered_resps`` (P2)."""
+    p, r = path_value(json_text, prompt_path), path_value(json_text, response_path)
+    both_empty = (p == "") & (r == "")
+    prompt = F.when(both_empty, F.coalesce(F.get_json_object(json_text, "$.doc.problem"), p)).otherwise(p)
+    response = F.when(both_empty, F.coalesce(first_response(F.get_json_object(json_text, "$.filtered_resps")), r)).otherwise(r)
+    return prompt, response
+
+
+def missing_columns(df: DataFrame, columns: list[str]) -> list[str]:
+    """The columns that ``df`` lacks, as given."""
+    return [c for c in columns if c not in df.columns]
+
+
+def require_columns(df: DataFrame, columns: list[str], unless: str | None = None) -> DataFrame:
+    """``df`` if it has the columns, or the column ``unless`` that makes them
+    needless; otherwise a ValueError that names missing and found ones (P8)."""
+    missing = missing_columns(df, columns)
+    if missing and (unless is None or unless not in df.columns):
+        raise ValueError(f"missing required columns {missing}; found columns {df.columns}")
+    return df
+
+
 _TRUE_WORDS = ["true", "1", "yes", "correct"]
 
 

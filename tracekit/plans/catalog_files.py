@@ -6,7 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.records import missing_columns, with_fallback
 from ..operators import ordering as D
+from ..operators import percentiles as Q
 from ..operators import repeat as R
 from ..operators import sampling as S
 from ..operators.scoring import score_columns
@@ -92,3 +94,93 @@ def q_seeded_line_order(spark, sf):
     path = _written_lines(spark, X.traces(spark, sf).orderBy(*_file_order()).select("index", "problem"), "trace-lines")
     lines = L.with_line_numbers(J.read_traces(spark, path, ordered=True).select("index", *L.ORDER))
     return D.in_seeded_order(lines, "line", 7).select("index", "place")
+
+
+# --------------------------------------------------------------------------- readers and writers
+
+@register("read_samples_lines", X.with_views(
+    "select doc_id, exact_match, md5(resp) as resp_md5 from samples where doc_id % 9 <> 4", "samples"))
+def q_read_samples_lines(spark, sf):
+    """Blank lines, broken lines and lines of another kind between the samples are skipped."""
+    s = X.samples(spark, sf)
+    line = (F.when(s.doc_id % 9 == 4, F.concat(F.lit('{"doc_id": '), s.doc_id.cast("string"), F.lit(', "resp": "cut off')))
+            .otherwise(F.to_json(F.struct("doc_id", "exact_match", "prompt", "resp"))))
+    path = scratch_path(spark, "sample-lines")
+    s.select(F.explode(F.array(line, F.when(s.doc_id % 5 == 0, F.lit(" \t")).otherwise(F.lit("[1, 2]")))).alias("value")).write.text(path)
+    got = J.read_samples(spark, path, "doc_id long, exact_match int, resp string")
+    return got.select("doc_id", "exact_match", F.md5("resp").alias("resp_md5"))
+
+
+@register("dataset_roundtrip", X.with_views(
+    """select index, problem, ground_truth, md5(model_response) as response_md5, case when index % 4 <> 1 then is_correct end as is_correct, truncated, steps
+       from traces where index % 3 <> 2""", "traces"))
+def q_dataset_roundtrip(spark, sf):
+    """Written as JSON lines over an earlier version, and read by suffix; null fields stay."""
+    t = X.traces(spark, sf)
+    path = scratch_path(spark, "traces") + ".jsonl"
+    J.write_jsonl(t.select("index"), path)
+    J.write_jsonl(t.where("index % 3 <> 2").withColumn("is_correct", F.when(F.col("index") % 4 != 1, F.col("is_correct"))), path)
+    got = J.read_dataset(spark, path, J.TRACE_SCHEMA)
+    return got.select("index", "problem", "ground_truth", F.md5("model_response").alias("response_md5"), "is_correct", "truncated", "steps")
+
+
+@register("committed_split", X.with_views(
+    """select index, md5(model_response) as response_md5, cast(is_correct and not truncated as int) as in_correct,
+         (select count(*) from traces) as total, (select count(*) from traces where is_correct and not truncated) as saved from traces""", "traces"))
+def q_committed_split(spark, sf):
+    path = scratch_path(spark, "split")
+    J.commit_split(X.traces(spark, sf), path)
+    found = J.read_manifest(spark, path)
+    whole, correct = J.read_split(spark, path)
+    both = whole.select("index", F.md5("model_response").alias("response_md5")).join(
+        correct.select(F.col("index").alias("i"), F.lit(1).alias("one")), F.col("index") == F.col("i"), "left")
+    return both.select("index", "response_md5", F.coalesce("one", F.lit(0)).alias("in_correct"),
+                       F.lit(found["total"]).cast("long").alias("total"), F.lit(found["saved"]).cast("long").alias("saved"))
+
+
+@register("derived_names", X.with_views(
+    """select doc_id, case when path like '%.jsonl%' then replace(path, '.jsonl', '_filtered.jsonl') else path || '.filtered' end as name
+       from run_paths""", "run_paths"))
+def q_derived_names(spark, sf):
+    return X.run_paths(spark, sf).select("doc_id", J.derived_name_column(F.col("path"), "filtered").alias("name"))
+
+
+@register("prompt_fallback", X.with_views(
+    """select doc_id, case when doc_id % 3 = 1 then prompt when doc_id % 3 = 2 then prompt else '' end as prompt,
+         md5(case when doc_id % 4 = 3 and doc_id % 3 = 2 then '' else resp end) as resp_md5 from samples""", "samples"))
+def q_prompt_fallback(spark, sf):
+    """Records with their own fields, in the harness's layout, and with neither."""
+    s = X.samples(spark, sf)
+    own = F.to_json(F.struct(F.struct(s.prompt.alias("text")).alias("q"), F.array(s.resp).alias("answers")))
+    harness = F.to_json(F.struct(F.struct(s.prompt.alias("problem")).alias("doc"), F.when(s.doc_id % 4 != 3, F.array(F.array(s.resp))).alias("filtered_resps")))
+    answer_only = F.to_json(F.struct(F.array(s.resp).alias("answers")))
+    line = F.when(s.doc_id % 3 == 1, own).when(s.doc_id % 3 == 2, harness).otherwise(answer_only)
+    path = scratch_path(spark, "records")
+    s.select(F.to_json(F.struct("doc_id", line.alias("line"))).alias("value")).write.text(path)
+    read = spark.read.schema("doc_id long, line string").json(path)
+    prompt, response = with_fallback(F.col("line"), "q.text", "answers[0]")
+    return read.select("doc_id", prompt.alias("prompt"), F.md5(response).alias("resp_md5"))
+
+
+@register("required_columns", X.with_views(
+    """select 'traces' as name, count(*) as n, '' as missing from traces
+       union all select 'questions', count(*), 'model_response' from questions
+       union all select 'samples', count(*), 'problem,model_response' from samples""", "traces", "questions", "samples"))
+def q_required_columns(spark, sf):
+    """The record views against the columns that training rows need."""
+    views = {"traces": X.traces(spark, sf), "questions": X.questions(spark, sf), "samples": X.samples(spark, sf)}
+    found = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n", F.lit(
+        ",".join(missing_columns(df, ["problem", "model_response"]))).alias("missing")) for name, df in views.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+# --------------------------------------------------------------------------- percentiles
+
+@register("length_stats_refined", """
+select count(v) as n, avg(v) as mean_len, min(v) as min_len, max(v) as max_len, round(quantile_cont(v, 0.5), 6) as p50, round(quantile_cont(v, 0.9), 6) as p90,
+  round(quantile_cont(v, 0.95), 6) as p95, round(quantile_cont(v, 0.99), 6) as p99
+from (select length(text) * 100003 + doc_id as v from documents)""")
+def q_length_stats_refined(spark, sf):
+    """A column in which every value is its own."""
+    d = X.table(spark, sf, "documents")
+    return Q.refined_length_stats(d.select((F.length("text").cast("long") * 100003 + F.col("doc_id")).alias("v")), "v")

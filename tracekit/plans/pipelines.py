@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chat as C
 from ..functions.answers import gold_answer, normalize_answer
+from ..functions.records import require_columns
 from ..functions.text import py_strip, token_len
 from ..operators import budget as B
 from ..operators import repeat as R
@@ -121,9 +122,7 @@ def training_rows(records: DataFrame, n: int | None, seed: int, key: str,
     sampled = S.seeded_sample(records, n, seed, key)
     if text_col in records.columns:
         return sampled
-    missing = [c for c in (prompt_col, response_col) if c not in records.columns]
-    if missing:
-        raise ValueError(f"missing required columns {missing}; found columns {records.columns}")
+    require_columns(records, [prompt_col, response_col])
     return sampled.withColumn(text_col, C.training_text(F.col(prompt_col), F.col(response_col), system))
 
 

@@ -9,7 +9,10 @@ in the JVM and splits with the files.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, Row, SparkSession
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,5 +108,70 @@ def write_split(df: DataFrame, all_path: str, correct_path: str) -> Row:
     return Row(**obs.get)
 
 
-__all__ = ["TRACE_SCHEMA", "parse_lines", "read_traces", "read_samples", "read_dataset",
+MANIFEST = "manifest.json"
+
+
+def commit_split(df: DataFrame, path: str) -> Row:
+    """Write all records under ``path`` in one job, parted by whether they go
+    to the correct subset, and publish them by one rename (S6).
+
+    The records land in a folder of their own; then a manifest with that
+    folder's name and the counts is written beside it and renamed to its final
+    name, which replaces the one before. Readers (``read_split``) only follow the
+    manifest, so a crash at any point leaves the earlier records visible, or none,
+    never a half. Returns Row(total, saved). Folders of earlier versions stay
+    for readers that have them open.
+    """
+    spark, version = df.sparkSession, uuid.uuid4().hex
+    keep = F.coalesce(F.col("is_correct") & ~F.col("truncated"), F.lit(False))
+    obs, data = Observation(f"split-{version}"), f"data-{version}"
+    marked = df.observe(obs, F.count(F.lit(1)).alias("total"), F.count_if(keep).alias("saved")).withColumn("correct_part", keep)
+    marked.write.partitionBy("correct_part").option("ignoreNullFields", "false").json(f"{path}/{data}")
+    counts = obs.get
+    _publish(spark, path, json.dumps({"data": data, "schema": df.schema.json(), **counts}), version)
+    return Row(**counts)
+
+
+def _publish(spark: SparkSession, path: str, text: str, version: str) -> None:
+    """Write the manifest beside its final name and rename it, which replaces
+    an earlier one at once."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsc.hadoopConfiguration()
+    root = fs.Path(path)
+    context = fs.FileContext.getFileContext(root.toUri(), conf) if root.toUri().getScheme() else fs.FileContext.getFileContext(conf)
+    draft = fs.Path(root, f"_{MANIFEST}-{version}")
+    stream = fs.FileSystem.get(root.toUri(), conf).create(draft, True)
+    try:
+        stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
+    options = spark._jvm.java.lang.reflect.Array.newInstance(fs.Options.Rename.OVERWRITE.getClass(), 1)
+    options[0] = fs.Options.Rename.OVERWRITE
+    context.rename(draft, fs.Path(root, MANIFEST), options)
+
+
+def read_manifest(spark: SparkSession, path: str) -> Row:
+    """Row(data, schema, total, saved) of the published version of a split."""
+    row = spark.read.schema("data string, schema string, total long, saved long").json(f"{path}/{MANIFEST}").first()
+    if row is None:
+        raise ValueError(f"{path} has no published records")
+    return row
+
+
+def read_split(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(all records, the correct and untruncated ones) of the published
+    version; the subset is a pruned partition of the same files."""
+    found = read_manifest(spark, path)
+    schema = T.StructType.fromJson(json.loads(found["schema"]))
+    whole = spark.read.schema(T.StructType([*schema.fields, T.StructField("correct_part", T.BooleanType())])).json(f"{path}/{found['data']}")
+    return whole.drop("correct_part"), whole.where("correct_part").drop("correct_part")
+
+
+def derived_name_column(path: Column, suffix: str) -> Column:
+    """``derived_name`` for a column of paths."""
+    out = F.replace(path, F.lit(".jsonl"), F.lit(f"_{suffix}.jsonl"))
+    return F.when(path.contains(".jsonl"), out).otherwise(F.concat(path, F.lit(f".{suffix}")))
+
+
+__all__ = ["commit_split", "read_split", "read_manifest", "derived_name_column", "TRACE_SCHEMA", "parse_lines", "read_traces", "read_samples", "read_dataset",
            "write_jsonl", "derived_name", "write_split"]
