@@ -6,9 +6,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import chat as C
 from ..functions.records import missing_columns, with_fallback
 from ..operators import ordering as D
 from ..operators import percentiles as Q
+from ..operators import render as E
 from ..operators import repeat as R
 from ..operators import sampling as S
 from ..operators.scoring import score_columns
@@ -16,8 +18,9 @@ from ..session import scratch_path
 from ..sources import fixtures as X
 from ..sources import jsonl as J
 from ..sources import lines as L
+from ..streaming import rounds as W
 from . import oracle as O
-from .catalog import _flagged_sql, _value, register
+from .catalog import _BUDGET_SELECT, _budget_out, _budget_sql, _flagged_sql, _value, register
 
 # the order of the lines in the files, which is not that of the index
 _FILE_ORDER = "md5(cast(index as varchar)), index"
@@ -184,3 +187,31 @@ def q_length_stats_refined(spark, sf):
     """A column in which every value is its own."""
     d = X.table(spark, sf, "documents")
     return Q.refined_length_stats(d.select((F.length("text").cast("long") * 100003 + F.col("doc_id")).alias("v")), "v")
+
+
+# --------------------------------------------------------------------------- conversations and rounds
+
+@register("render_turns",
+          f"""select conv_id, n_turns, cast(length(t) as bigint) as text_len, md5(t) as text_md5
+              from (select conv_id, count(*) as n_turns, string_agg({O.nl(C.IM_START)} || role || chr(10) || text || {O.nl(C.IM_END)} || chr(10), ''
+                                                                    order by turn) as t
+                    from conversations group by conv_id)""")
+def q_render_turns(spark, sf):
+    """Conversations as training texts, rendered in ranges of turns."""
+    t = E.render_turns(X.table(spark, sf, "conversations"))
+    return t.select("conv_id", "n_turns", F.length("text").cast("bigint").alias("text_len"), F.md5("text").alias("text_md5"))
+
+
+@register("stream_rounds", _budget_sql("alternating", 4, 2000, _BUDGET_SELECT))
+def q_stream_rounds(spark, sf):
+    """Recorded steps arrive as files in no order of their own; the stream's last rows are the assembled traces and open prompts."""
+    steps = X.gen_steps(spark, sf)
+    source, sink = scratch_path(spark, "arriving-steps"), scratch_path(spark, "rounds")
+    steps.repartition(4, F.md5(F.concat_ws(":", "sample_id", "step"))).write.parquet(source)
+    query = W.start_rounds(spark, source, sink, steps.schema, "alternating", 4, 2000, files_per_batch=2, checkpoint=scratch_path(spark, "rounds-state"))
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+    prompts = X.questions(spark, sf).select("sample_id", C.start_prompt(F.col("problem")).alias("prompt"))
+    rows = W.latest(spark, sink).join(prompts, "sample_id", "left")
+    return _budget_out(rows.withColumn("response", F.concat(F.coalesce("prompt", F.lit("")), "generation")))
