@@ -51,14 +51,14 @@ def test_equals_brute_force(lspark, monkeypatch, block, per_cell):
 
 
 def test_recall_on_a_sample(lspark):
-    vectors = lspark.read.parquet("/root/testdata/check_s/embeddings.parquet").where("label < 2")
+    vectors = lspark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where("label < 2")
     got = E.near_vectors(vectors).agg({"n_links": "sum"}).first()[0]
     total = 0
     for label in (0, 1):
         x = np.array([r["embedding"] for r in vectors.where(f"label = {label}").collect()], float)
         x /= np.linalg.norm(x, axis=1)[:, None]
         total += int((x @ x.T >= E.THRESHOLD).sum()) - len(x)
-    assert total > 1000 and got >= 0.9 * total
+    assert total > 20 and got >= 0.9 * total
 
 
 def test_repeated_and_null_ids(lspark):

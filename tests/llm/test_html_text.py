@@ -80,3 +80,28 @@ def test_unclosed_skipped_elements_end():
     for tag in ("select", "object", "svg", "template", "map", "audio", "video"):
         assert texts(f"<div><p>a</p><div><{tag}>no</div><p>b</p></div>") == ["a", "b"]
         assert texts(f"<div><{tag}><div><p>no</p></div>no</{tag}>b</div>") == ["b"]
+
+
+def test_nesting_takes_linear_time():
+    import time
+
+    def seconds(n):
+        page = "<div>" * n + "<p>text</p><li>x</li>" * 20 + "</div>" * n
+        start = time.perf_counter()
+        tree = H.parse(page)
+        assert len(tree.parent) > n
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(20_000) < 14 * seconds(4_000)
+
+
+def test_signs_count_over_the_whole_run():
+    def signs(text):
+        tree = H.parse(f"<p>{text}</p>")
+        f = H.forest([tree])
+        return H.LEAF_BASE + 15 in f.feature.tolist()
+
+    assert signs("x " * 150 + "(c) 2024 copyright") and signs("copyright " + "x " * 150)
+    assert signs(("word " * 70 + "copyright ") * 9)
+    assert not signs("word " * 400 + "copyright") and not signs("copyright " + "word " * 400)

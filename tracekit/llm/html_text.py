@@ -21,6 +21,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -83,6 +84,15 @@ def parse(page: str | None) -> Tree:
     linked = at = 0
     skipping: list[str] = []  # open skipped elements and the blocks in them
     in_link = False
+    open_now: Counter[str] = Counter()  # blocks on the stack, but for the root
+
+    def close_from(k: int) -> str:
+        """Close the blocks from the k-th on; the k-th one's tag."""
+        for i in stack[k:]:
+            open_now[tree.tag[i]] -= 1
+        first = tree.tag[stack[k]]
+        del stack[k:]
+        return first
 
     def flush() -> None:
         nonlocal linked
@@ -134,7 +144,7 @@ def parse(page: str | None) -> Tree:
                 while skipping.pop() != tag:
                     pass
                 continue
-            if tag not in (tree.tag[i] for i in stack[1:]):
+            if not open_now[tag]:
                 continue
             skipping.clear()  # the block that unclosed skipped elements stand in ends
         if skipping:
@@ -148,25 +158,25 @@ def parse(page: str | None) -> Tree:
             in_link = False
             if tag in ("html", "body") and (ending or tag == "html"):
                 continue
-            open_tags = [tree.tag[i] for i in stack]
             if ending:
-                if tag in open_tags[1:]:
-                    while tree.tag[stack.pop()] != tag:
+                if open_now[tag]:
+                    while close_from(len(stack) - 1) != tag:
                         pass
                 continue
-            if open_tags[-1] == "p" or open_tags[-1] in HEADINGS and tag in HEADINGS:
-                stack.pop()
-            if tag in CLOSED_BY:
+            if len(stack) > 1 and (tree.tag[stack[-1]] == "p" or tree.tag[stack[-1]] in HEADINGS and tag in HEADINGS):
+                close_from(len(stack) - 1)
+            if tag in CLOSED_BY and any(open_now[t] for t in CLOSED_BY[tag]):
                 for k in range(len(stack) - 1, 0, -1):
                     if tree.tag[stack[k]] in SCOPES[tag]:
                         break
                     if tree.tag[stack[k]] in CLOSED_BY[tag]:
-                        del stack[k:]
+                        close_from(k)
                         if tag not in ("tr", "tbody", "tfoot"):
                             break
             attrs = m["attrs"] if m["tag"] else m["attrs2"]
             names = tuple(dict.fromkeys(w for a in _ATTR.finditer(attrs) for w in _WORD.findall((a[2] or a[3] or a[4] or "").lower()))) if attrs else ()
             stack.append(tree.add(stack[-1], tag, names))
+            open_now[tag] += 1
     flush()
     return tree
 
@@ -180,6 +190,7 @@ LEAF_BASE = NAME_BASE + NAME_SPACE
 BLOCK_BASE = LEAF_BASE + 24
 N_WEIGHTS = BLOCK_BASE + 24
 WORD_STEPS, LINK_STEPS = (3, 6, 12, 25, 50), (0.01, 0.3, 0.7)
+SIGN_EVERY = 400  # characters: a run has signs if it has one for so many
 _SIGNS = re.compile(r"[©®|»›·•]|\bcopyright\b", re.I)
 
 
@@ -215,7 +226,8 @@ def forest(trees: list[Tree]) -> Forest:
             size.append(len(text) if text else 0)
             linked.append(tree.linked[i])
             ends.append(bool(text) and text[-1] in ".!?…。\"”»:;")
-            signs.append(bool(text) and _SIGNS.search(text, 0, 400) is not None)
+            found = len(_SIGNS.findall(text)) if text else 0
+            signs.append(found > 0 and found * SIGN_EVERY >= len(text))
             for name in tree.names[i]:
                 names_at.append(base + i)
                 names.append(_name_place(name))

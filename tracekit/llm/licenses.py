@@ -1,6 +1,7 @@
 """License scan: short notices searched with a bounded number of edits.
 
-A notice may differ from its wording in ``edits`` characters. Cut into
+A notice may differ from its wording in ``edits`` characters (before the
+variant's letters, where it ends in such). Cut into
 ``edits + 1`` pieces, at least one piece is unchanged, so one pass over the
 text for all pieces finds every candidate place; the regex library's bounded
 error matching then verifies the notice around it and counts its edits.
@@ -13,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,7 +28,7 @@ BASE = [
     ("mit license", "mit"),
 ]
 
-# (wording, label, edits): words joined by one blank
+# (wording, label, edits): words joined by one blank; what follows a bar must be exact
 NOTICES = [
     ("licensed under the gnu general public license", "gpl", 4),
     ("gnu general public license version", "gpl", 3),
@@ -38,9 +40,9 @@ NOTICES = [
     ("permission is hereby granted free of charge to any person obtaining a copy", "mit", 6),
     ("redistribution and use in source and binary forms", "bsd", 4),
     ("mozilla public license version 2 0", "mpl", 3),
-    ("licensed under cc by nc", "cc-by-nc", 0),
-    ("licensed under cc by sa", "cc-by-sa", 0),
-    ("licensed under cc by nd", "cc-by-nd", 0),
+    ("licensed under cc by| nc", "cc-by-nc", 2),
+    ("licensed under cc by| sa", "cc-by-sa", 2),
+    ("licensed under cc by| nd", "cc-by-nd", 2),
     ("creative commons attribution noncommercial", "cc-by-nc", 4),
     ("creative commons attribution sharealike", "cc-by-sa", 3),
     ("this is free and unencumbered software released into the public domain", "unlicense", 6),
@@ -63,7 +65,7 @@ def _search(notices: tuple) -> tuple:
     import regex
     found: dict[str, list[tuple[int, int]]] = {}
     for i, (wording, _, edits) in enumerate(notices):
-        for offset, piece in pieces(wording, edits):
+        for offset, piece in pieces(wording.partition("|")[0], edits):
             found.setdefault(piece, []).append((i, offset))
     automaton = ahocorasick.Automaton()
     for piece, places in found.items():
@@ -71,7 +73,8 @@ def _search(notices: tuple) -> tuple:
     if found:
         automaton.make_automaton()
     # whole words only, so that an edit can't cut into a neighbour
-    return automaton, [regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(w)}){{e<={e}}}(?![^ ])") for w, _, e in notices]
+    heads = [(*w.partition("|")[::2], e) for w, _, e in notices]
+    return automaton, [regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(head)}){{e<={e}}}{regex.escape(tail)}(?![^ ])") for head, tail, e in heads]
 
 
 def scan_text(text: str | None, notices: tuple = tuple(NOTICES), base: tuple = tuple(BASE)) -> dict:
@@ -80,11 +83,12 @@ def scan_text(text: str | None, notices: tuple = tuple(NOTICES), base: tuple = t
     # one byte a character: offsets are the same and the search stays fast
     line = (b" ".join(words)).decode("latin-1")
     padded = f" {line} "
+    blanks = np.flatnonzero(np.frombuffer(padded.encode("latin-1"), np.uint8) == 0x20)
     places, base_labels = [], set()
     for phrase, label in base:
         at = padded.find(f" {phrase} ")
         while at >= 0:
-            places.append(padded.count(" ", 0, at))
+            places.append(int(np.searchsorted(blanks, at)))
             base_labels.add(label)
             at = padded.find(f" {phrase} ", at + 1)
     automaton, matchers = _search(notices)
@@ -108,9 +112,9 @@ def scan_text(text: str | None, notices: tuple = tuple(NOTICES), base: tuple = t
     for (i, start), (edits, end) in sorted(spans.items(), key=lambda x: (x[0][1], x[0][0])):
         body = line[start:end].strip(" ")
         start += len(line[start:end]) - len(line[start:end].lstrip(" "))
-        first = line.count(" ", 0, start)
+        first = int(np.searchsorted(blanks, start + 1, "right")) - 1  # of the padded line
         out.append({"label": notices[i][1], "first_word": first, "last_word": first + body.count(" "), "edits": edits,
-                    "text": body.encode("latin-1").decode("utf-8", "replace"), "share": 1 - edits / len(notices[i][0])})
+                    "text": body.encode("latin-1").decode("utf-8", "replace"), "share": 1 - edits / len(notices[i][0].replace("|", ""))})
     labels = base_labels | {s["label"] for s in out}
     return {"n_words": len(words), "n_base": len(places), "first_word": min(places, default=None), "last_word": max(places, default=None),
             "base_labels": ",".join(sorted(base_labels)), "labels": ",".join(sorted(labels)),
