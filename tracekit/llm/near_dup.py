@@ -12,7 +12,7 @@ the depth reached asks for, for the sets in nodes that go deep. Those only
 look for links between components that the first round has left apart.
 
 A family of many near copies would stay together in every tree. Where nodes
-below the roots hold more than a leaf, their sets are first compared with a few
+below the roots are crowded, their sets are first compared with a few
 pivots of the node, on full sets; what is linked is one component from then
 on. All its sets still look for links to other components, but nodes
 within one component end, and a node of one large component and few other sets
@@ -42,8 +42,9 @@ from tracekit.llm._text import mixed, shingle_set
 SKETCH = 64  # minwise values of a set, a power of two
 TREES = 8  # of a round
 RECALL = 0.9995  # of a link exactly at the threshold, at any depth
-LEAF = 1600  # sets that are compared with one another
-PIVOTS = 4  # of a node with more sets
+LEAF = 4000  # sets that are compared with one another
+CROWD = 256  # sets of a node from which on its pivots are compared first
+PIVOTS = 4  # of such a node
 NEAR = 3  # of the pivots that a set meets, the most alike, are compared on full sets
 SHARE = 256  # sets compared with a pivot at a time
 DEPTH = 12
@@ -202,7 +203,7 @@ def _besides_largest(kinds: np.ndarray) -> np.ndarray:
     return np.flatnonzero(which != times.argmax())
 
 
-def _screen(leaves: DataFrame, first: DataFrame, percent: int) -> DataFrame:
+def _screen(leaves: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(grp, cls, root): the groups of maybe linked sets of every leaf, each
     once; where leaves have the component so far, by links between two of
     them, else every set is its own ``root``."""
@@ -242,13 +243,13 @@ def _screen(leaves: DataFrame, first: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(mixed(key)[label[active]].view(np.int64)), pa.array(cls[active]), pa.array(root[active] if rooted else cls[active])],
                                              names=["grp", "cls", "root"])
 
-    full = leaves.join(first.select(F.col("row").alias("cls"), "n", "bits"), "cls").select(*leaves.columns, "n", "bits")
+    full = leaves.join(classes.select("cls", "n", "bits"), "cls").select(*leaves.columns, "n", "bits")
     dealt = full.repartition(partitions(leaves.sparkSession), "node").sortWithinPartitions("node")
     return dealt.mapInArrow(rows, "grp long, cls long, root long").distinct()
 
 
 def _from_texts(docs: DataFrame, wanted: DataFrame, size: int, made: Callable[[np.ndarray], object], kind: str, arrow: pa.DataType) -> DataFrame:
-    """(cls, made) of the wanted (cls, sig, doc_id, text_hash), what is made
+    """(cls, made) of the wanted (cls, sig, doc_id, text_hash; a written table), what is made
     of the full sets, which are computed again from those texts, of which
     equal rows count once."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,11 +258,11 @@ def _from_texts(docs: DataFrame, wanted: DataFrame, size: int, made: Callable[[n
             sig = [xxhash.xxh3_128_digest(f.tobytes()) for f in found]
             yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array([made(f) for f in found], arrow)], names=["sig", "made"])
 
-    ids = small_table(written(wanted.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")), "dup-wanted"))
+    ids = small_table(wanted.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")))
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("__hash"))
     texts = texts.join(ids, texts["doc_id"].eqNullSafe(ids["id"]) & (texts["__hash"] == ids["hash"]), "left_semi")
     sets = texts.dropDuplicates(["doc_id", "__hash"]).select("text").mapInArrow(rows, f"sig binary, made {kind}")
-    return sets.join(small_table(written(wanted.select("sig", "cls"), "dup-sigs")), "sig").select("cls", "made")
+    return sets.join(small_table(wanted.select("sig", "cls")), "sig").select("cls", "made")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -329,15 +330,16 @@ def _confirm(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(rows, "a long, b long")
 
 
-def _beside_pivots(nodes: DataFrame, first: DataFrame, percent: int, leaf: int) -> DataFrame | None:
-    """(cls, pivot): for the sets of ``nodes`` (node, cls) in one with more
-    than ``leaf``, the most alike pivots by sketches; None without such a node."""
+def _beside_pivots(classes: DataFrame, percent: int, crowd: int) -> DataFrame | None:
+    """(cls, pivot): for the sets below the roots in nodes with more than
+    ``crowd``, the most alike pivots by sketches; None without such a node."""
+    nodes = classes.select("cls", F.explode("below").alias("node"))
     chosen = F.array(*[F.min_by("cls", F.xxhash64("cls", F.lit(p))) for p in range(PIVOTS)])
-    large = written(nodes.groupBy("node").agg(F.count("*").alias("m"), chosen.alias("pivots")).where(F.col("m") > leaf)
+    large = written(nodes.groupBy("node").agg(F.count("*").alias("m"), chosen.alias("pivots")).where(F.col("m") > crowd)
                     .select("node", F.explode(F.array_distinct("pivots")).alias("pivot")), "dup-pivots")
     if large.isEmpty():
         return None
-    least, sketches = _least(percent), first.select(F.col("row").alias("cls"), "n", "bits")
+    least = _least(percent)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -350,11 +352,12 @@ def _beside_pivots(nodes: DataFrame, first: DataFrame, percent: int, leaf: int)
                                                names=["cls", "pivot", "same"])
             yield found.filter(keep)
 
-    pairs = nodes.join(small_table(large), "node").where("cls <> pivot").select("cls", "pivot").distinct()
-    of_pivots = small_table(written(large.select("pivot").distinct().join(sketches.toDF("pivot", "pivot_n", "pivot_bits"), "pivot"), "dup-pivots"))
-    alike = pairs.join(of_pivots, "pivot").join(sketches, "cls").mapInArrow(rows, "cls long, pivot long, same long")
+    sketches = classes.select(F.col("cls").alias("pivot"), F.col("n").alias("pivot_n"), F.col("bits").alias("pivot_bits"))
+    of_pivots = small_table(written(large.join(sketches, "pivot"), "dup-pivots"))
+    met = classes.select("cls", "n", "bits", F.explode("below").alias("node")).join(of_pivots, "node").where("cls <> pivot")
+    alike = met.mapInArrow(rows, "cls long, pivot long, same long")
     # a set has at most PIVOTS rows for each of its nodes below the roots
-    best = alike.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list(F.struct("same", "pivot")), False), 1, NEAR).alias("best"))
+    best = alike.groupBy("cls").agg(F.slice(F.sort_array(F.collect_set(F.struct("same", "pivot")), False), 1, NEAR).alias("best"))
     return best.select("cls", F.explode("best.pivot").alias("pivot"))
 
 
@@ -377,7 +380,7 @@ def _linked_to_pivots(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     shares = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
-    members = (pairs.join(small_table(written(shares, "dup-shares")), "pivot").join(sets, "cls")
+    members = (pairs.join(shares, "pivot").join(sets, "cls")
                .select("pivot", F.pmod(F.xxhash64("cls"), F.col("shares")).cast("int").alias("share"), "cls", "shingles"))
     own = (sets.withColumnRenamed("cls", "pivot").join(shares, "pivot")
            .select("pivot", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(None).cast("long").alias("cls"), "shingles"))
@@ -385,8 +388,21 @@ def _linked_to_pivots(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFr
     return dealt.sortWithinPartitions("pivot", "share", F.col("cls").asc_nulls_first()).mapInArrow(rows, "a long, b long")
 
 
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (id, root) with more links: those join old components,
+    so only their roots are searched anew."""
+    if links.isEmpty():
+        return roots
+    old = small_table(written(roots, "dup-roots"))
+    a, b = old.toDF("a", "root_a"), old.toDF("b", "root_b")
+    between = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    new = small_table(components(between, "dup-components"))
+    moved = old.join(new.toDF("root", "new"), "root", "left").select("id", F.coalesce("new", "root").alias("root"))
+    return moved.unionByName(new.join(old, "id", "left_anti"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, trees: int = TREES, leaf: int = LEAF,
-                    depth: int = DEPTH) -> DataFrame:
+                    depth: int = DEPTH, crowd: int = CROWD) -> DataFrame:
     """(doc_id, text_hash, n_shingles, grp, component_id, kept), a row per
     document row; grp is the component's own id, null where there is no set.
 
@@ -402,32 +418,30 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, trees: in
     """
     first = written(_sets(docs, size, percent / 100, trees), "dup-sets")
     classes = written(first.where("n > 0").groupBy("sig").agg(
-        F.min("doc_id").alias("rep"), F.min("row").alias("cls"), F.first("below").alias("below"),
+        F.min("doc_id").alias("rep"), F.min("row").alias("cls"), F.first("below").alias("below"), F.first("n").alias("n"), F.first("bits").alias("bits"),
         F.min_by(F.struct("doc_id", "text_hash"), "row").alias("at")), "dup-classes")
 
     def texts_of(members: DataFrame) -> DataFrame:
         return written(classes.join(members, "cls", "left_semi").select("cls", "sig", "at.*"), "dup-active")
 
     def links(leaves: DataFrame) -> DataFrame:
-        groups = written(_screen(leaves, first, percent), "dup-groups")
+        groups = written(_screen(leaves, classes, percent), "dup-groups")
         sets = written(_full_sets(docs, texts_of(groups.select("cls").distinct()), size), "dup-full")
         return written(_confirm(groups, sets, percent), "dup-links")
 
     threshold = percent / 100
     shallow = next(d for d in range(depth + 1) if d == depth or missed(threshold, d + 1, trees) > PART)
-    pairs = _beside_pivots(classes.select("cls", F.explode("below").alias("node")), first, percent, leaf)
+    pairs = _beside_pivots(classes, percent, min(crowd, leaf))
     members = classes
     if pairs is not None:
         pairs = written(pairs, "dup-pairs")
         sets = written(_full_sets(docs, texts_of(pairs.select("cls").union(pairs.select("pivot")).distinct()), size), "dup-full")
         family = written(_linked_to_pivots(pairs, sets, percent), "dup-links")
-        members = written(classes.join(components(family, "dup-components").withColumnRenamed("id", "cls"), "cls", "left")
+        roots = components(family, "dup-components")
+        members = written(classes.select("cls", "below").join(roots.withColumnRenamed("id", "cls"), "cls", "left")
                           .withColumn("root", F.coalesce("root", "cls")), "dup-members")
     leaves, levels, deep = _leaves(first.select(F.col("row").alias("cls"), "path"), members, threshold, leaf, depth, shallow)
-    found = links(leaves)
-    if pairs is not None:
-        found = written(found.union(family), "dup-links")
-    roots = components(found, "dup-components")
+    roots = components(links(leaves), "dup-components") if pairs is None else _merged(roots, links(leaves))
     left, done = missed(threshold, levels, trees), 1
     wanted = texts_of(deep) if left > PART else None
     while left > PART:
@@ -435,8 +449,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, trees: in
         more = written(_more_paths(docs, wanted, size, threshold, trees, done, rounds)
                        .join(roots.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), "dup-more")
         leaves, levels, _ = _leaves(more.select("cls", "which", "path"), more, threshold, leaf, depth, depth)
-        found = written(found.union(links(leaves)), "dup-links")
-        roots = components(found, "dup-components")
+        roots = _merged(roots, links(leaves))
         left, done = left * missed(threshold, levels, trees) ** rounds, done + rounds
 
     linked = roots.join(classes.select(F.col("cls").alias("id"), "sig", "rep"), "id")
