@@ -126,3 +126,39 @@ def hide(rng, words):
     for at in rng.sample(range(len(words)), len(words) // 5):
         words[at] = "x"
     return words
+
+
+def test_repetitive_texts_and_items():
+    """Hits of a repetitive text and item are ranges, not all their pairs."""
+    import time
+
+    items = [(1, "la " * 160, 1), (2, "do re mi " * 30, 1), (3, "la " * 12, 2), (4, "la la la ti " * 20, 1)]
+    texts = ["la " * 20_000, "do re mi " * 400 + "fa " + "do re mi " * 300, "la la la ti " * 2_000, "x " * 500 + "la " * 30]
+    seeds = D.Seeds(items, D.MASKS, D.MAX_SUBSTITUTED)
+    start = time.perf_counter()
+    found = {(t, i): (at, n, same) for t, i, at, n, same, *_ in D._overlaps(seeds, texts[:1], D.MIN_WORDS, D.MAX_SUBSTITUTED)}
+    assert time.perf_counter() - start < 8
+    assert found[0, 1] == (0, 160, 160) and found[0, 3][1:] == (12, 12)
+    hashes, first = D.batch_hashes(texts[1:], D.MARK)
+    got = {tuple(h) for h in seeds.hits(hashes, first)}
+    want = set()
+    for shape, (places, lead) in [(D.offsets(m), (range(len(m)), 0)) for m in D.MASKS]:
+        for t in range(3):
+            doc = hashes[first[t]:first[t + 1]]
+            a = D.window_hashes(doc, shape)
+            for i, words in enumerate(seeds.words):
+                if len(words) < 13:
+                    continue
+                b = D.window_hashes(words, shape)
+                for x, key in enumerate(b.tolist()):
+                    want |= {(t, i, int(y) - x) for y in np.flatnonzero(a == np.uint64(key))}
+    assert {h for h in got if len(seeds.words[h[1]]) >= 13} == want
+
+
+def test_equal_items_are_one_seed_and_a_row_each(docs_of, lspark):
+    passage = " ".join(f"w{i}" for i in range(20))
+    bench = lspark.createDataFrame([(1, passage)] * 3 + [(2, passage.replace(" ", "\n"))], "item_id long, text string")
+    got = D.contaminated(docs_of([(7, "x " + passage), (8, "clean text")]), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["n_words"]) for r in got) == [(7, 1, 20)] * 3 + [(7, 2, 20)]
+    assert [len(s.ids) for s in D._blocks(bench, D.MASKS, 0.2, 1000)] == [2]
+    assert sum(len(s.ids) for s in D._blocks(bench, D.MASKS, 0.2, 30)) == 2

@@ -31,6 +31,8 @@ MASKS = ("11110111", "1100101111", "111101101", "10111001011", "111000100111", "
 MIN_WORDS = 13
 MAX_SUBSTITUTED = 0.2
 BLOCK_WORDS = 2_000_000  # benchmark words sent to the executors at a time: at most 100 MB of tables
+ROW_WORDS = 8  # what a row of the benchmark counts for besides its words
+HITS = 2_000_000  # hits of a batch of texts that are held before they are merged
 FILTER_BITS = 22
 
 
@@ -63,9 +65,10 @@ def _filter(hashes: np.ndarray) -> np.ndarray:
 class Seeds:
     """The seeds of a block of benchmark items, for lookups inside tasks."""
 
-    def __init__(self, items: list[tuple[int, str | None]], masks: tuple[str, ...], max_substituted: float):
-        self.ids = [i for i, _ in items]
-        self.words = [word_hashes(utf8(text), MARK) for _, text in items]
+    def __init__(self, items: list[tuple[int, str | None, int]], masks: tuple[str, ...], max_substituted: float):
+        """``items`` are (id, text, how many rows are equal)."""
+        self.ids, self.times = [i for i, *_ in items], [n for *_, n in items]
+        self.words = [word_hashes(utf8(text), MARK) for _, text, _ in items]
         self.known = _filter(np.concatenate([*self.words, np.empty(0, np.uint64)]))
         # the masks hold for runs of MIN_WORDS; shorter items are looked up by shapes of their own length
         span = max(MIN_WORDS, *(len(m) for m in masks))
@@ -84,16 +87,21 @@ class Seeds:
         keys = np.concatenate([h for h, _ in found]) if found else np.empty(0, np.uint64)
         item = np.concatenate([np.full(len(h), i) for h, i in found]) if found else np.empty(0, np.int64)
         at = np.concatenate([np.arange(len(h)) for h, _ in found]) + lead if found else np.empty(0, np.int64)
-        order = np.argsort(keys, kind="stable")
+        order = np.lexsort((at, item, keys))
+        keys, item, at = keys[order], item[order], at[order]
+        # places of an item that follow one another are one entry: repetitive items have few
+        first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (item[1:] != item[:-1]) | (at[1:] != at[:-1] + 1)][:len(keys)])
+        last = np.r_[first[1:], len(keys)][:len(first)] - 1
         self.shapes.append(shape)
-        self.tables.append((keys[order], item[order], at[order], _filter(keys)))
+        self.tables.append((keys[first], item[first], at[first], at[last], _filter(keys)))
 
     def hits(self, hashes: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int]]:
         """(text, item, position of the item's first word in the text) of all
         hits in a batch of texts, sorted and distinct."""
         known = self.known[_low(hashes)]
-        out: list[np.ndarray] = []
-        for shape, (keys, item, at, seen) in zip(self.shapes, self.tables):
+        held, n_held = np.empty((0, 4), np.int64), 0
+        parts: list[np.ndarray] = []
+        for shape, (keys, item, at_first, at_last, seen) in zip(self.shapes, self.tables):
             n = len(hashes) - shape[-1]
             if n <= 0 or not len(keys):
                 continue
@@ -109,10 +117,36 @@ class Seeds:
             right[places + shape[-1] >= first[text + 1]] = 0  # a window over two texts
             found = np.flatnonzero(left < right)
             times = right[found] - left[found]
-            entry = np.repeat(left[found] - np.cumsum(times) + times, times) + np.arange(times.sum())
-            k = np.repeat(found, times)
-            out.append(np.stack([text[k], item[entry], places[k] - first[text[k]] - at[entry]], axis=1))
-        return np.unique(np.concatenate(out), axis=0).tolist() if out else []
+            # a bounded number of entries at a time; a place has one for each item at least
+            cuts = np.flatnonzero(np.diff(np.cumsum(times) // HITS)) + 1
+            for own_part, n_part in zip(np.split(found, cuts), np.split(times, cuts)):
+                entry = np.repeat(left[own_part] - np.cumsum(n_part) + n_part, n_part) + np.arange(n_part.sum())
+                k = np.repeat(own_part, n_part)
+                shift = places[k] - first[text[k]]
+                parts.append(np.stack([text[k], item[entry], shift - at_last[entry], shift - at_first[entry]], axis=1))
+                n_held += len(k)
+                if n_held > HITS:
+                    held, parts = _merged_ranges(np.concatenate([held, *parts])), []
+                    n_held = 0
+        ranges = _merged_ranges(np.concatenate([held, *parts]))
+        many = ranges[:, 3] - ranges[:, 2] + 1
+        shift = np.repeat(ranges[:, 2] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        return np.column_stack([np.repeat(ranges[:, :2], many, axis=0), shift]).tolist()
+
+
+def _merged_ranges(rows: np.ndarray) -> np.ndarray:
+    """(text, item, low, high) with overlapping and neighbouring ranges of a
+    pair as one, in order."""
+    if not len(rows):
+        return rows
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+    pair = np.cumsum(np.r_[0, (rows[1:, :2] != rows[:-1, :2]).any(1)])
+    # highest end so far within the pair: pairs are moved apart
+    apart = (rows[:, 3].max() - rows[:, 2].min() + 2) * pair
+    reach = np.maximum.accumulate(rows[:, 3] + apart)
+    start = np.flatnonzero(np.r_[True, rows[1:, 2] + apart[1:] > reach[:-1] + 1])
+    end = np.r_[start[1:], len(rows)] - 1
+    return np.column_stack([rows[start, :3], reach[end] - apart[end]])
 
 
 def overlap(doc: np.ndarray, item: np.ndarray, shift: int, max_substituted: float, min_words: int) -> tuple[int, int, int]:
@@ -180,17 +214,22 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, .
 
 
 def _blocks(benchmark: DataFrame, masks: tuple[str, ...], max_substituted: float, block_words: int) -> Iterator[Seeds]:
-    """The benchmark's seeds, in blocks of about ``block_words`` words."""
-    total = benchmark.agg(F.sum(F.size(F.split("text", " ")))).first()[0] or 0
+    """The benchmark's seeds, in blocks of about ``block_words`` words (a row
+    counts for some more); equal items are one."""
+    items = benchmark.groupBy("item_id", "text").agg(F.count("*").alias("times"))
+    # the same words that the scan takes
+    words = F.coalesce(F.regexp_count("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")), F.lit(0))
+    total = items.agg(F.sum(words + ROW_WORDS)).first()[0] or 0
     n_blocks = max(1, -(-int(total) // block_words))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
     for b in range(n_blocks):
-        rows = benchmark.where(block == b).select("item_id", "text").collect()
-        yield Seeds(sorted(((r["item_id"], r["text"]) for r in rows), key=str), masks, max_substituted)
+        rows = items.where(block == b).collect()
+        yield Seeds(sorted(((r["item_id"], r["text"], r["times"]) for r in rows), key=str), masks, max_substituted)
 
 
 def _overlaps(seeds: Seeds, texts: list[str | None], min_words: int, max_substituted: float) -> list[tuple]:
-    """(place of the text, item id, first word, words, equal words, share of the item)."""
+    """(place of the text, item id, first word, words, equal words, share of
+    the item, rows of the item)."""
     out = []
     for start, end in text_groups(texts):
         hashes, first = batch_hashes(texts[start:end], MARK)
@@ -199,7 +238,7 @@ def _overlaps(seeds: Seeds, texts: list[str | None], min_words: int, max_substit
             at, n, same = overlap(hashes[first[t]:first[t + 1]], seeds.words[i], shift, max_substituted, min_words)
             if n >= min(min_words, len(seeds.words[i])):
                 best[t, i] = max(best.get((t, i), (0, 0)), (n, same, -at))
-        out += [(start + t, seeds.ids[i], -at, n, same, same / len(seeds.words[i]))
+        out += [(start + t, seeds.ids[i], -at, n, same, same / len(seeds.words[i]), seeds.times[i])
                 for (t, i), (n, same, at) in sorted(best.items())]
     return out
 
@@ -210,14 +249,16 @@ def _against(texts: DataFrame, seeds: Seeds, min_words: int, max_substituted: fl
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = _overlaps(sent.value, batch.column(1).to_pylist(), min_words, max_substituted)
-            cols = list(zip(*out)) if out else [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+            cols = list(zip(*out)) if out else [()] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int64()),
                  *[pa.array(c, k) for c, k in zip(cols[2:], kinds)]],
-                names=["doc_id", "item_id", "first_word", "n_words", "n_equal", "item_share"])
+                names=["doc_id", "item_id", "first_word", "n_words", "n_equal", "item_share", "times"])
 
-    return texts.mapInArrow(rows, "doc_id long, item_id long, first_word long, n_words long, n_equal long, item_share double")
+    found = texts.mapInArrow(rows, "doc_id long, item_id long, first_word long, n_words long, n_equal long, item_share double, times long")
+    # a row for each of equal items
+    return found.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("times")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
