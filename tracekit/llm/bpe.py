@@ -33,7 +33,7 @@ from tracekit.llm._text import text_groups
 
 REACH = 2  # characters after a match that it may depend on
 SLICE = 1 << 20  # characters of a text that are split at a time
-KEPT = 400_000  # short pieces and pairs whose results a task keeps; beyond, it starts over
+KEPT = 250_000  # short pieces and pairs whose results a task keeps; beyond, it starts over
 SHORT = 64
 MOST_BYTES = 1 << 28  # of a rank file
 
@@ -113,7 +113,7 @@ class Vocabulary:
         self._ascii, self._common, self._any = ascii_pattern(pattern), regex.compile(pattern), regex.compile(library_pattern(pattern), regex.V1)
         self._newer = frozenset("".join(newer_characters().values()))
         self._edges = _Kept(self._edges_of)
-        self._pair = _Kept(self._follows, 5 * KEPT)
+        self._pair = _Kept(self._follows)
         self._packed: dict[str, bytes] = {}
 
     @classmethod
