@@ -24,6 +24,5 @@ QUERIES = {
 ORACLE = {
     "op5_url_filter": url_filter.ORACLE_SQL,
     "op10_mixing": mixing.ORACLE_SQL,
-    "op11_token_alignment": token_align.op11_token_alignment,
     "op12_centroids": centroids.ORACLE_SQL,
 }
