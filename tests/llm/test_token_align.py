@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import public_tokenizers
@@ -97,3 +98,22 @@ def test_query_on_all_documents(lspark):
     want = {d["doc_id"]: w[:7] for d, w in zip(docs, plain([d["text"] for d in docs]))}
     got = {r["doc_id"]: tuple(r)[1:] for r in T.op11_token_alignment(lspark, sf_dir).collect()}
     assert got == want
+
+
+def test_words_are_encoded_once_and_as_the_library_does(monkeypatch):
+    with open(A_PATH, "rb") as file:
+        data = file.read()
+    rng = random.Random(4)
+    some = [*" " * 12, *"\t\n\x0b\x1c\x1f\x85\xa0 　​᠎﻿", *"ab'sté12Ⅷ½!,.", "'re", "<|endoftext|>", "東京", "\U0001f600", "́"]
+    texts = ["".join(rng.choices(some, k=rng.randint(0, 30))) for _ in range(5000)] + [" word" * 3000, "x" * 3000, *filter(None, TEXTS)]
+    want = [A.encode(t, add_special_tokens=False).ids for t in texts]
+    for kept in (T.KEPT, 20):
+        monkeypatch.setattr(T, "KEPT", kept)
+        made = T.ByteLevel(data)
+        sent, encoded = [], made._encoded
+        monkeypatch.setattr(made, "_encoded", lambda batch: sent.extend(batch) or encoded(batch))
+        assert [x.tolist() for start in range(0, len(texts), 500) for x in made.encode(texts[start:start + 500])] == want
+        if kept == T.KEPT > 20:
+            sent.clear()
+            assert made.encode([" word" * 3000])[0].tolist() == A.encode(" word" * 3000, add_special_tokens=False).ids
+            assert sum(map(len, sent)) == 0  # all of it is kept

@@ -17,8 +17,9 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,11 @@ SLICE = 1 << 20  # characters encoded at a time
 PAIRS = 1 << 19  # distinct pairs of a task's partial counts before they are sent on
 MOST_BYTES = 1 << 28  # of a vocabulary file
 B_BITS = 32  # of a pair's number, the id on the right
+KEPT = 400_000  # words whose ids a task keeps; beyond, it starts over
+SHORT = 64  # characters of a word that is kept
+TOGETHER = 1000  # new words that are encoded as one text
+# before a space that follows no white space a byte-level piece always starts
+_CUT, _PLAIN = re.compile(r"(?<=[\w!-~])(?= )"), re.compile(r" [\w!-~]+")
 
 
 def _byte_of_letter() -> dict[str, int]:
@@ -53,14 +59,54 @@ class ByteLevel:
         self.model = Tokenizer.from_str(data.decode())
         self.model.encode_special_tokens = True
         letter = _byte_of_letter()
-        added = {t["id"]: t["content"] for t in json.loads(data).get("added_tokens", [])}
+        whole = json.loads(data)
+        added = {t["id"]: t["content"] for t in whole.get("added_tokens", [])}
         vocab = {i: t for t, i in self.model.get_vocab().items()}
         self.tokens = [b""] * (max(vocab) + 1)
         for i, token in vocab.items():
             self.tokens[i] = added[i].encode() if i in added else bytes(letter[c] for c in token)
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        self.lengths = np.array([len(t) for t in self.tokens])
+
+        # without what reaches beyond a piece, a text's ids are those of its words
+        pieces = whole.get("pre_tokenizer") or {}
+        self.by_word = (whole.get("model", {}).get("type") == "BPE" and pieces.get("type") == "ByteLevel" and pieces.get("use_regex", True)
+                        and not pieces.get("add_prefix_space", True) and not any(whole.get(k) for k in ("normalizer", "truncation", "padding"))
+                        and all(t.get("special") for t in whole.get("added_tokens", [])))
+        self._kept: dict[str, bytes] = {}
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words as ``_CUT`` makes them, packed. Those that any
+        other word may follow are encoded many at a time and parted by their bytes."""
+        plain = [w for w in words if _PLAIN.fullmatch(w)]
+        ids = np.concatenate([np.empty(0, "<u4"), *self._encoded(["".join(plain[i:i + TOGETHER]) for i in range(0, len(plain), TOGETHER)])])
+        tokens = np.cumsum(self.lengths[ids])
+        ends = np.cumsum([len(w.encode()) for w in plain], dtype=np.int64)
+        last = np.searchsorted(tokens, ends) + 1
+        if not np.array_equal(tokens[last[last <= len(tokens)] - 1], ends):
+            plain, last = [], last[:0]  # some bytes have no tokens
+        packed, bounds = ids.tobytes(), [0, *(4 * last).tolist()]
+        out = {w: packed[i:j] for w, i, j in zip(plain, bounds, bounds[1:])}
+        rest = [w for w in words if w not in out]
+        out.update(zip(rest, (x.tobytes() for x in self._encoded(rest))))
+        return out
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. Each distinct word, with the space before it,
+        is encoded once where the vocabulary allows it."""
+        if not self.by_word:
+            return self._encoded(texts)
+        words = [_CUT.split(t) for t in texts]
+        new = set(filterfalse(self._kept.__contains__, chain.from_iterable(words)))
+        if len(self._kept) + len(new) > KEPT:
+            self._kept, new = {}, set().union(*words)
+        self._kept.update(self._words(list(new)))
+        out = [np.frombuffer(b"".join(map(self._kept.__getitem__, w)), "<u4") for w in words]
+        for long in [w for w in new if len(w) > SHORT]:
+            del self._kept[long]
+        return out
 
 
 class Pieces:
