@@ -100,20 +100,23 @@ def test_query_on_all_documents(lspark):
     assert got == want
 
 
-def test_words_are_encoded_once_and_as_the_library_does(monkeypatch):
+def test_documents_are_their_words(monkeypatch):
     with open(A_PATH, "rb") as file:
         data = file.read()
     rng = random.Random(4)
     some = [*" " * 12, *"\t\n\x0b\x1c\x1f\x85\xa0 　​᠎﻿", *"ab'sté12Ⅷ½!,.", "'re", "<|endoftext|>", "東京", "\U0001f600", "́"]
     texts = ["".join(rng.choices(some, k=rng.randint(0, 30))) for _ in range(5000)] + [" word" * 3000, "x" * 3000, *filter(None, TEXTS)]
-    want = [A.encode(t, add_special_tokens=False).ids for t in texts]
+    made = T.ByteLevel(data)
+    assert [x.tolist() for x in made.encode(texts)] == [A.encode(t, add_special_tokens=False).ids for t in texts]
+    left, right = T.Side(made), T.Side(T.Pieces(B.serialized_model_proto()))
+    want = {k: x.to_pylist() for k, x in T.aligned_slice(left, right, texts).items()}
     for kept in (T.KEPT, 20):
         monkeypatch.setattr(T, "KEPT", kept)
-        made = T.ByteLevel(data)
-        sent, encoded = [], made._encoded
-        monkeypatch.setattr(made, "_encoded", lambda batch: sent.extend(batch) or encoded(batch))
-        assert [x.tolist() for start in range(0, len(texts), 500) for x in made.encode(texts[start:start + 500])] == want
-        if kept == T.KEPT > 20:
-            sent.clear()
-            assert made.encode([" word" * 3000])[0].tolist() == A.encode(" word" * 3000, add_special_tokens=False).ids
-            assert sum(map(len, sent)) == 0  # all of it is kept
+        words = T.Words(left, right)
+        assert words.by_word
+        got = [words.aligned(texts[start:start + 500]) for start in range(0, len(texts), 500)]
+        assert {k: [v for part in got for v in part[k].to_pylist()] for k in want} == want
+    sent, encoded = [], made._encoded
+    monkeypatch.setattr(made, "_encoded", lambda batch: sent.extend(batch) or encoded(batch))
+    T.Words(left, right).aligned([" word" * 3000] * 3)
+    assert sum(map(len, sent)) < 100

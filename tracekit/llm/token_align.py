@@ -34,11 +34,11 @@ SLICE = 1 << 20  # characters encoded at a time
 PAIRS = 1 << 19  # distinct pairs of a task's partial counts before they are sent on
 MOST_BYTES = 1 << 28  # of a vocabulary file
 B_BITS = 32  # of a pair's number, the id on the right
-KEPT = 400_000  # words whose ids a task keeps; beyond, it starts over
-SHORT = 64  # characters of a word that is kept
-TOGETHER = 1000  # new words that are encoded as one text
+KEPT = 400_000  # words whose alignment a task keeps, and KEPT_BYTES of groups; beyond, it starts over
+KEPT_BYTES = 1 << 25
+TOGETHER = 1000  # words that are encoded as one text
 # before a space that follows no white space a byte-level piece always starts
-_CUT, _PLAIN = re.compile(r"(?<=[\w!-~])(?= )"), re.compile(r" [\w!-~]+")
+_CUT, _PLAIN = re.compile(r"(?<=[\w!-~])(?= .)", re.DOTALL), re.compile(r" [\w!-~]+")
 
 
 def _byte_of_letter() -> dict[str, int]:
@@ -72,7 +72,6 @@ class ByteLevel:
         self.by_word = (whole.get("model", {}).get("type") == "BPE" and pieces.get("type") == "ByteLevel" and pieces.get("use_regex", True)
                         and not pieces.get("add_prefix_space", True) and not any(whole.get(k) for k in ("normalizer", "truncation", "padding"))
                         and all(t.get("special") for t in whole.get("added_tokens", [])))
-        self._kept: dict[str, bytes] = {}
 
     def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -99,14 +98,8 @@ class ByteLevel:
         if not self.by_word:
             return self._encoded(texts)
         words = [_CUT.split(t) for t in texts]
-        new = set(filterfalse(self._kept.__contains__, chain.from_iterable(words)))
-        if len(self._kept) + len(new) > KEPT:
-            self._kept, new = {}, set().union(*words)
-        self._kept.update(self._words(list(new)))
-        out = [np.frombuffer(b"".join(map(self._kept.__getitem__, w)), "<u4") for w in words]
-        for long in [w for w in new if len(w) > SHORT]:
-            del self._kept[long]
-        return out
+        ids = self._words(list(set().union(*words)))
+        return [np.frombuffer(b"".join(map(ids.__getitem__, w)), "<u4") for w in words]
 
 
 class Pieces:
@@ -121,6 +114,16 @@ class Pieces:
             piece = self.model.id_to_piece(i)
             self.tokens.append(bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace("▁", " ").encode())
 
+        # pieces that hold spaces in front only, by merges: a text's are those of its words
+        from sentencepiece import sentencepiece_model_pb2
+
+        whole = sentencepiece_model_pb2.ModelProto()
+        whole.ParseFromString(data)
+        how, usual = whole.normalizer_spec, sentencepiece_model_pb2.ModelProto.SentencePiece
+        self.by_word = (whole.trainer_spec.model_type == sentencepiece_model_pb2.TrainerSpec.BPE and not whole.trainer_spec.treat_whitespace_as_suffix
+                        and how.add_dummy_prefix and how.escape_whitespaces and not how.remove_extra_whitespaces and not how.precompiled_charsmap
+                        and not any(p.type == usual.USER_DEFINED or "▁" in p.piece.lstrip("▁") for p in whole.pieces))
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode(texts, num_threads=1)
 
@@ -208,6 +211,15 @@ def group_texts(left: Side, right: Side, a: pa.LargeListArray, b: pa.LargeListAr
     return pc.binary_join(pa.LargeListArray.from_arrays(offsets, digits).cast(pa.list_(pa.large_string())), pa.scalar("", pa.large_string()))
 
 
+def _by_doc(links: pa.Table, docs: int) -> dict[str, pa.Array]:
+    """Each document's distinct pairs, and their n added up."""
+    times = links.group_by(["doc", "pair"], use_threads=False).aggregate([("n", "sum")])
+    times = times.sort_by([("doc", "ascending"), ("pair", "ascending")])
+    bounds = pa.array(np.searchsorted(times.column("doc").to_numpy(), np.arange(docs + 1)).astype(np.int32))
+    return {"pairs": pa.ListArray.from_arrays(bounds, times.column("pair").combine_chunks()),
+            "times": pa.ListArray.from_arrays(bounds, times.column("n_sum").combine_chunks())}
+
+
 def aligned_slice(left: Side, right: Side, texts: list[str | None]) -> dict[str, pa.Array]:
     """The alignment of some documents, a value for each."""
     def nothing_unless(lists: pa.LargeListArray, whole: np.ndarray) -> pa.LargeListArray:
@@ -224,17 +236,61 @@ def aligned_slice(left: Side, right: Side, texts: list[str | None]) -> dict[str,
     links = linked(left, right, a, b)
     groups = group_texts(left, right, a, b, links)
     pair = pc.bit_wise_or(pc.shift_left(links.column("id"), B_BITS), links.column("id_b"))
-    times = pa.table({"doc": links.column("doc"), "pair": pair}).group_by(["doc", "pair"], use_threads=False).aggregate([([], "count_all")])
-    times = times.sort_by([("doc", "ascending"), ("pair", "ascending")])
-    doc = times.column("doc").to_numpy()
-    bounds = pa.array(np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32))
     return {
         "n_a": pc.cast(pc.list_value_length(a), pa.int64()), "n_b": pc.cast(pc.list_value_length(b), pa.int64()),
         "n_links": pa.array(np.bincount(links.column("doc").to_numpy(), minlength=len(texts)).astype(np.int64)),
         "groups": groups,
-        "pairs": pa.ListArray.from_arrays(bounds, times.column("pair").combine_chunks()),
-        "times": pa.ListArray.from_arrays(bounds, pc.cast(times.column("count_all"), pa.int64()).combine_chunks()),
-    }
+    } | _by_doc(pa.table({"doc": links.column("doc"), "pair": pair, "n": pa.array(np.ones(len(links), np.int64))}), len(texts))
+
+
+class Words:
+    """The alignment of documents from that of their distinct words: both
+    tokenizers' tokens end before each space where ``_CUT`` parts a text, so a
+    document's groups and links are its words' in order."""
+
+    def __init__(self, left: Side, right: Side):
+        self.left, self.right = left, right
+        self.by_word = left.tokenizer.by_word and right.tokenizer.by_word
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.made = aligned_slice(self.left, self.right, [])
+
+    def _learn(self, words: list[list[str]]) -> None:
+        new = list(dict.fromkeys(filterfalse(self.number.__contains__, chain.from_iterable(words))))
+        if self.number and (len(self.number) + len(new) > KEPT or self.made["groups"].nbytes > KEPT_BYTES):
+            self._forget()
+            new = list(set().union(*words))
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+        for start, end in text_groups(new, SLICE):
+            more = aligned_slice(self.left, self.right, [w[1:] for w in new[start:end]])
+            self.made = {k: pa.concat_arrays([x, more[k]]) for k, x in self.made.items()}
+
+    def aligned(self, texts: list[str | None]) -> dict[str, pa.Array]:
+        if not self.by_word:
+            return aligned_slice(self.left, self.right, texts)
+        words = [_CUT.split(" " + t) if t else [] for t in texts]
+        self._learn(words)
+        code = np.array(list(map(self.number.__getitem__, chain.from_iterable(words))), np.int64)
+        doc = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        n = {k: self.made[k].to_numpy() for k in ("n_a", "n_b", "n_links")}
+        odd = np.unique(doc[n["n_a"][code] == 0])  # a word without tokens: as whole texts
+        if len(odd):
+            code, doc = (x[~np.isin(doc, odd)] for x in (code, doc))
+        bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
+        groups = pa.LargeListArray.from_arrays(pa.array(bounds), pc.take(self.made["groups"], pa.array(code)))
+        pairs, times = (pc.take(self.made[k], pa.array(code)) for k in ("pairs", "times"))
+        each = pa.table({"doc": pc.take(pa.array(doc), pc.list_parent_indices(pairs)), "pair": pairs.flatten(), "n": times.flatten()})
+        out = {k: pa.array(np.bincount(doc, x[code], minlength=len(texts)).astype(np.int64)) for k, x in n.items()}
+        out["groups"] = pc.binary_join(groups.cast(pa.list_(pa.large_string())), pa.scalar(";", pa.large_string()))
+        out |= _by_doc(each, len(texts))
+        if len(odd):
+            whole = aligned_slice(self.left, self.right, [texts[i] for i in odd])
+            order = np.arange(len(texts))
+            order[odd] = len(texts) + np.arange(len(odd))
+            out = {k: pc.take(pa.concat_arrays([x, whole[k]]), pa.array(order)) for k, x in out.items()}
+        return out
 
 
 def align(docs: DataFrame, left_path: str, right_path: str, text: str = "text", digest: bool = False) -> DataFrame:
@@ -257,10 +313,11 @@ def align(docs: DataFrame, left_path: str, right_path: str, text: str = "text",
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = _side(ByteLevel, left_digest, left_data), _side(Pieces, right_digest, right_data)
+        words = Words(left, right)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             for start, end in text_groups(texts, SLICE):
-                made = aligned_slice(left, right, texts[start:end])
+                made = words.aligned(texts[start:end])
                 if digest:
                     made["groups"] = [hashlib.sha256(g.as_buffer()).hexdigest() if g.as_py() else "" for g in made["groups"]]
                 made["groups"] = pa.array(made["groups"], pa.string()) if digest else made["groups"].cast(pa.string())
